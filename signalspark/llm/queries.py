@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_model, licences, mixing, quality, tokengroups, toxicity
+from . import decontaminate, html_text, language_model, licences, mixing, neighbours, quality, tokengroups, toxicity, url_filter
 
 
 def _of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_of(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(_of(spark, sf_dir, "pages"))
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.lm_scores(_of(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_of(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_of(spark, sf_dir, "documents"), _of(spark, sf_dir, "labels"))
 
@@ -42,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_model, op5_toxicity, op6_mixing, op7_licences, op8_jaccard_join, op9_quality, op10_decontamination)
+    f.__name__: f for f in (op1_neighbours, op2_html_text, op3_language_model, op4_url_filter, op5_toxicity, op6_mixing, op7_licences, op8_jaccard_join, op9_quality, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
