@@ -109,6 +109,25 @@ def label_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: dic
     return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("key")).select("doc_id", "text", "label")
 
 
+def rows_kept(docs: DataFrame, keep: bool) -> DataFrame:
+    """(doc_id, text) of ``docs``, with the whole row as struct ``row`` if it is to be kept."""
+    row = [F.struct("*").alias("row")] if keep else []
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+
+
+def row_schema(docs: DataFrame, keep: bool) -> str:
+    """Schema text of the struct ``row``, to follow other fields."""
+    return f", row {docs.schema.simpleString()}" if keep else ""
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id, distinct). Few ids (counted) go to every executor; many are
+    joined by shuffle. Rows without doc_id stay."""
+    ids = table(ids.where("doc_id is not null").select(F.col("doc_id").alias("gone")), "gone")
+    few = ids.count() <= 1_000_000
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, chain
+from .common import WordIds, as_bytes, chain, without
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -137,5 +137,4 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1, l
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1, least: int = 5) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without doc_id stay."""
-    hits = benchmark_hits(docs, benchmark, errors, least).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, benchmark_hits(docs, benchmark, errors, least).select("doc_id").distinct())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, label_sample, logistic_fit, remainder, sigmoid
+from .common import as_bytes, label_sample, logistic_fit, remainder, row_schema, rows_kept, sigmoid
 
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -172,12 +172,13 @@ def chain_marginals(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: dict[int, int] = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: dict[int, int] = SAMPLE, keep: bool = False) -> DataFrame:
     """One row for each document row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted, n_lines.
 
     The model is fitted on a sample of labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1), bounded by
     ``sample``; it reads texts only. Null and empty texts have no lines and score the curve's value for even odds. A null
-    doc_id has held_out false. Repeated rows give repeated rows, other columns are ignored, an empty table gives no rows.
+    doc_id has held_out false. Repeated rows give repeated rows, an empty table gives no rows. Other
+    columns are ignored, or come along in the struct ``row`` with ``keep``.
     """
     rows = [(r["text"].encode(), int(r["label"] > 0)) for r in label_sample(docs, labels, "quality", sample).collect()]
     model = docs.sparkSession.sparkContext.broadcast(fit(sorted(rows)))
@@ -188,8 +189,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
             found = [line_features(text) for text in as_bytes(batch.column("text"))]
             raw = np.array([raw_score(m, x, size) for x, size in found])
             got = sigmoid(m["slope"] * raw + m["offset"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64()), pa.array([len(x) for x, _ in found], pa.int64())], ["doc_id", "score", "n_lines"])
+            own = [batch.column("row")] if keep else []
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(got, pa.float64()), pa.array([len(x) for x, _ in found], pa.int64()), *own], ["doc_id", "score", "n_lines", *["row"] * keep]
+            )
 
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double, n_lines bigint")
+    out = rows_kept(docs, keep).mapInArrow(score, "doc_id bigint, score double, n_lines bigint" + row_schema(docs, keep))
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", *["row"] * keep)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordIds, as_bytes, chain, mix, shuffle_parts, table
+from .common import ASCII_LOWER, WordIds, as_bytes, chain, mix, shuffle_parts, table, without
 from .graph import components
 
 #: Documents of one group of the matrix, and shingles of one chunk of a family.
@@ -327,3 +327,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"))
     out = nodes.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
     return out.union(sizes.where("n = 0").select("doc_id", "n", "doc_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` but for near duplicates: of each component the document of least doc_id stays, once."""
+    found = table(jaccard_components(docs, words, percent), "components")
+    kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordIds, as_bytes, label_sample, logistic_fit, mix, remainder
+from .common import ASCII_LOWER, WordIds, as_bytes, label_sample, logistic_fit, mix, remainder, row_schema, rows_kept
 
 DECAY, SPAN = 0.7, 8
 #: Odd step between the hash seeds of near-copy keys.
@@ -205,12 +205,13 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 192, mining: int = 5) ->
     return {"table": table, "bias": float(w[-1]), "slope": float(max(curve[0], 0.0)), "offset": float(curve[1])}
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: dict[int, int] = SAMPLE) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: dict[int, int] = SAMPLE, keep: bool = False) -> DataFrame:
     """One row for each document row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
     The model is fitted on a sample of labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1), bounded by
     ``sample``; it reads texts only. Null and empty texts score as a text without words. A null doc_id has held_out false.
-    Repeated rows give repeated rows, other columns are ignored, an empty table gives no rows.
+    Repeated rows give repeated rows, an empty table gives no rows. Other
+    columns are ignored, or come along in the struct ``row`` with ``keep``.
     """
     rows = [(r["text"].encode(), int(r["label"] > 0)) for r in label_sample(docs, labels, "toxic", sample).collect()]
     model = docs.sparkSession.sparkContext.broadcast(fit(sorted(rows)))
@@ -232,8 +233,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
                     known.update((t, max((next(got) for _ in ws), default=-2.0)) for t, ws in zip(new, each))
                 worst.append(max(map(known.__getitem__, own), default=-2.0))
             got = 1 / (1 + np.exp(-(m["slope"] * np.clip(worst, -2, 2) + m["offset"])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], ["doc_id", "score"])
+            own = [batch.column("row")] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64()), *own], ["doc_id", "score", *["row"] * keep])
 
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double")
+    out = rows_kept(docs, keep).mapInArrow(score, "doc_id bigint, score double" + row_schema(docs, keep))
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["row"] * keep)
