@@ -1 +1 @@
-
+"""Queries composed of the operators."""
