@@ -105,12 +105,14 @@ def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return out
 
 
-def distinct_rows(docs: list[tuple[set[bytes], int]], keys: int = 8) -> list[tuple[set[bytes], int]]:
-    """Rows without those that share one of ``keys`` pairs of least word hashes with an earlier row (near copies)."""
+def distinct_rows(docs: list[tuple[set[bytes], int]], keys: int = 6, depth: int = 4) -> list[tuple[set[bytes], int]]:
+    """Rows without those that share one of ``keys`` tuples of ``depth`` least word hashes with an earlier row (near copies)."""
     out, seen, memo = [], set(), WordIds(2_000_000)
+    seeds = [np.uint64(k * MIX_STEP & (1 << 64) - 1) for k in range(keys * depth)]
     for words, label in docs:
         ids = memo.of(sorted(words)) if words else np.zeros(1, np.uint64)
-        own = {(k, int(mix(ids + np.uint64(2 * k * MIX_STEP)).min()), int(mix(ids + np.uint64((2 * k + 1) * MIX_STEP & (1 << 64) - 1)).min())) for k in range(keys)}
+        least = [int(mix(ids + seed).min()) for seed in seeds]
+        own = {(k, *least[k * depth : (k + 1) * depth]) for k in range(keys)}
         if not own & seen:
             out.append((words, label))
         seen |= own
