@@ -75,20 +75,41 @@ def _triples() -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 TRIPLES = _triples()
 
 
-def features(word: bytes) -> np.ndarray:
-    """The word's normed weight for each subsequence of three characters (dense, CODES ** 3)."""
+def subsequences(word: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The word's subsequences of three characters, as numbers, and their normed weights; some may repeat."""
     c = CODE[np.frombuffer(word, np.uint8)]
     i, j, k, w = TRIPLES[len(word)]
-    out = np.zeros(CODES**3, np.float64)
-    np.add.at(out, (c[i] * CODES + c[j]) * CODES + c[k], w)
-    return out
+    return (c[i] * CODES + c[j]) * CODES + c[k], w
 
 
-def kernel(word: bytes, by_code: np.ndarray) -> np.ndarray:
-    """Kernel values of a word and the landmarks, whose features are the columns of ``by_code``."""
-    c = CODE[np.frombuffer(word, np.uint8)]
-    i, j, k, w = TRIPLES[len(word)]
-    return w @ by_code[(c[i] * CODES + c[j]) * CODES + c[k]]
+def features(word: bytes) -> np.ndarray:
+    """The word's normed weight for each subsequence of three characters (dense, CODES ** 3)."""
+    at, w = subsequences(word)
+    return np.bincount(at, w, CODES**3)
+
+
+class Landmarks:
+    """Features of the landmark words, for the subsequences that any of them has."""
+
+    def __init__(self, words: list[bytes]):
+        pairs = [subsequences(w) for w in words]
+        self.codes = np.unique(np.concatenate([at for at, _ in pairs]))
+        self.place = np.full(CODES**3, len(self.codes), np.int32)  # of what no landmark has: a row of zeros
+        self.place[self.codes] = np.arange(len(self.codes))
+        self.weights = np.zeros((len(self.codes) + 1, len(words)))
+        for n, (at, w) in enumerate(pairs):
+            np.add.at(self.weights[:, n], self.place[at], w)
+
+    def kernel(self, word: bytes) -> np.ndarray:
+        """Kernel values of a word and the landmarks."""
+        at, w = subsequences(word)
+        return w @ self.weights[self.place[at]]
+
+    def table(self, alpha: np.ndarray) -> np.ndarray:
+        """Sum of the landmarks' features, weighted."""
+        out = np.zeros(CODES**3)
+        out[self.codes] = self.weights[:-1] @ alpha
+        return out
 
 
 def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
@@ -177,23 +198,24 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 192, mining: int = 5) ->
         return {"table": np.zeros(CODES**3), "bias": 0.0, "slope": 0.0, "offset": float(np.log(share / (1 - share)))}
     counts = Counter(w for words, label in docs if not label for w in words)
     pool = sorted(counts.keys() - set(bad), key=lambda w: (-counts[w], w))
-    near = np.sum([features(w) for w in bad], axis=0)
+    near = np.zeros(CODES**3)
+    for word in bad:
+        near += features(word)
     close = [pool[n] for n in np.argsort(-word_scores(pool, near, 0.0), kind="stable")[:1000]]
     marks = list(dict.fromkeys(bad[:landmarks] + close[:landmarks]))
-    base = np.array([features(w) for w in marks])
-    by_code = np.ascontiguousarray(base.T)
-    value, vector = np.linalg.eigh(base @ base.T)
+    base = Landmarks(marks)
+    value, vector = np.linalg.eigh(base.weights.T @ base.weights)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
     variants = list(dict.fromkeys(v for w in bad for v in gapped(w)))
     good = bad + variants
     clean = list(dict.fromkeys(close + pool[:1000]))
-    phi = lambda words: np.array([kernel(w, by_code) for w in words]) @ root
+    phi = lambda words: np.array([base.kernel(w) for w in words]) @ root
     x_good, x_clean = phi(good), phi(clean) if clean else np.zeros((0, len(marks)))
     for left in range(mining, -1, -1):
         y = np.concatenate([np.ones(len(good)), -np.ones(len(clean))])
         cost = np.concatenate([np.full(len(bad), 200.0), np.full(len(variants), 10.0), np.full(len(clean), 10.0)])
         w = svm(np.vstack([x_good, x_clean]), y, cost)
-        table = (root @ w[:-1]) @ base
+        table = base.table(root @ w[:-1])
         if left:
             own = set(clean)
             got = word_scores(pool, table, w[-1])
