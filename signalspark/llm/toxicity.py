@@ -247,7 +247,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
             worst = []
             for text in as_bytes(batch.column("text")):
                 own = tokens(text)
-                new = list(own - known.keys())
+                new = [t for t in own if t not in known]  # own - known.keys() would walk all that is known
                 if new:
                     if len(known) + len(new) > 700_000:
                         known.clear()
