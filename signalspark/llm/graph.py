@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Least number of edges that makes a node a hot one, and the share of all edges (one in so many) that does so too: about
+#: 2 * HOT_NODES nodes at most are hot, whatever the size.
+HOT, HOT_NODES = 1_000, 10_000
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """``rows`` (a, b) with m of ``low`` (a, m, n). Nodes of more than ``most`` edges come by broadcast, so that no task gets
+    all edges of a node; edges being counted, fewer than 2 * edges / ``most`` nodes have as many."""
+    hot = F.broadcast(low.where(F.col("n") > most).select("a", "m"))
+    return rows.join(hot, "a").union(rows.join(hot, "a", "left_anti").join(low.where(F.col("n") <= most).select("a", "m"), "a"))
+
+
+def _large(edges: DataFrame, most: int) -> DataFrame:
     both = _both(edges)
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return _joined(both.where("b > a"), low, most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _joined(down, low, most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -37,4 +48,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-        edges = table(_small(_large(edges)), "edges")
+        most = max(HOT, now[0] // HOT_NODES)
+        edges = table(_small(table(_large(edges, most), "stars"), most), "edges")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.llm import decontaminate, html_text, language_model, licences, mixing, neighbours, quality, tokengroups, toxicity, url_filter
+from signalspark.llm import decontaminate, graph, html_text, language_model, licences, mixing, neighbours, quality, tokengroups, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,6 +49,24 @@ def labels(spark):
     return spark.read.parquet(f"{SF}/labels.parquet")
 
 
+@pytest.mark.parametrize("hot", [2, 1_000])
+def test_components_with_hot_nodes(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "HOT", hot)
+    rng = random.Random(3)
+    edges = [(0, n) for n in range(1, 40)] + [(n, 999) for n in range(500, 540)] + [(7, 7), (600, 601), (601, 600)]
+    edges += [(n, n + 1) for n in range(700, 712)] + [(rng.randrange(800, 860), rng.randrange(800, 860)) for _ in range(40)]
+    low = {n: n for e in edges for n in e}
+    while True:
+        new = dict(low)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == low:
+            break
+        low = new
+    found = graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.root) for r in found) == sorted((n, m) for n, m in low.items() if n != m)
+
+
 def brute_components(rows, n, percent):
     sets = {}
     for doc, text in rows:
