@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter of word pairs (operator 3).
 
-A pair that occurs c times is inserted with each of the levels 1 .. floor(log2 c): rare pairs take one insertion, frequent
-ones few more, and pairs seen once quantise to level 0 and none. A query probes level 1, 2, ... until one is missing; the
-last level present gives the count up to a factor of two. P(w | h) = SHARE * count(h, w) / count(h) + (1 - SHARE) * P(w),
+A pair that occurs c times is inserted with each of the levels 1 .. 1 + floor(log2 c): pairs seen once take one insertion,
+frequent ones few more. A query probes level 1, 2, ... until one is missing; the last level present gives the count up to a
+factor of two. P(w | h) = SHARE * count(h, w) / count(h) + (1 - SHARE) * P(w),
 with P(w) smoothed over all tokens, so that what the filter doesn't hold is scored by single words.
 
 Counts of words and pairs are gathered by shuffle into segments by hash. Segments small enough for ``most_bytes`` in all
@@ -20,9 +20,11 @@ from .common import ASCII_LOWER, WordIds, as_bytes, mix, remainder, shuffle_part
 
 #: Ids of the end and the start of a text; no word has them, as words hold no white space.
 END, START = WordIds()[b" end"], WordIds()[b" start"]
-SHARE, BITS_PER_ENTRY, PROBES, TOP_LEVEL = 0.25, 12, 6, 40
+SHARE, BITS_PER_ENTRY, PROBES, TOP_LEVEL = 0.25, 12, 6, 41
 STEP = 0xD6E8FEB86659FD93
 FLUSH = 4_000_000
+#: Keys looked up in a filter at once.
+SLICE = 1 << 16
 
 
 def token_ids(text: bytes, memo: WordIds) -> np.ndarray:
@@ -41,12 +43,13 @@ def pair_ids(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1)) + 1e-12).astype(np.int64)
+    """1 + floor(log2 c) of a count; 0 of what doesn't occur."""
+    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1)) + 1e-12), 0).astype(np.int64)
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
     """Middle of the counts of a level; 0 for level 0."""
-    return np.where(levels > 0, 1.5 * 2.0**levels - 0.5, 0.0)
+    return np.where(levels > 0, 0.75 * 2.0**levels - 0.5, 0.0)
 
 
 def build(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -71,17 +74,18 @@ def _places(keys: np.ndarray, level: int, size: int):
 def probe(bits: np.ndarray, base: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Level of each key, in the segment of ``size`` bits that begins at byte ``base``."""
     levels = np.zeros(len(keys), np.int64)
-    left = np.arange(len(keys))
-    for level in range(1, TOP_LEVEL):
-        first = mix(keys[left] + np.uint64(level * STEP & (1 << 64) - 1))
-        for k in range(PROBES):
-            place = (first + np.uint64(k) * ((first >> np.uint64(32)) | np.uint64(1))) % size[left]
-            here = (bits[base[left] + (place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
-            kept = here.astype(bool)
-            left, first = left[kept], first[kept]
-        if not len(left):
-            break
-        levels[left] = level
+    for start in range(0, len(keys), SLICE):  # bounds the arrays of a pass
+        left = np.arange(start, min(len(keys), start + SLICE))
+        for level in range(1, TOP_LEVEL):
+            first = mix(keys[left] + np.uint64(level * STEP & (1 << 64) - 1))
+            for k in range(PROBES):
+                place = (first + np.uint64(k) * ((first >> np.uint64(32)) | np.uint64(1))) % size[left]
+                here = (bits[base[left] + (place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1
+                kept = here.astype(bool)
+                left, first = left[kept], first[kept]
+            if not len(left):
+                break
+            levels[left] = level
     return levels
 
 
@@ -134,8 +138,7 @@ def segments(train: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
                 both.append((keys[first], np.add.reduceat(counts, first) if len(first) else counts))
             (words, counts), (pairs, times) = both
-            levels = level_of(times)
-            bits = build(pairs[levels > 0], levels[levels > 0])
+            bits = build(pairs, level_of(times))
             rows.append((bucket, int(counts.sum()), len(words), words.tobytes(), counts.tobytes(), bits.tobytes()))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for r in rows:
@@ -268,7 +271,7 @@ def _there(docs: DataFrame, parts: DataFrame, n: int, types: int, salts: int = 8
         look = _looked_up(tokens.columns, key, name)
         tokens = asked.groupBy("bucket", "salt").cogroup(held.groupBy("bucket", "salt")).applyInArrow(look, schema)
     single = (F.col("own") + 0.5) / F.lit(n + 0.5 * (types + 1))
-    count = F.when(F.col("level") > 0, 1.5 * F.pow(F.lit(2.0), F.col("level")) - 0.5).otherwise(0.0)
+    count = F.when(F.col("level") > 0, 0.75 * F.pow(F.lit(2.0), F.col("level")) - 0.5).otherwise(0.0)
     sums = tokens.groupBy("rid").agg(
         F.count("*").alias("n_tokens"), F.count_if(F.col("own") > 0).alias("n_known"), F.sum(F.log10(single)).alias("base_score"),
         F.sum(F.log10(F.when(F.col("before") > 0, SHARE * F.least(F.lit(1.0), count / F.col("before")) + (1 - SHARE) * single).otherwise(single))).alias("score"),

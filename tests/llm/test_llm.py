@@ -169,6 +169,24 @@ def test_filter_levels():
     assert (got >= levels).all() and (got != levels).mean() < 0.02
 
 
+def test_levels_of_counts():
+    counts = np.array([0, 1, 2, 3, 4, 7, 8])
+    assert language_model.level_of(counts).tolist() == [0, 1, 2, 2, 3, 3, 4]
+    assert language_model.count_of(np.arange(5)).tolist() == [0, 1, 2.5, 5.5, 11.5]
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_pair_seen_once_counts(spark, most):
+    """Each pair of the training row occurs once; the held-out rows have the same words in that order and in another."""
+    ids = {k: [d for d in range(1000) if (zlib.crc32(str(d).encode()) % 5 == 1) == k] for k in (False, True)}
+    seen = " ".join(f"v{i}" for i in range(50))
+    rows = [(ids[False][0], seen), (ids[True][0], seen), (ids[True][1], " ".join(reversed(seen.split())))]
+    got = {r.doc_id: r for r in language_model.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), most).collect()}
+    known, unseen = got[ids[True][0]], got[ids[True][1]]
+    assert known.held_out and unseen.held_out and known.base_score == pytest.approx(unseen.base_score)
+    assert known.score > known.base_score > unseen.score
+
+
 def test_language_model_odd(odd, none):
     assert language_model.lm_scores(odd).count() == odd.count()
     assert language_model.lm_scores(none).count() == 0
