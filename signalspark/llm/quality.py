@@ -21,6 +21,8 @@ ENDS = (b".", b"!", b"?", b":", b'"')
 OWN = 13
 #: Expected number of rows of each label in the training sample.
 SAMPLE = {0: 1200, 1: 1200}
+#: Padded lines whose marginals are computed at once.
+CELLS = 1 << 18
 
 
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +100,29 @@ def padded(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def fit(rows: list[tuple[bytes, int]], rounds: int = 25, longest: int = 100) -> dict:
-    """The model from (text, label) rows. Documents of more than ``longest`` lines are cut for training only."""
+def all_marginals(score: np.ndarray, length: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the lines of documents laid end to end. Documents of like length are padded together, so that padding
+    at most doubles what is held."""
+    good, joint = np.empty(len(score)), np.zeros((2, 2))
+    starts, scale = np.cumsum(length) - length, np.ceil(np.log2(length)).astype(int)
+    for s in np.unique(scale):
+        own, some = np.flatnonzero(scale == s), max(1, CELLS >> int(s))
+        for k in range(0, len(own), some):
+            rows = own[k : k + some]
+            inside = np.arange(length[rows].max())[None, :] < length[rows][:, None]
+            at = (starts[rows][:, None] + np.arange(inside.shape[1])[None, :])[inside]
+            block = np.zeros(inside.shape)
+            block[inside] = score[at]
+            p, both = marginals(block, length[rows], pair)
+            good[at] = p[inside]
+            joint += both
+    return good, joint
+
+
+def fit(rows: list[tuple[bytes, int]], rounds: int = 25) -> dict:
+    """The model from (text, label) rows, by all lines of each."""
     docs = [(*line_features(text), label) for text, label in rows]
-    docs = [(x[:longest], n[:longest], y) for x, n, y in docs if len(x)]
+    docs = [d for d in docs if len(d[0])]
     labels = {y for _, _, y in docs}
     if len(labels) < 2:
         share = min(max(np.mean([y for _, y in rows]) if rows else 0.5, 0.01), 0.99)
@@ -128,13 +149,10 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 25, longest: int = 100) ->
         np.add.at(seen, (t[:-1], t[1:]), 1)
     pair = np.zeros((2, 2))
     theta, first, second = np.concatenate([w, pair.ravel()]), 0.0, 0.0
-    inside = np.concatenate([np.arange(len(t)) for t in truth])
-    which = np.repeat(np.arange(len(docs)), [len(t) for t in truth])
+    length = np.array([len(t) for t in truth])
     for step in range(1, rounds + 1):
-        score = np.zeros((len(docs), inside.max() + 1))
-        score[which, inside] = x1 @ theta[:-4]
-        p, joint = marginals(score, np.array([len(t) for t in truth]), theta[-4:].reshape(2, 2))
-        slope = np.concatenate([x1.T @ (y - p[which, inside]), (seen - joint).ravel()]) / len(x) - 1e-4 * theta
+        p, joint = all_marginals(x1 @ theta[:-4], length, theta[-4:].reshape(2, 2))
+        slope = np.concatenate([x1.T @ (y - p), (seen - joint).ravel()]) / len(x) - 1e-4 * theta
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta = theta + 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     model = {"mean": mean, "scale": scale, "w": theta[:-4], "pair": theta[-4:].reshape(2, 2), "slope": 1.0, "offset": 0.0}

@@ -247,6 +247,24 @@ def test_marginals_agree_with_enumeration():
     assert padded[0, :4] == pytest.approx(good / total) and padded[1, 0] == pytest.approx(1 / (1 + math.exp(-0.1)))
 
 
+def test_quality_learns_from_all_lines():
+    """Bad documents differ from good ones after line 100 only."""
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice(("stone", "river", "walks", "under", "light", "seven")) for _ in range(rng.randrange(6, 12))) + "."
+    rows = [("\n".join([*(line() for _ in range(110)), *("$$$ BUY NOW!!! ###" if bad else line() for _ in range(60))]).encode(), int(not bad)) for bad in [False, True] * 15]
+    model = quality.fit(rows)
+    assert all((model["slope"] * quality.raw_score(model, *quality.line_features(t)) + model["offset"] > 0) == y for t, y in rows)
+
+
+def test_marginals_of_documents_end_to_end():
+    rng, pair = np.random.default_rng(2), np.array([[0.5, -0.4], [-0.3, 0.8]])
+    length = np.array([1, 2, 3, 150, 5, 140, 1])
+    scores = [rng.normal(size=n) for n in length]
+    good, joint = quality.all_marginals(np.concatenate(scores), length, pair)
+    assert good == pytest.approx(np.concatenate([quality.chain_marginals(s, pair) for s in scores]))
+    assert joint.sum() == pytest.approx((length - 1).sum())
+
+
 def test_mixing(docs, odd, none):
     for table in (docs, odd):
         rows = mixing.mixed(table).collect()
