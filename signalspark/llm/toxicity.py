@@ -24,8 +24,9 @@ from .common import ASCII_LOWER, WordIds, as_bytes, label_sample, logistic_fit,
 DECAY, SPAN = 0.7, 8
 #: Odd step between the hash seeds of near-copy keys.
 MIX_STEP = 0x9E3779B97F4A7C1
-#: Longest stretch that is scored as one word, and how far the next one begins.
-LONGEST, STRIDE = 18, 9
+#: Longest token that is scored as one word; lengths of the stretches of longer ones, and how far the next one begins.
+LONGEST = 18
+STRETCHES = ((18, 9), (12, 4), (8, 2))
 #: Characters that count: letters, digits, one code for all else of ASCII, bytes above it folded into 31 codes.
 CODES = 68
 CODE = np.array([c - 97 if 97 <= c <= 122 else c - 48 + 26 if 48 <= c <= 57 else 37 + c % 31 if c >= 128 else 36 for c in range(256)], np.int64)
@@ -41,11 +42,14 @@ SAMPLE = {0: 3000, 1: 3000}
 def parts(word: bytes) -> list[bytes]:
     """What is scored of a lower-cased token: without outer punctuation, also without inner; long ones in stretches."""
     word = word.strip(EDGE)
-    if len(word) > LONGEST:
-        return [word[s : s + LONGEST] for s in range(0, len(word) - STRIDE, STRIDE)]
-    if word.isalnum() or (inner := INNER.sub(b"", word)) == word:
-        return [word] if len(word) > 2 else []
-    return [w for w in (word, inner) if len(w) > 2]
+    inner = word if word.isalnum() else INNER.sub(b"", word)
+    out = []
+    for w in (word,) if inner == word else (word, inner):
+        if len(w) > LONGEST:
+            out += (w[s : s + size] for size, stride in STRETCHES for s in range(0, len(w) - size + stride, stride))
+        elif len(w) > 2:
+            out.append(w)
+    return out
 
 
 def tokens(text: bytes) -> set[bytes]:

@@ -209,6 +209,18 @@ def test_toxicity(spark):
     assert all(got[d].predicted == 1 for d in (1001, 1002, 1003))
 
 
+def test_long_tokens_are_scored_in_parts():
+    gaps = b"g***r***u***m***b***o***l"
+    assert b"grumbol" in toxicity.parts(gaps) and b"grumbol" in toxicity.parts(b"." + gaps + b"!")
+    table = toxicity.features(b"grumbol")
+    worst = lambda text: toxicity.word_scores(sorted(toxicity.instances(text)), table, 0.0).max()
+    assert worst(b"mi " + gaps + b" ka") == pytest.approx(1.0)
+    for before in range(12):  # a run of single characters, longer than a word, wherever the insult stands
+        letters = "talorenekami"[:before] + "grumbol" + "sopadevitalorene"
+        assert worst(" ".join(letters).encode()) > 0.85
+        assert worst(letters.encode()) > 0.85
+
+
 def test_kernel_is_what_the_table_says():
     """The triples' table gives the same score as kernel values with the landmarks."""
     marks, alpha = [b"stupid", b"idiot"], [0.7, -0.2]
