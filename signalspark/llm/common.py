@@ -34,7 +34,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``table`` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -120,12 +130,31 @@ def row_schema(docs: DataFrame, keep: bool) -> str:
     return f", row {docs.schema.simpleString()}" if keep else ""
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id, distinct). Few ids (counted) go to every executor; many are
-    joined by shuffle. Rows without doc_id stay."""
-    ids = table(ids.where("doc_id is not null").select(F.col("doc_id").alias("gone")), "gone")
-    few = ids.count() <= 1_000_000
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone"), "left_anti")
+def row_key(docs: DataFrame) -> list:
+    """Columns k1 and k2 that, with doc_id, tell rows of different texts apart (96 bits of hash for rows without doc_id)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.hash(F.lit("row"), text).alias("k2")]
+
+
+def _beside(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, object]:
+    """``docs`` with its keys, ``rows`` (broadcast if they are few, by count) and the condition that joins them."""
+    k1, k2 = row_key(docs)
+    left = docs.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_k1": k1, "_k2": k2})
+    right = rows.select(F.col("doc_id").alias("gone"), F.col("k1").alias("gone_k1"), F.col("k2").alias("gone_k2"))
+    right = F.broadcast(right) if rows.count() <= 1_000_000 else right
+    return left, right, F.col("_doc").eqNullSafe(F.col("gone")) & (F.col("_k1") == F.col("gone_k1")) & (F.col("_k2") == F.col("gone_k2"))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text) isn't among ``rows`` (doc_id, k1, k2; distinct). A null doc_id is one like others."""
+    left, right, same = _beside(docs, table(rows, "gone"))
+    return left.join(right, same, "left_anti").select(*docs.columns)
+
+
+def rows_among(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text) is among ``rows``, with their keys as _doc, _k1 and _k2."""
+    left, right, same = _beside(docs, rows)
+    return left.join(right, same, "left_semi")
 
 
 def sigmoid(x):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, chain, without
+from .common import WordIds, as_bytes, chain, row_key, without_rows
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -58,12 +58,12 @@ def myers(pattern: list, text: list) -> tuple[int, int]:
 class Index:
     """Pieces of a block of benchmark items, by the hash of their first words."""
 
-    def __init__(self, items: list[tuple[int, bytes]], errors: float, least: int):
+    def __init__(self, items: list[tuple[int, bytes]], errors: float):
         memo, entries = WordIds(), []
         self.items = {}
         for item, text in items:
             found = words_of(text)
-            if len(found) < least:
+            if not found:
                 continue
             ids, budget = memo.of(found), int(len(found) * errors + 1e-9)
             self.items[item] = (ids, budget)
@@ -102,39 +102,44 @@ class Index:
         return found
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1, least: int = 5) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1) -> DataFrame:
     """(doc_id, item_id, distance, first_word, end_word) of each benchmark item that a whole text holds.
 
     An item (item_id, text) of m words is held where a stretch of the text is at most ``errors`` * m word edits away; words
     are lower-cased and punctuation is ignored. One row for each document row and item, of the least distance found from
-    its unchanged pieces. Items of fewer than ``least`` words and null items or texts match nothing; rows without doc_id
-    keep a null doc_id; repeated documents give repeated rows, repeated items one. The benchmark goes to the executors in
-    blocks of ``BLOCK_ITEMS`` items, one pass over the documents for each. Empty tables give no rows.
+    its unchanged pieces. Items of fewer than 1 / ``errors`` words must stand unchanged. Items without words and null items
+    or texts match nothing; rows without doc_id keep a null doc_id; repeated documents give repeated rows. An item_id counts
+    once, with its least text. The benchmark goes to the executors in blocks of ``BLOCK_ITEMS`` items, one pass over the
+    documents for each. Empty tables give no rows.
     """
-    schema = "doc_id bigint, item_id bigint, distance int, first_word bigint, end_word bigint"
+    return _hits(docs, benchmark, errors).drop("k1", "k2")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, errors: float) -> DataFrame:
+    schema = "doc_id bigint, k1 bigint, k2 int, item_id bigint, distance int, first_word bigint, end_word bigint"
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
     items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.min("text").alias("text"))
     n = items.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1].encode()) for r in part.orderBy("item_id").toLocalIterator()], errors, least))
+        index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1].encode()) for r in part.orderBy("item_id").toLocalIterator()], errors))
 
         def scan(batches, index=index):
             memo = WordIds()
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+                for *own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), as_bytes(batch.column("text"))):
                     for item, (distance, start, end) in sorted(index.value.matches(memo.of(words_of(text))).items()):
-                        rows.append((doc, item, distance, start, end))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                        rows.append((*own, item, distance, start, end))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
 
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, schema)
+        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(docs), "text").mapInArrow(scan, schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1, least: int = 5) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without doc_id stay."""
-    return without(docs, benchmark_hits(docs, benchmark, errors, least).select("doc_id").distinct())
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; rows without doc_id are known by their texts."""
+    return without_rows(docs, _hits(docs, benchmark, errors).select("doc_id", "k1", "k2").distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 #: Least number of edges that makes a node a hot one, and the share of all edges (one in so many) that does so too: about
 #: 2 * HOT_NODES nodes at most are hot, whatever the size.
@@ -49,4 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
         most = max(HOT, now[0] // HOT_NODES)
-        edges = table(_small(table(_large(edges, most), "stars"), most), "edges")
+        stars = table(_large(edges, most), "stars")
+        new = table(_small(stars, most), "edges")
+        drop(edges, stars)
+        edges = new

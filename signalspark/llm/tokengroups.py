@@ -1,16 +1,19 @@
 """N-gram Jaccard join by a token-group matrix, over shingle sets of whole texts (operator 8).
 
-Exact: no link between different texts is lost. Three steps, none of which lists the pairs of a group:
-
-1. *Token groups.* A set of size n is cut by hash into B parts, B from its size band. Two sets whose Jaccard similarity
-   reaches t differ in at most (1-t)/(1+t)*(n1+n2) shingles, and B is larger than that, so they agree on a whole part
-   (a further ``slack`` parts make sure that this part isn't an empty one). Equal parts chain sets into families.
-2. *Document groups.* Each family is cut into groups of similar sets (neighbours by least shingle); the union of a
-   group's shingles is its row of the matrix. A query set is compared with a group only if its overlap with that union
-   could still reach the threshold, and only with members that it isn't connected to yet.
-3. Components of the verified links, spread to exact copies, which were one node all along.
-
-Families of many shingles are cut into chunks; each pair of chunks that sizes allow is a unit of bounded memory.
+Exact: no link between different texts is lost, and none of the steps lists the pairs of a group.
+
+1. *Order.* A count sketch of fixed size over all shingles of all texts orders tokens, rarest first. Two sets whose Jaccard
+   similarity reaches t share a token among the first n - ceil(t * n) + 1 of each, in any common order; in this one, passages
+   that many texts share come last and bring nobody together who has enough words of their own.
+2. *Groups.* Sets meet at the tokens of those prefixes. Sets of like size (own band and the next) that share one are put into
+   the group named after the least of them: a set joins a group once, however many tokens it shares with it. A set whose
+   rare tokens nobody shares is in no group and its shingles go nowhere.
+3. *Matrix.* A group's sets come together once and are cut into runs of similar ones; the union of a run's tokens is its row
+   of the matrix. A query set's overlap with that row bounds its similarity to all of the run: only rows that could still
+   reach the threshold are opened, and only for members that the query isn't connected to yet.
+4. Groups of many shingles are cut into parts. Each part is joined within itself and with the group's first set; what is not
+   connected to the bulk of its group then is asked of the other parts as well.
+5. Components of the verified links, spread to exact copies, which were one node all along.
 """
 
 from __future__ import annotations
@@ -22,12 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordIds, as_bytes, chain, mix, shuffle_parts, table, without
+from .common import ASCII_LOWER, WordIds, as_bytes, chain, drop, mix, row_key, rows_among, shuffle_parts, table, without_rows
 from .graph import components
 
-#: Documents of one group of the matrix, and shingles of one chunk of a family.
+#: Sets of one row of the matrix, and shingles of one part of a group.
 GROUP_DOCS = 32
-CHUNK_SHINGLES = 1_000_000
+PART_SHINGLES = 1_000_000
+#: Counters of the sketch (a byte each once they are summed), and the pieces that tasks send them in.
+CELLS, PIECES = 1 << 22, 16
+#: Sets that meet at one token before they are dealt to several meeting places.
+MEETING = 1 << 20
+#: Rows of a plan that is small enough to be sent to every executor.
+FEW = 1_000_000
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -46,120 +55,160 @@ def identity(found: np.ndarray) -> int:
         return int(mix(np.array([total + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
 
 
-def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, parts, slack) under which a set of ``n`` shingles is cut: its own band and the next larger one."""
-    step = 100 / percent
-    own = int(math.floor(math.log(n) / math.log(step) + 1e-9))
-    out = []
-    for band in (own, own + 1):
-        most = step ** (band + 1)  # both sets of a pair that meets in this band are smaller
-        differ = int((100 - percent) / (100 + percent) * 2 * most + 1e-6)
-        slack = (differ + 1) // 32 + 1 if differ else 0
-        out.append((band, differ + 1 + slack, slack))
-    return out
+def _sets(batch: pa.RecordBatch, memo: WordIds, n: int):
+    for text in as_bytes(batch.column("text")):
+        yield shingles(memo.of(text.translate(ASCII_LOWER).split()), n)
 
 
-def part_keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of one set; of empty parts only where there are more than the slack."""
-    keys = []
-    inner = mix(found * np.uint64(0x9E3779B97F4A7C15))
-    for band, parts, slack in bands(len(found), percent):
-        where = (found % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, where, inner)
-        key = mix(mix(total) + np.arange(parts, dtype=np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(band))
-        full = np.zeros(parts, bool)
-        full[where] = True
-        keys.append(key if parts - full.sum() > slack else key[full])
-    return np.concatenate(keys)
+class Seen(set):
+    """Ids of sets that a task has handled; emptied when it grows large (then some are handled again)."""
 
-
-def _docs(batch: pa.RecordBatch, memo: WordIds, n: int):
-    for text in as_bytes(batch.column("text")):
-        yield shingles(memo.of(text.translate(ASCII_LOWER).split()), n)
+    def first(self, own: int) -> bool:
+        if own in self:
+            return False
+        if len(self) > 500_000:
+            self.clear()
+        self.add(own)
+        return True
 
 
 def shingle_sizes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cls) of every row: number of distinct shingles, id of the set."""
+    """(doc_id, k1, k2, n, cls, piece, at, cells): one row for each row of ``docs`` with its key, its number of distinct
+    shingles and the id of its set, and rows without n that hold a task's counts of the shingles of its different sets, by
+    cell of the sketch (all cells of a piece, or those named in ``at``)."""
+    names = ["doc_id", "k1", "k2", "n", "cls", "piece", "at", "cells"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])))
 
     def run(batches):
-        memo = WordIds()
+        memo, seen, cells = WordIds(), Seen(), np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            sizes, ids, some, held = [], [], [], 0
+            for found in _sets(batch, memo, words):
+                sizes.append(len(found))
+                ids.append(identity(found))
+                if len(found) and seen.first(ids[-1]):
+                    some.append(found)
+                    held += len(found)
+                if held > 500_000:
+                    np.add.at(cells, cell_of(np.concatenate(some)), 1)
+                    some, held = [], 0
+            if some:
+                np.add.at(cells, cell_of(np.concatenate(some)), 1)
+            none = lambda kind: pa.nulls(batch.num_rows, kind)
+            own = [batch.column(c) for c in names[:3]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary())], schema=schema)
+        if cells.any():
+            for piece, dense in enumerate(np.minimum(cells, 65535).astype(np.uint16).reshape(PIECES, -1)):
+                at = np.flatnonzero(dense).astype(np.uint32)
+                few = 3 * len(at) < len(dense)
+                values = [None] * 5 + [piece, at.tobytes() if few else None, (dense[at] if few else dense).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+    return keyed(docs).mapInArrow(run, "doc_id bigint, k1 bigint, k2 int, n bigint, cls bigint, piece int, at binary, cells binary")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(docs))
+
+
+def cell_of(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(7)).astype(np.int64) & (CELLS - 1)
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sketch: 4 * log2(1 + count) of each cell, as a byte; its size is fixed."""
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = [(len(s), identity(s)) for s in _docs(batch, memo, words)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())],
-                ["doc_id", "n", "cls"],
-            )
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint")
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) for each node of the links (a, b) that isn't the least one."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    low = np.arange(len(nodes))
-    while True:
-        least = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    moved = low != np.arange(len(nodes))
-    return nodes[moved], nodes[low[moved]]
-
-
-def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) set ids that agree on a part; a spanning forest of them for each bucket of keys."""
+            for piece, at, cells in zip(*(batch.column(c) for c in ("piece", "at", "cells"))):
+                total = held.setdefault(piece.as_py(), np.zeros(CELLS // PIECES, np.int64))
+                got = np.frombuffer(cells.as_buffer(), np.uint16)
+                total[np.frombuffer(at.as_buffer(), np.uint32) if at.is_valid else slice(None)] += got
+        for piece, total in held.items():
+            level = np.minimum(255, np.floor(4 * np.log2(1 + total))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["piece", "cells"])
+
+    pieces = rows.where("piece is not null").select("piece", "at", "cells").repartition(PIECES, "piece").mapInArrow(add, "piece int, cells binary").collect()
+    out = np.zeros((PIECES, CELLS // PIECES), np.uint8)
+    for r in pieces:
+        out[r["piece"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.ravel()
+
+
+def band_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of sizes: two sets that can link are in the same band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) + 1e-9).astype(np.int64) if percent < 100 else n.astype(np.int64)
+
+
+def memberships(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
+    """(grp, cls): the groups of every set that shares a rare token with another one of like size; repeats occur."""
     buckets = shuffle_parts(docs.sparkSession)
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary())])
 
     def cut(batches):
-        memo, done = WordIds(), set()
+        memo, seen, level = WordIds(), Seen(), levels.value
         for batch in batches:
-            keys, owners = [], []
-            for found in _docs(batch, memo, words):
-                if len(found):
-                    own = identity(found)
-                    if own not in done:
-                        if len(done) > 500_000:
-                            done.clear()
-                        done.add(own)
-                        keys.append(part_keys(found, percent))
-                        owners.append(np.full(len(keys[-1]), own, np.int64))
+            keys, owners, sizes = [], [], []
+            for found in _sets(batch, memo, words):
+                n = len(found)
+                if not n or not seen.first(own := identity(found)):
+                    continue
+                most = n + (-percent * n // 100) + 1  # n - ceil(t * n) + 1
+                rank = level[cell_of(found)]
+                first = np.lexsort((found, rank))[:most]
+                key, at = mix(found[first] * np.uint64(0x9E3779B97F4A7C15)), rank[first]
+                copies = np.ceil(2.0 ** (at / 4.0) / MEETING).astype(np.int64)
+                if (copies > 1).any():  # a token of very many sets: its sets meet in pairs of parts
+                    many = []
+                    for k, c in zip(key, copies):
+                        own_part = own % int(c)
+                        for other in range(int(c)) if c > 1 else ():
+                            code = min(own_part, other) * int(c) + max(own_part, other) + 1
+                            many.append(mix(np.array([int(k) ^ (code * 0x165667B19E3779F9 & (1 << 64) - 1)], np.uint64)))
+                    key = np.concatenate([key[copies == 1], *many])
+                keys.append(key)
+                owners.append(np.full(len(key), own, np.int64))
+                sizes.append(np.full(len(key), n, np.int32))
             if not keys:
                 continue
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            keys, owners, sizes = map(np.concatenate, (keys, owners, sizes))
             bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            keys, owners, bucket = keys[order], owners[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            got = [(k, keys[s:e].tobytes(), owners[s:e].tobytes()) for k, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.binary())],
-                ["bucket", "keys", "owners"],
-            )
+            keys, owners, sizes = keys[order], owners[order], sizes[order]
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            got = [(k, keys[s:e].tobytes(), owners[s:e].tobytes(), sizes[s:e].tobytes()) for k, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def meet(batches):
-        keys, owners = [], []
+        keys, owners, sizes = [], [], []
         for batch in batches:
             keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
             owners += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("owners")]
+            sizes += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("sizes")]
         if not keys:
             return
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        keys, owners, sizes = map(np.concatenate, (keys, owners, sizes))
         order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        same = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
-        node, root = forest(owners[:-1][same], owners[1:][same])
-        for s in range(0, len(node), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(node[s : s + 50_000]), pa.array(root[s : s + 50_000])], ["a", "b"])
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # tokens of one set only meet nobody
+        keys, owners, bands = keys[order], owners[order], band_of(sizes[order], percent)
+        # each set stands under its own band and under the one below, so that sets of neighbouring bands meet
+        keys, owners, bands = np.tile(keys, 2), np.tile(owners, 2), np.concatenate([bands, bands - 1])
+        order = np.lexsort((owners, bands, keys))
+        keys, owners, bands = keys[order], owners[order], bands[order]
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (bands[1:] != bands[:-1])]) if len(keys) else np.zeros(0, bool)
+        start = np.flatnonzero(fresh)
+        if not len(start):
+            return
+        head = np.repeat(owners[start], np.diff(np.concatenate([start, [len(keys)]])))  # owners are sorted: the first is the least
+        pairs = np.unique(np.stack([head, owners], 1)[owners != head], axis=0)
+        for s in range(0, len(pairs), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 50_000, 0]), pa.array(pairs[s : s + 50_000, 1])], ["grp", "cls"])
 
     return (
-        docs.select("text").mapInArrow(cut, "bucket int, keys binary, owners binary")
-        .repartition(buckets, "bucket").mapInArrow(meet, "a bigint, b bigint")
+        docs.select("text").mapInArrow(cut, "bucket int, keys binary, owners binary, sizes binary")
+        .repartition(buckets, "bucket").mapInArrow(meet, "grp bigint, cls bigint")
     )
 
 
@@ -184,12 +233,12 @@ class Linked:
             self.up = new
 
 
-def open_groups(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
+def open_groups(sets: list[np.ndarray], sides: list[int], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Positions (i, j) of verified links that connect what links within ``sets`` connect.
 
-    Where both sides 0 and 1 occur, only sets of different sides are compared.
+    Where both sides 0 and 1 occur, only sets of different sides are compared. ``known``: equal numbers are connected already.
     """
-    if len(sets) < 2:
+    if len(sets) < 2 or all(sides):
         return []
     side, size = np.array(sides), np.array([len(s) for s in sets])
     crossed = len(np.unique(side)) > 1
@@ -199,6 +248,10 @@ def open_groups(sets: list[np.ndarray], sides: list[int], percent: int) -> list[
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(token.max() + 1, bool)
     linked, links = Linked(len(sets)), []
+    if known is not None:
+        named = np.array(known)[order]
+        _, first, which = np.unique(named, return_index=True, return_inverse=True)
+        linked.up = first[which]
     members = np.flatnonzero(side == 1) if crossed else np.arange(len(sets))
     queries = np.flatnonzero(side == 0) if crossed else np.arange(len(sets))
     spans = lambda rows: np.concatenate([token[starts[r] : starts[r + 1]] for r in rows])
@@ -208,8 +261,11 @@ def open_groups(sets: list[np.ndarray], sides: list[int], percent: int) -> list[
 
     for g in range(0, len(members), GROUP_DOCS):
         group = members[g : g + GROUP_DOCS]
+        roots = linked.roots()
         asked = queries if crossed else queries[queries < group[-1]]
         asked = asked[(100 * size[asked] >= percent * size[group].min()) & (100 * size[group].max() >= percent * size[asked])]
+        if len(np.unique(roots[group])) == 1:  # one component: nothing to ask of those that are in it
+            asked = asked[roots[asked] != roots[group[0]]]
         if not len(asked):
             continue
         union = spans(group)
@@ -234,106 +290,132 @@ def open_groups(sets: list[np.ndarray], sides: list[int], percent: int) -> list[
     return links
 
 
-def verified_links(docs: DataFrame, sizes: DataFrame, families: DataFrame, words: int, percent: int, chunk: int = CHUNK_SHINGLES) -> DataFrame:
-    """(a, b) set ids of links that hold, enough to connect every component; ``families``: (cls, family)."""
-    spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
-    step = math.log(100 / percent)
-    firsts = sizes.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    nodes = table(firsts.join(families, "cls").withColumn("band", F.floor(F.log("n") / step).cast("int")), "family")
-    cut = F.ceil(F.sum("n") / chunk).cast("int")
-    whole = nodes.groupBy("family").agg(cut.alias("all"))
-    by_band = nodes.groupBy("family", "band").agg(cut.alias("cut"))
-    large = by_band.join(whole.where("all > 1").drop("all"), "family", "left_semi")
-    large = large.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "cut"))).alias("cuts"))
-    plan = nodes.join(large, "family", "left")
-    # a set of chunk c in band k meets the chunks of its own band and of the next larger and smaller ones
-    own = F.pmod(F.xxhash64("cls"), F.col("cuts")[F.col("band")].cast("bigint")).cast("int")
-    with_band = lambda k: F.when(
-        F.col("cuts")[F.col("band") + k].isNotNull(),
-        F.transform(
-            F.sequence(F.lit(0), F.col("cuts")[F.col("band") + k] - 1),
-            lambda c: F.struct(
-                F.least(F.col("band"), F.col("band") + k).alias("low"),
-                F.when(F.lit(k) == 0, F.least("own", c)).when(F.lit(k) > 0, F.col("own")).otherwise(c).alias("low_cut"),
-                F.greatest(F.col("band"), F.col("band") + k).alias("high"),
-                F.when(F.lit(k) == 0, F.greatest("own", c)).when(F.lit(k) > 0, c).otherwise(F.col("own")).alias("high_cut"),
-                F.when(F.lit(k) == 0, F.when(F.col("own") > c, 1).otherwise(0)).when(F.lit(k) > 0, 0).otherwise(1).alias("side"),
-            ),
-        ),
-    ).otherwise(F.array())
-    unit = "array<struct<low:int,low_cut:int,high:int,high_cut:int,side:int>>"
-    alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("low_cut"), F.lit(0).alias("high"), F.lit(0).alias("high_cut"), F.lit(0).alias("side")))
-    plan = plan.withColumn("own", own).withColumn(
-        "unit",
-        F.when(F.col("cuts").isNull(), alone.cast(unit)).otherwise(F.flatten(F.array(*(with_band(k).cast(unit) for k in (-1, 0, 1))))),
-    ).select("doc_id", "cls", "family", "unit")
-    few = plan.count() <= 1_000_000  # then the keys are small enough to be sent to every executor; else both sides are shuffled
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(plan) if few else plan, "doc_id")
+def verified_links(docs: DataFrame, firsts: DataFrame, plan: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) set ids of links that hold, enough to connect what each unit connects.
+
+    ``firsts``: (cls, doc_id, k1, k2) of one row of each set. ``plan``: (cls, unit, side, known): a set's shingles go to each of its
+    units once; ``open_groups`` says what side and known mean.
+    """
+    parts = shuffle_parts(docs.sparkSession)
+    unit = "array<struct<unit:bigint,side:int,known:bigint>>"
+    by_set = plan.groupBy("cls").agg(F.collect_set(F.struct("unit", "side", "known")).alias("units"))
+    wanted = table(by_set.join(firsts, "cls").select(F.col("doc_id").alias("wanted"), F.col("k1").alias("w1"), F.col("k2").alias("w2"), "cls", "units"), "wanted")
+    n, units = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("units")), F.lit(0))).first()
+    few = n <= FEW and units <= 4 * FEW  # then rows and units are small enough to be sent to every executor; else both sides are shuffled
+    same = F.col("doc_id").eqNullSafe(F.col("wanted")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
+    texts = keyed(docs).join(F.broadcast(wanted) if few else wanted, same)
 
     def load(batches):
-        memo = WordIds()
+        memo, seen = WordIds(), Seen()
         for batch in batches:
             want = batch.column("cls").to_pylist()
-            found = [s.tobytes() if identity(s) == w else None for s, w in zip(_docs(batch, memo, words), want)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), batch.column("family"), batch.column("unit"), pa.array(found, pa.binary())], ["cls", "family", "unit", "found"]
-            )
+            found = [s.tobytes() if identity(s) == w and seen.first(w) else None for s, w in zip(_sets(batch, memo, words), want)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("units"), pa.array(found, pa.binary())], ["cls", "units", "found"])
 
     units = (
-        texts.select("text", "cls", "family", "unit").mapInArrow(load, f"cls bigint, family bigint, unit {unit}, found binary")
-        .where("found is not null").select("cls", "family", F.explode("unit").alias("u"), "found")
-        .select("family", F.struct("u.low", "u.low_cut", "u.high", "u.high_cut").alias("unit"), "u.side", "cls", "found")
-        .repartition(parts, "family", "unit").sortWithinPartitions("family", "unit")
-        .select(F.xxhash64("family", "unit").alias("unit"), "side", "cls", "found")
+        texts.select("text", "cls", "units").mapInArrow(load, f"cls bigint, units {unit}, found binary")
+        .where("found is not null").select("cls", F.explode("units").alias("u"), "found").select("u.unit", "u.side", "u.known", "cls", "found")
+        .repartition(parts, "unit").sortWithinPartitions("unit")
     )
 
     def verify(batches):
-        last, ids, sides, sets = None, [], [], []
+        last, rows = None, {}
 
         def flush():
-            kept = dict(zip(zip(ids, sides), sets))  # a doc_id that occurs again brings the same set again
-            names, rows = list(kept), list(kept.values())
-            out = open_groups(rows, [s for _, s in names], percent)
-            a, b = (pa.array([names[x[k]][0] for x in out], pa.int64()) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            names, held = list(rows), list(rows.values())
+            known = [k for k, _ in held]
+            out = open_groups([s for _, s in held], [side for _, side in names], percent, known if known[0] is not None else None)
+            return pa.RecordBatch.from_arrays([pa.array([names[x[k]][0] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for unit_id, side, cls, found in zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "cls", "found"))):
-                if unit_id != last and ids:
+            for unit_id, side, known, cls, found in zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "known", "cls", "found"))):
+                if unit_id != last and rows:
                     yield flush()
-                    ids, sides, sets = [], [], []
+                    rows = {}
                 last = unit_id
-                ids.append(cls), sides.append(side), sets.append(np.frombuffer(found, np.uint64))
-        if ids:
+                rows[cls, side] = (known, np.frombuffer(found, np.uint64))  # a set that comes again is the same
+        if rows:
             yield flush()
 
     return units.mapInArrow(verify, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def group_links(docs: DataFrame, sizes: DataFrame, words: int, percent: int, part: int = PART_SHINGLES) -> DataFrame:
+    """(node, root) of the components of all links between different sets."""
+    spark = docs.sparkSession
+    levels = spark.sparkContext.broadcast(summed(sizes))
+    own = sizes.where("n > 0")
+    firsts = own.groupBy("cls").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.min("n").alias("n")).select("cls", "row.*", "n")
+    members = memberships(docs, words, percent, levels).distinct()
+    members = table(members.union(members.select("grp", F.col("grp").alias("cls")).distinct()), "members")
+    sized = members.join(firsts.select("cls", "n"), "cls")
+    parts = sized.groupBy("grp").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
+    placed = table(members.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("cls", "grp"), F.col("parts").cast("bigint")).cast("int")), "placed")
+    nothing = F.lit(None).cast("bigint")
+    unit = lambda *extra: F.xxhash64("grp", *extra)
+    large = placed.where("parts > 1")
+    heads = large.where("cls = grp").select("grp", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    plan = placed.select("cls", unit("part").alias("unit"), F.lit(0).alias("side"), nothing.alias("known"))
+    plan = plan.union(heads.select("cls", unit("part"), F.lit(0), nothing)).distinct()
+    links = table(verified_links(docs, firsts, plan, words, percent), "links")
+    roots = components(links)
+    drop(members)
+    if large.isEmpty():
+        drop(placed, links)
+        return roots
+    # what isn't connected to the bulk of its large group is asked of the group's other parts
+    named = large.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("grp", "cls", "parts", "part", F.coalesce("root", "cls").alias("known"))
+    named = table(named, "named")
+    bulk = named.groupBy("grp", "known").count().groupBy("grp").agg(F.max_by("known", F.struct("count", "known")).alias("bulk"))
+    left = table(named.join(bulk, "grp").where("known <> bulk").select("grp", "cls", "parts", "known"), "left")
+    if left.isEmpty():
+        drop(placed, links, named, left)
+        return roots
+    blocks = left.join(firsts.select("cls", "n"), "cls").groupBy("grp").agg(F.ceil(F.sum("n") / part).cast("int").alias("blocks"))
+    asking = left.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks").cast("bigint")).cast("int"))
+    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = named.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    again = asking.select("cls", unit("part", "block").alias("unit"), F.lit(0).alias("side"), "known").union(asked.select("cls", unit("part", "block"), F.lit(1), "known"))
+    out = components(links.union(verified_links(docs, firsts, again, words, percent)))
+    drop(placed, links, named, left)
+    return out
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, part: int = PART_SHINGLES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Texts are lower-cased (A-Z) and split at white space; a text's set has its distinct runs of ``words`` words (fewer
     words: one run). Two sets link when 100 * intersection >= percent * union. Null and empty texts have no shingles and
-    link with nothing. Repeated rows give repeated rows. Rows without doc_id count no component: component_id is null.
-    Other columns are ignored. An empty table gives no rows.
+    link with nothing. Repeated rows give repeated rows. Rows without doc_id take part in links, but name no component: their
+    component_id is the least doc_id that they reach, or null. Other columns are ignored. An empty table gives no rows.
     """
     sizes = table(shingle_sizes(docs, words), "sizes")
-    roots = components(candidate_links(docs, words, percent))
-    families = roots.select(F.col("node").alias("cls"), F.col("root").alias("family"))
-    families = table(families.union(families.select(F.col("family").alias("cls"), "family").distinct()), "families")
-    found = components(verified_links(docs, sizes, families, words, percent, chunk))
-    nodes = sizes.where("n > 0").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return spread(sizes, group_links(docs, sizes, words, percent, part))
+
+
+def spread(sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    nodes = sizes.where("n > 0").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = nodes.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
+    out = nodes.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.union(sizes.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` but for near duplicates: of each component the document of least doc_id stays, once."""
-    found = table(jaccard_components(docs, words, percent), "components")
-    kept = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    """Rows of ``docs`` but for near duplicates: of each component one row stays, that of the least doc_id.
+
+    Rows without doc_id come last in that order and are known by their texts: the least text hash stays where a component
+    has no other rows. A row that occurs again, in doc_id and text, stays once. Rows of null or empty texts all stay.
+    """
+    sizes = table(shingle_sizes(docs, words), "sizes")
+    roots = group_links(docs, sizes, words, percent).withColumnRenamed("node", "cls")
+    nodes = sizes.where("n > 0").join(roots, "cls", "left").select(F.coalesce("root", "cls").alias("root"), "doc_id", "k1", "k2")
+    nodes = table(nodes.groupBy("root", "doc_id", "k1", "k2").agg(F.count("*").alias("times")), "nodes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
+    best = nodes.groupBy("root").agg(F.min(order).alias("best"))
+    marked = nodes.join(best, "root").select("doc_id", "k1", "k2", "times", (order == F.col("best")).alias("kept"))
+    kept = without_rows(docs, marked.where("not kept").select("doc_id", "k1", "k2"))
+    again = table(marked.where("kept and times > 1").select("doc_id", "k1", "k2"), "again")
+    drop(sizes)
+    if again.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return without_rows(kept, again).union(rows_among(kept, again).dropDuplicates(["_doc", "_k1", "_k2"]).select(*docs.columns))

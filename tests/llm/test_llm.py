@@ -106,20 +106,43 @@ def near_copies(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("n,percent,chunk", [(4, 85, 10**6), (5, 80, 10**6), (4, 85, 300)])
-def test_jaccard_components(spark, n, percent, chunk):
+@pytest.mark.parametrize("n,percent,part,meeting", [(4, 85, 10**6, 1 << 20), (5, 80, 10**6, 1 << 20), (4, 85, 300, 1 << 20), (5, 80, 150, 1 << 20), (4, 85, 10**6, 3)])
+def test_jaccard_components(spark, monkeypatch, n, percent, part, meeting):
+    """``part`` forces groups of several parts, ``meeting`` tokens whose sets meet in several places."""
+    monkeypatch.setattr(tokengroups, "MEETING", meeting)
     rows = near_copies()
-    got = tokengroups.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n, percent, chunk).collect()
+    got = tokengroups.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n, percent, part).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == brute_components(rows, n, percent)
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    """Documents 1 and 3 are near copies of the row without id, not of each other."""
+    base = [f"w{k}" for k in range(60)]
+    first, last = ["x1", "x2", *base[2:]], [*base[:-3], "y1", "y2", "y3"]
+    rows = [(3, " ".join(first)), (1, " ".join(last)), (None, " ".join(base)), (None, "alone here in this text")]
+    named = brute_components([(9 if d is None else d, t) for d, t in rows[:3]], 4, 85)
+    assert named[3][1] == 1 and brute_components(rows[:2], 4, 85)[3][1] == 3
+    got = tokengroups.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("3", "1"), ("None", "1"), ("None", "None")]
+
+
+def test_rows_without_id_are_told_apart_by_text(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (None, text + " more"), (None, "a quite different row of text"), (5, text), (5, text), (5, "another text under the same id"), (None, None), (None, "")]
+    kept = tokengroups.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[2], rows[3], rows[5], rows[6], rows[7]]))
+    bench = spark.createDataFrame([(1, "quite different row"), (2, "w7")], "item_id bigint, text string")
+    left = decontaminate.without_benchmark(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [rows[5], rows[6], rows[7]]))
+
+
 def test_jaccard_odd(spark, odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in tokengroups.jaccard_components(odd, 4, 85).collect()), key=lambda r: (r[0] is None, r))
     assert [(d, c) for d, _, c in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (6, 6), (7, 6), (8, 8), (9, 8), (None, None)]
     assert tokengroups.jaccard_components(none, 4, 85).count() == 0
     kept = tokengroups.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 8]
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 8] and kept.where("doc_id is null").count() == 1
 
 
 def test_open_groups_agree_with_brute_force():
@@ -139,6 +162,10 @@ def test_open_groups_agree_with_brute_force():
     assert parts(tokengroups.open_groups(sets, [0] * 80, 85)) == parts(every)
     side = [k % 2 for k in range(80)]
     assert parts(tokengroups.open_groups(sets, side, 85)) == parts([(i, j) for i, j in every if side[i] != side[j]])
+    known = [0 if k < 30 else k for k in range(80)]
+    joined = [(k, 0) for k in range(1, 30)]
+    assert parts(tokengroups.open_groups(sets, [0] * 80, 85, known) + joined) == parts(every + joined)
+    assert tokengroups.open_groups(sets, [1] * 80, 85) == []
 
 
 def test_language_model(spark, docs):
