@@ -393,6 +393,54 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<float>")).collect()[0].vec_id == 1
 
 
+def brute_nearest(rows, every, k):
+    x = {d: np.array(v, float) for d, v in rows}
+    out = {}
+    for q in sorted(d for d in x if d % every == 0):
+        near = {d: round(float(x[q] @ v) / math.sqrt(float(x[q] @ x[q]) * float(v @ v)), 12) for d, v in x.items() if d != q}
+        out[q] = sorted(near, key=lambda d: (-near[d], d))[:k]
+    return out
+
+
+def found_nearest(df, **more):
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, **more).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    return dict(got)
+
+
+def test_neighbours_ties(spark):
+    """Sixty multiples of one vector, quantised vectors of equal cosines, repeated rows and columns with clashing names."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=8)
+    rows = [(k, (v * (k + 1)).tolist()) for k in range(60)] + [(60 + k, rng.choice([-1.0, 0.0, 1.0], 8).tolist()) for k in range(140)]
+    rows = [(d, x) for d, x in rows if any(x)]
+    named = [(d, x, 1, 2.0, "c1") for d, x in rows + rows[:30]]
+    got = found_nearest(spark.createDataFrame(named, "vec_id bigint, embedding array<double>, rank int, score double, leaf string"))
+    assert got == brute_nearest(rows, 50, 5) and got[0] == [1, 2, 3, 4, 5]
+
+
+def test_neighbours_tree_grows(spark):
+    """Clustered vectors, a tree that is fitted on few of them and grows by splitting: recall, and the share of leaves visited."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 24))
+    rows = [(k, (centres[k % 60] + 0.15 * rng.normal(size=24)).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want, got = brute_nearest(rows, 50, 5), found_nearest(df, sample=400, split=200)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+    entries = df.select(F.col("vec_id").alias("c1"), F.col("vec_id").alias("c2"), "vec_id", F.col("embedding").alias("v"))
+    tree = neighbours.grown(entries, 4000, 400, 200)
+    leaves = tree.assign(neighbours.unit(np.array([v for _, v in rows])))
+    assert np.bincount(leaves).max() <= 200 and len(set(leaves)) > 40
+    assert all(sorted(tree.visit(neighbours.unit(np.array([rows[q][1]]))[0], tree.leaves)) == list(range(tree.leaves)) for q in (0, 50))
+    at = np.array([v for _, v in rows])
+    unit = neighbours.unit(at)
+    asked = list(range(0, 4000, 50))
+    near = [[int(leaves[b]) for b in np.argsort(-np.where(np.arange(4000) == q, -9, unit @ unit[q]))[:5]] for q in asked]
+    tree.calibrate(at[asked], near)
+    assert tree.visits < 0.2 * tree.leaves
+
+
 PAGE = """<html><head><title>t</title><script>var a="<p>";</script></head><body><header><a href=/>Home</a></header><div id="cookie-notice">We use cookies on this site.</div>
 <main><article><h1>Title &amp; more</h1><p>First  long paragraph,<br>with <b>words</b> enough.</p><div class="ad">Buy now!</div><ul><li>Point one.<li>Point two.</ul><form>Mail</form></article>
 <section class="comments"><p>I think this is a great article, thanks for sharing it with us all.</p></section></main><footer>c 2020</footer></body></html>"""
