@@ -1,16 +1,17 @@
 """Main text of web pages by minimum-cut labelling of their blocks (operator 2).
 
-A page is cut into blocks of text. A linear classifier gives each block a cost for being taken as boilerplate and one for
-being taken as content: the capacities of its edges to the two terminals. Blocks that follow each other, and the more so
-the nearer they stand in the DOM, are joined by smoothness edges. The minimum cut, found by max-flow, separates content
-from boilerplate.
+A page is cut into blocks of text. A linear classifier of words, links, sentence marks and place gives each block a cost for
+being taken as boilerplate and one for being taken as content: the capacities of its edges to the two terminals. Names and
+classes of elements are only part of that evidence. Blocks that follow each other, and the more so the nearer they stand in
+the DOM, are joined by smoothness edges, weak ones where their elements say different things. The minimum cut, found by
+max-flow, separates content from boilerplate: short lines go with what stands around them.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,26 +35,45 @@ CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|story|entry|post-bod
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+)|(<)", re.S)
 ATTRIBUTES = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/>]|\Z))", re.I)
-#: Weights of the classifier and of the smoothness edges.
-BASE, PER_WORD, WORDS_MOST, LINKS, IN_CONTENT, OUTSIDE, BOILER, SENTENCE, HEADING = -0.5, 0.04, 40, -5.0, 3.0, -4.0, -9.0, 0.5, 0.5
-NEXT, NEAR = 0.6, 1.2
+#: Weights of the classifier (log-odds of content): a block without words that matter, each word up to a limit, a sentence's
+#: end and each mark inside up to a limit, all text linked, place within or outside an article, heading, hinted as boilerplate.
+BASE, PER_WORD, WORDS_MOST, SENTENCE, MARK, MARKS_MOST, LINKS = -0.8, 0.08, 40, 0.6, 0.1, 4, -3.0
+IN_CONTENT, OUTSIDE, HEADING, BOILER = 1.5, -1.5, 0.3, -6.0
+#: Capacities of smoothness edges: blocks that follow each other, blocks under one parent (halved with each step between them
+#: and for another element name), and the factor where one of them is hinted or in an article and the other isn't.
+NEXT, NEAR, CONTRAST = 0.5, 1.2, 0.15
+#: Steps in the DOM beyond which nearness counts nothing.
+STEPS = 8
+
+
+class Element:
+    """An open element: its nearest block-level element (for a block-level one: itself), and what it says of its text."""
+
+    __slots__ = ("name", "parent", "depth", "block", "boiler", "content", "link", "heading")
+
+    def __init__(self, name: str, parent: Element | None, boiler: bool = False, content: bool = False, link: bool = False):
+        self.name, self.boiler, self.content, self.link = name, boiler, content, link
+        inline = name in INLINE and parent is not None
+        self.parent = parent.block if parent else None
+        self.depth = self.parent.depth + (not inline) if parent else 0
+        self.block = self.parent if inline else self
+        self.heading = name in HEADINGS or bool(parent and parent.heading)
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "boiler", "content", "heading")
+    __slots__ = ("parts", "linked", "at", "heading")
 
-    def __init__(self, path: tuple[int, ...], boiler: bool, content: bool, heading: bool):
+    def __init__(self, under: Element):
         self.parts: list[str] = []
-        self.linked, self.path, self.boiler, self.content, self.heading = 0, path, boiler, content, heading
+        self.linked, self.at, self.heading = 0, under.block, under.heading
 
 
 def blocks(page: str) -> list[tuple[str, Block]]:
-    """(text, block) of every stretch of text between block elements, in page order."""
-    # an open element: name, number, boilerplate, content, link
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    """(text, block) of every stretch of text between block elements, in page order; time is linear in the page."""
+    stack, opened = [Element("", None)], Counter()
     found: list[Block] = []
     now: Block | None = None
-    serial, at, end = 0, 0, len(page)
+    at, end = 0, len(page)
     while at < end:
         token = TOKEN.match(page, at)
         if token is None:
@@ -62,13 +82,11 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         closing, name, rest, text, lone = token.groups()
         if text or lone:
             if now is None:
-                _, _, boiler, content, _ = stack[-1]
-                heading = any(x[0] in HEADINGS for x in stack)
-                now = Block(tuple(x[1] for x in stack if x[0] not in INLINE), boiler, content, heading)
+                now = Block(stack[-1])
                 found.append(now)
             text = text or lone
             now.parts.append(text)
-            if stack[-1][4]:
+            if stack[-1].link:
                 now.linked += len(text.strip())
         elif name is None:
             continue
@@ -77,9 +95,10 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if name not in INLINE:
                 now = None
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while opened[name]:
+                    last = stack.pop().name
+                    opened[last] -= 1
+                    if last == name:
                         break
                 continue
             if name == "br":
@@ -92,19 +111,19 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                 close = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body[\s>]", re.I).search(page, at)
                 at = end if close is None else close.start() if close.group()[1] != "/" else close.end()
                 continue
-            while len(stack) > 1 and stack[-1][0] in INLINE and name not in INLINE:
-                stack.pop()  # a block element ends inline ones that were left open
-            if name in CLOSES and stack[-1][0] in CLOSES[name]:
-                stack.pop()
+            while len(stack) > 1 and stack[-1].name in INLINE and name not in INLINE:
+                opened[stack.pop().name] -= 1  # a block element ends inline ones that were left open
+            if name in CLOSES and stack[-1].name in CLOSES[name]:
+                opened[stack.pop().name] -= 1
             if rest.endswith("/") and name not in INLINE:
                 continue
-            _, _, boiler, content, link = stack[-1]
+            under = stack[-1]
             hints = " ".join((m[1] or m[0]).strip("\"'") if m[0].lower() != "style" else ("hidden" if re.search(r"display\s*:\s*none", m[1]) else "") for m in ATTRIBUTES.findall(rest)).lower() if rest else ""
-            serial += 1
             inside = name in CONTENT_TAGS or bool(hints and CONTENT_WORDS.search(hints))
             # the header of an article isn't the page's, and the body isn't boilerplate for its class
-            own = name in BOILER_TAGS and not (name == "header" and content) or bool(hints and name not in ("body", "html", "article", "main") and not inside and BOILER_WORDS.search(hints))
-            stack.append((name, serial, boiler or own, content or inside, link or name == "a"))
+            own = name in BOILER_TAGS and not (name == "header" and under.content) or bool(hints and name not in ("body", "html", "article", "main") and not inside and BOILER_WORDS.search(hints))
+            stack.append(Element(name, under, under.boiler or own, under.content or inside, under.link or name == "a"))
+            opened[name] += 1
     out = []
     for block in found:
         words = html.unescape("".join(block.parts)).split()
@@ -116,14 +135,27 @@ def blocks(page: str) -> list[tuple[str, Block]]:
 def evidence(text: str, block: Block, has_content: bool) -> float:
     """The classifier's log-odds of content."""
     score = BASE + PER_WORD * min(text.count(" ") + 1, WORDS_MOST) + LINKS * min(1.0, block.linked / len(text))
-    score += SENTENCE * (text[-1] in ".!?\"'”»") + HEADING * block.heading + BOILER * block.boiler
-    return score + (IN_CONTENT if block.content else OUTSIDE if has_content else 0.0)
+    score += SENTENCE * (text[-1] in ".!?\"'”»") + MARK * min(MARKS_MOST, text.count(", ") + text.count(". "))
+    score += HEADING * block.heading + BOILER * block.at.boiler
+    return score + (IN_CONTENT if block.at.content else OUTSIDE if has_content else 0.0)
+
+
+def steps_between(a: Element, b: Element) -> int:
+    """Elements to climb from both to their common one, up to ``STEPS``; siblings and an element itself are at 2 or fewer."""
+    steps = 0
+    while a is not b and steps < STEPS:
+        if a.depth >= b.depth:
+            a, steps = a.parent, steps + 1
+        else:
+            b, steps = b.parent, steps + 1
+    return steps
 
 
 def smoothness(a: Block, b: Block) -> float:
-    """Capacity between blocks that follow each other; the part for DOM proximity falls with the steps between them."""
-    common = sum(x == y for x, y in zip(a.path, b.path))
-    return NEXT + NEAR * 0.5 ** max(0, len(a.path) + len(b.path) - 2 * common - 2)
+    """Capacity between blocks that follow each other."""
+    x, y = a.at, b.at
+    near = NEXT + NEAR * 0.5 ** (max(0, steps_between(x, y) - 2) + (x.name != y.name))
+    return near * (CONTRAST if x.boiler != y.boiler or x.content != y.content else 1.0)
 
 
 def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -149,47 +181,70 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
             near[k] = {}
     left = [k for k in range(n) if fixed[k] is None]
     if left:
-        source, sink = n, n + 1
-        flow: dict[int, dict[int, float]] = {k: dict(near[k]) for k in left} | {source: {}, sink: {}}
+        inside = _source_side(left, score, near)
         for k in left:
-            a, b = (source, k) if score[k] > 0 else (k, sink)
-            flow[a][b] = abs(score[k])
-            flow[b].setdefault(a, 0.0)
-        while True:
-            before, queue = {source: source}, deque([source])
-            while queue and sink not in before:
-                a = queue.popleft()
-                for b, room in flow[a].items():
-                    if room > 1e-9 and b not in before:
-                        before[b] = a
-                        queue.append(b)
-            if sink not in before:
-                break
-            path, b = [], sink
-            while b != source:
-                path.append((before[b], b))
-                b = before[b]
-            most = min(flow[a][b] for a, b in path)
-            for a, b in path:
-                flow[a][b] -= most
-                flow[b][a] = flow[b].get(a, 0.0) + most
-        for k in left:
-            fixed[k] = k in before
+            fixed[k] = k in inside
     return fixed
 
 
-def main_text(page: str) -> str:
-    """The page's content blocks, joined by newlines."""
+def _source_side(left: list[int], score: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes of ``left`` on the source's side of the minimum cut, by blocking flows (Dinic)."""
+    source, sink = len(score), len(score) + 1
+    room: dict[int, dict[int, float]] = {k: dict(near[k]) for k in left} | {source: {}, sink: {}}
+    for k in left:
+        a, b = (source, k) if score[k] > 0 else (k, sink)
+        room[a][b] = abs(score[k])
+        room[b].setdefault(a, 0.0)
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            a = queue.popleft()
+            for b, most in room[a].items():
+                if most > 1e-9 and b not in level:
+                    level[b] = level[a] + 1
+                    queue.append(b)
+        if sink not in level:
+            return set(level) - {source}
+        arcs = {k: iter(list(room[k])) for k in level}
+        path = [source]
+        while path:
+            a = path[-1]
+            if a == sink:
+                flow = min(room[x][y] for x, y in zip(path, path[1:]))
+                for n, (x, y) in enumerate(zip(path, path[1:])):
+                    room[x][y] -= flow
+                    room[y][x] = room[y].get(x, 0.0) + flow
+                first = next(n for n, (x, y) in enumerate(zip(path, path[1:])) if room[x][y] <= 1e-9)
+                for x in path[first + 1 :]:  # what lies beyond the full edge may be tried again from elsewhere
+                    arcs[x] = iter(list(room[x]))
+                del path[first + 1 :]
+                continue
+            onward = next((b for b in arcs[a] if level.get(b) == level[a] + 1 and room[a][b] > 1e-9), None)
+            if onward is None:
+                level[a] = -1
+                path.pop()
+            else:
+                path.append(onward)
+
+
+def labelled(page: str, smooth: bool = True) -> list[tuple[str, bool, bool]]:
+    """(text, whether it is content, whether its own score says so) of the page's blocks; without ``smooth``, edges are left out."""
     found = blocks(page)
-    has_content = any(b.content and not b.boiler for _, b in found)
+    has_content = any(b.at.content and not b.at.boiler for _, b in found)
     score = [evidence(text, block, has_content) for text, block in found]
     edges = [(k, k + 1, smoothness(found[k][1], found[k + 1][1])) for k in range(len(found) - 1)]
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
     for k, (_, block) in enumerate(found):  # blocks of one parent, also across what stands between
-        if (j := last.get(block.path[:-1])) is not None and j < k - 1:
-            edges.append((j, k, NEAR * 0.5))
-        last[block.path[:-1]] = k
-    return "\n".join(text for (text, _), kept in zip(found, min_cut(score, edges)) if kept)
+        if (j := last.get(id(block.at.parent))) is not None and j < k - 1:
+            edges.append((j, k, smoothness(found[j][1], block) - NEXT * (CONTRAST if block.at.boiler != found[j][1].at.boiler else 1.0)))
+        last[id(block.at.parent)] = k
+    kept = min_cut(score, [(a, b, max(0.0, w)) for a, b, w in edges] if smooth else [])
+    return [(text, k, own > 0) for (text, _), k, own in zip(found, kept, score)]
+
+
+def main_text(page: str) -> str:
+    """The page's content blocks, joined by newlines."""
+    return "\n".join(text for text, kept, _ in labelled(page) if kept)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

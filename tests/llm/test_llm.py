@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -451,12 +452,51 @@ def test_main_text(spark):
     got = {r.page_id: r for r in html_text.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()}
     assert got[1].text == "Title & more\nFirst long paragraph, with words enough.\nPoint one.\nPoint two."
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == ""
+    assert html_text.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def made_page(rng):
+    """A page without telling names or classes but for an advert, and the blocks of its article."""
+    word = lambda: rng.choice("stone river walks under light seven green after field music".split())
+    line = lambda n: " ".join(word() for _ in range(n))
+    want, body = [], []
+    for _ in range(rng.randrange(3, 6)):
+        tag = rng.choice(["p", "p", "li"])
+        for _ in range(rng.randrange(2, 5)):
+            text = line(rng.randrange(15, 40)) + ", " + line(6) + "." if rng.random() < 0.6 else line(rng.randrange(1, 5))
+            body.append(f"<{tag}>{text}</{tag}>")
+            want.append(text)
+    long = [k for k, text in enumerate(want) if len(text.split()) > 6] or [0]
+    body, want = body[long[0] : long[-1] + 1], want[long[0] : long[-1] + 1]
+    body.insert(rng.randrange(1, len(body) + 1), f"<div class='ad'>{line(9)}.</div>")
+    menu = [f"<li><a href=/x>{line(2)}</a></li>" for _ in range(8)]
+    menu[rng.randrange(1, 7)] = f"<li>{line(6)}.</li>"
+    return f"<body><ul>{''.join(menu)}</ul><div>{''.join(body)}</div><div>{''.join(menu)}</div></body>", want
+
+
+def test_smoothness_edges_matter():
+    """Made pages have their article whole with the edges, and lose blocks or take in others without them."""
+    rng, right, without, moved = random.Random(11), 0, 0, 0
+    for _ in range(100):
+        page, want = made_page(rng)
+        got = html_text.labelled(page)
+        right += [text for text, kept, _ in got if kept] == want
+        moved += sum(kept != own for _, kept, own in got)
+        without += [text for text, kept, _ in html_text.labelled(page, smooth=False) if kept] == want
+    assert right >= 80 and without <= 5 and moved >= 200
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div>t " * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<p>Yes<p>no links here at all, is it.<p><a>go</a>" * 20_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 15
 
 
 def test_min_cut_agrees_with_enumeration():
     rng = random.Random(6)
     for _ in range(100):
-        n = rng.randrange(1, 8)
+        n = rng.randrange(1, 10)
         score = [rng.uniform(-3, 3) for _ in range(n)]
         edges = [(i, j, rng.uniform(0, 2)) for i in range(n) for j in range(i) if rng.random() < 0.5]
         cost = lambda y: sum(max(s, 0) * (not v) + max(-s, 0) * v for s, v in zip(score, y)) + sum(w for i, j, w in edges if y[i] != y[j])
