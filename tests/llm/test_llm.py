@@ -185,7 +185,7 @@ def test_language_model(spark, docs):
 def test_language_model_beyond_the_broadcast_bound(docs, odd):
     for table in (docs, odd):
         key = lambda r: (str(r.doc_id), r.n_tokens)
-        here, there = (sorted(language_model.lm_scores(table, most).collect(), key=key) for most in (10**9, 0))
+        here, there = (sorted(language_model.lm_scores(table, most, 3).collect(), key=key) for most in (10**9, 0))
         assert [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in here] == [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in there]
 
 
@@ -200,7 +200,59 @@ def test_filter_levels():
 def test_levels_of_counts():
     counts = np.array([0, 1, 2, 3, 4, 7, 8])
     assert language_model.level_of(counts).tolist() == [0, 1, 2, 2, 3, 3, 4]
-    assert language_model.count_of(np.arange(5)).tolist() == [0, 1, 2.5, 5.5, 11.5]
+    assert language_model.count_of(np.arange(5)).tolist() == [0, 1, 2, 4, 8]
+
+
+class Dictionaries:
+    """The model of the language-model operator in dictionaries."""
+
+    def __init__(self, texts):
+        self.single, self.pairs, self.triples = collections.Counter(), collections.Counter(), collections.Counter()
+        for own in texts:
+            own = [*own, "END"]
+            self.single.update(own)
+            self.pairs.update(zip(["START", *own], own))
+            self.triples.update(zip(["START", *own], own, own[1:]))
+        low = lambda c: 2 ** (c.bit_length() - 1)
+        self.pairs, self.triples = ({k: low(c) for k, c in x.items()} for x in (self.pairs, self.triples))
+        self.after, self.after2 = collections.Counter(), collections.Counter()
+        for (v, _), g in self.pairs.items():
+            self.after[v] += g
+        for (u, v, _), g in self.triples.items():
+            self.after2[u, v] += g
+        self.n, self.v = sum(self.single.values()), len(self.single)
+
+    def p(self, w, v, u=None):
+        single = (self.single[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        two = (self.pairs.get((v, w), 0) + language_model.PAIR * single) / (self.after[v] + language_model.PAIR)
+        return two if u is None else (self.triples.get((u, v, w), 0) + language_model.TRIPLE * two) / (self.after2[u, v] + language_model.TRIPLE)
+
+    def score(self, own, order):
+        own = ["START", *own, "END"]
+        return sum(math.log10(self.p(w, own[k - 1], own[k - 2] if k > 1 and order > 2 else None)) for k, w in enumerate(own) if k)
+
+
+@pytest.mark.parametrize("most,order", [(10**9, 3), (0, 3), (10**9, 2), (0, 2)])
+def test_language_model_agrees_with_dictionaries(spark, most, order):
+    rng = random.Random(9)
+    rows = [(d, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(0, 60)))) for d in range(300)]
+    rows += [(1000 + d, rows[d][1]) for d in range(40)]
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 1}
+    twin = Dictionaries([t.split() for d, t in rows if d not in held])
+    got = {r.doc_id: r.score for r in language_model.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), most, order).collect()}
+    off = [abs(got[d] - twin.score(t.split(), order)) / (1 + len(t.split())) for d, t in rows]
+    assert np.median(off) < 1e-9 and np.mean(np.array(off) > 1e-9) < 0.3 and max(off) < 0.1  # false positives of the filter
+    for v, u in (("ax", None), ("bz", "cy"), ("START", None), ("nobody", "no"), ("ax", "START")):
+        assert sum(twin.p(w, v, u) for w in [*twin.single, "unknown"]) == pytest.approx(1)
+
+
+def test_sums_of_pairs_from_their_digits():
+    keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    totals = np.arange(3000) % 97
+    levels = language_model.level_of(totals + 1) + 1
+    bits = language_model.build(keys, levels, language_model.digits_of(keys, totals))
+    got = language_model.probe_total(bits, np.zeros(3000, np.int64), np.full(3000, 8 * len(bits), np.uint64), keys, levels)
+    assert (got != totals).mean() < 0.1 and ((got & totals) == totals).all()
 
 
 @pytest.mark.parametrize("most", [10**9, 0])
@@ -212,7 +264,7 @@ def test_pair_seen_once_counts(spark, most):
     got = {r.doc_id: r for r in language_model.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), most).collect()}
     known, unseen = got[ids[True][0]], got[ids[True][1]]
     assert known.held_out and unseen.held_out and known.base_score == pytest.approx(unseen.base_score)
-    assert known.score > known.base_score > unseen.score
+    assert known.score > known.base_score + 3 and abs(unseen.score - unseen.base_score) < 1
 
 
 def test_language_model_odd(odd, none):
