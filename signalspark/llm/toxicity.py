@@ -1,11 +1,15 @@
 """Toxicity by a gap-weighted subsequence-kernel SVM with Nystroem landmarks (operator 5).
 
-The kernel of two words sums, over every subsequence of three characters that both have, decay ** (the spans that it takes
-in either), divided by each word's norm for its length. A word's score is w . phi(word) + b, where phi is the Nystroem map
-of the kernel to the landmarks. As phi is linear in the kernel values, that is sum_j alpha_j k(word, landmark_j): one
-weight for each subsequence of three characters, so a word is scored by the triples that it has.
-
-A document's score is that of its worst word (or run of single characters), through a logistic curve.
+The kernel of two tokens sums, over every subsequence of three characters that both have, decay ** (the spans that it takes
+in either), divided by each token's norm for its length; a token has a blank at either end, as it has in its sentence. The
+kernel of two sentences is that of their best matching tokens. A token's score is w . phi(token) + b, where phi is the
+Nystroem map of the kernel to the landmarks. As phi is linear in the kernel values, that is sum_j alpha_j k(token, landmark_j):
+one weight for each subsequence of three characters, so a token is scored by the triples that it has.
+
+Training is multiple-instance: a labelled text is toxic if its worst sentence, and so its worst token, is. Every toxic text
+gives the SVM the token that tells it best from the clean ones (by the likelihood ratio of its beginnings at first, by the
+SVM's own score in later rounds) and gapped variants of it, whatever its support; clean texts give their worst tokens.
+A document's score is that of its worst token (or run of single characters), through a logistic curve.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +35,13 @@ STRETCHES = ((18, 9), (12, 4), (8, 2))
 #: Characters that count: letters, digits, one code for all else of ASCII, bytes above it folded into 31 codes.
 CODES = 68
 CODE = np.array([c - 97 if 97 <= c <= 122 else c - 48 + 26 if 48 <= c <= 57 else 37 + c % 31 if c >= 128 else 36 for c in range(256)], np.int64)
-#: Bytes of a stem.
-STEM = 5
+#: Bytes of the shortest beginning of a token that can tell.
+STEM = 4
 EDGE = b".,;:!?\"'()[]{}<>|#$%&*@-_/\\"
 INNER = re.compile(rb"[^a-z0-9\x80-\xff]")
 RUN = re.compile(rb"(?<!\S)[^\s](?:[ \t]+[^\s]){2,}(?!\S)")
 #: Expected number of rows of each label in the training sample.
-SAMPLE = {0: 3000, 1: 3000}
+SAMPLE = {0: 3000, 1: 2000}
 
 
 def parts(word: bytes) -> list[bytes]:
@@ -67,9 +72,9 @@ def instances(text: bytes) -> set[bytes]:
 
 
 def _triples() -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: positions i < j < k of the subsequences within a span, and their weights over the length's norm."""
+    """By length with both blanks: positions i < j < k of the subsequences within a span, and their weights over the length's norm."""
     out = {}
-    for n in range(3, LONGEST + 1):
+    for n in range(5, LONGEST + 3):
         at = [(i, j, k) for i, j, k in combinations(range(n), 3) if k - i < SPAN]
         weight = np.array([DECAY ** (k - i + 1) for i, _, k in at])
         out[n] = (*np.array(at, np.int64).T, weight / np.sqrt((weight**2).sum()))
@@ -81,8 +86,8 @@ TRIPLES = _triples()
 
 def subsequences(word: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The word's subsequences of three characters, as numbers, and their normed weights; some may repeat."""
-    c = CODE[np.frombuffer(word, np.uint8)]
-    i, j, k, w = TRIPLES[len(word)]
+    c = CODE[np.frombuffer(b" %b " % word, np.uint8)]
+    i, j, k, w = TRIPLES[len(c)]
     return (c[i] * CODES + c[j]) * CODES + c[k], w
 
 
@@ -122,10 +127,10 @@ def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     for n, w in enumerate(words):
         by_length.setdefault(len(w), []).append(n)
     for size, at in by_length.items():
-        i, j, k, w = TRIPLES[size]
+        i, j, k, w = TRIPLES[size + 2]
         for s in range(0, len(at), 4096):
             some = at[s : s + 4096]
-            c = CODE[np.frombuffer(b"".join(words[n] for n in some), np.uint8)].reshape(len(some), size)
+            c = CODE[np.frombuffer(b"".join(b" %b " % words[n] for n in some), np.uint8)].reshape(len(some), size + 2)
             out[some] = table[(c[:, i] * CODES + c[:, j]) * CODES + c[:, k]] @ w + bias
     return out
 
@@ -144,25 +149,31 @@ def distinct_rows(docs: list[tuple[set[bytes], int]], keys: int = 6, depth: int
     return out
 
 
-def insults(docs: list[tuple[set[bytes], int]], ratio: float = 20.0, chance: float = 0.05) -> list[bytes]:
-    """Words whose share of toxic rows is ``ratio`` times their share of clean rows or more, in more toxic rows than
-    ``chance`` allows over all words; and words of toxic rows only that begin with a stem of which the same holds.
-    Commonest first."""
-    docs = distinct_rows(docs)
-    stems = _telling([({w[:STEM] for w in words if len(w) >= STEM}, label) for words, label in docs], ratio, chance)
-    whole = _telling(docs, ratio, chance)
-    bad, clean = (Counter(w for words, label in docs if label == y for w in words) for y in (1, 0))
-    found = whole | {w for w in bad if len(w) >= STEM and w[:STEM] in stems and not clean[w]}
-    return sorted(found, key=lambda w: (-bad[w], w))
+def ratio(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Log likelihood ratio of having a share of toxic texts of its own, for what is commoner in them; else 0."""
+    log = lambda k, n, p: k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
+    p, q, both = bad / n_bad, good / n_good, (bad + good) / (n_bad + n_good)
+    return np.where(p > q, log(bad, n_bad, p) + log(good, n_good, q) - log(bad, n_bad, both) - log(good, n_good, both), 0.0)
+
 
+def beginnings(word: bytes) -> list[int]:
+    """Ids of the word as a whole and of its beginnings of ``STEM`` bytes or more."""
+    return [xxhash.xxh3_64_intdigest(word + b" "), *(xxhash.xxh3_64_intdigest(word[:n]) for n in range(STEM, len(word)))]
 
-def _telling(docs: list[tuple[set[bytes], int]], ratio: float, chance: float) -> set[bytes]:
-    bad, clean = (Counter(w for words, label in docs if label == y for w in words) for y in (1, 0))
-    toxic = sum(y for _, y in docs)
-    share = min(max(toxic / max(1, len(docs)), 1e-3), 0.99)
-    odds = ratio * toxic / max(1, len(docs) - toxic)
-    support = max(4, np.log(max(2, len(bad.keys() | clean.keys())) / chance) / np.log(1 / share))
-    return {w for w, n in bad.items() if n >= support and n >= odds * clean[w]}
+
+def telling(docs: list[tuple[set[bytes], int]]) -> dict[bytes, float]:
+    """Words of toxic texts, with the likelihood ratio of their best beginning."""
+    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for words, label in docs:
+        held[label].append(np.unique(np.array([x for w in words for x in beginnings(w)], np.uint64)))
+    names, bad = np.unique(np.concatenate(held[1]), return_counts=True)
+    good = np.zeros(len(names))
+    for own in held[0]:
+        at = np.searchsorted(names, own)
+        at[at == len(names)] = 0
+        good[at[names[at] == own]] += 1
+    value = ratio(bad.astype(float), good, len(held[1]), max(1, len(held[0]))) * (bad > 1)
+    return {w: float(value[np.searchsorted(names, np.array(beginnings(w), np.uint64))].max()) for w in {w for words, label in docs if label for w in words}}
 
 
 def gapped(word: bytes) -> list[bytes]:
@@ -189,48 +200,65 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.
     return w
 
 
-def fit(rows: list[tuple[bytes, int]], landmarks: int = 192, mining: int = 5) -> dict:
+def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mining: int = 3, best: int = 3) -> dict:
     """The model from (text, label) rows: table, bias, and slope and offset of the logistic curve.
 
-    Landmarks are the insults and the clean words nearest to them; clean words that score too high join the SVM's rows in
-    each of ``mining`` rounds. Without toxic words to learn from, every document scores the share of toxic rows.
+    Landmarks are the likeliest of the toxic texts' telling tokens and the clean tokens nearest to them. In each of ``rounds``
+    every toxic text names up to ``best`` tokens near its worst one; ``mining`` passes add clean tokens that score too high.
+    Without toxic texts, or without words in them, every document scores the share of toxic rows.
     """
     docs = [(instances(text), label) for text, label in rows]
-    bad = insults(docs)
+    some = distinct_rows(docs)
+    bad = [words for words, label in some if label and words]
     if not bad:
         share = min(max(sum(y for _, y in docs) / max(1, len(docs)), 0.01), 0.99)
         return {"table": np.zeros(CODES**3), "bias": 0.0, "slope": 0.0, "offset": float(np.log(share / (1 - share)))}
+    value = telling(some)
     counts = Counter(w for words, label in docs if not label for w in words)
-    pool = sorted(counts.keys() - set(bad), key=lambda w: (-counts[w], w))
-    near = np.zeros(CODES**3)
-    for word in bad:
-        near += features(word)
-    close = [pool[n] for n in np.argsort(-word_scores(pool, near, 0.0), kind="stable")[:1000]]
-    marks = list(dict.fromkeys(bad[:landmarks] + close[:landmarks]))
-    base = Landmarks(marks)
-    value, vector = np.linalg.eigh(base.weights.T @ base.weights)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ vector.T
-    variants = list(dict.fromkeys(v for w in bad for v in gapped(w)))
-    good = bad + variants
-    clean = list(dict.fromkeys(close + pool[:1000]))
-    phi = lambda words: np.array([base.kernel(w) for w in words]) @ root
-    x_good, x_clean = phi(good), phi(clean) if clean else np.zeros((0, len(marks)))
-    for left in range(mining, -1, -1):
-        y = np.concatenate([np.ones(len(good)), -np.ones(len(clean))])
-        cost = np.concatenate([np.full(len(bad), 200.0), np.full(len(variants), 10.0), np.full(len(clean), 10.0)])
-        w = svm(np.vstack([x_good, x_clean]), y, cost)
-        table = base.table(root @ w[:-1])
-        if left:
-            own = set(clean)
-            got = word_scores(pool, table, w[-1])
+    pool = sorted(counts, key=lambda w: (-counts[w], w))
+    in_clean = set(counts)
+    table, bias, marks = None, 0.0, []
+    for turn in range(rounds):
+        if table is not None:
+            names = list({w for words in bad for w in words})
+            value = dict(zip(names, word_scores(names, table, bias).tolist()))
+        witness: Counter = Counter()
+        for words in bad:
+            own = sorted(words, key=lambda w: (-value.get(w, 0.0), w))[:best]
+            top = value.get(own[0], 0.0)
+            witness.update(w for w in own if w == own[0] or (value.get(w, 0.0) > (0.7 * top if turn == 0 else 0.5)))
+        witness = Counter({w: n for w, n in witness.items() if w not in in_clean or n > 3 * counts[w]}) or witness
+        found = sorted(witness, key=lambda w: (-witness[w], w))
+        if not marks:
+            near = np.zeros(CODES**3)
+            for word in found:
+                near += witness[word] * features(word)
+            close = [pool[n] for n in np.argsort(-word_scores(pool, near, 0.0), kind="stable")[:1000]] if pool else []
+            marks = list(dict.fromkeys(found[:landmarks] + close[:landmarks]))
+            base = Landmarks(marks)
+            spread, vector = np.linalg.eigh(base.weights.T @ base.weights)
+            root = vector @ np.diag(1 / np.sqrt(np.maximum(spread, 1e-4))) @ vector.T
+            phi = lambda words: np.array([base.kernel(w) for w in words]) @ root if words else np.zeros((0, len(marks)))  # noqa: B023, E731
+            clean = list(dict.fromkeys(close + pool[:1000]))
+            x_clean = phi(clean)
+        found = found[:1500]
+        variants = list(dict.fromkeys(v for w in found[:300] for v in gapped(w) if v not in in_clean))
+        x_bad, own = np.vstack([phi(found), phi(variants)]), set(clean)
+        cost_bad = np.concatenate([np.minimum(20.0 * np.array([witness[w] for w in found], float), 200.0), np.full(len(variants), 10.0)])
+        for left in range(mining, -1, -1):
+            y = np.concatenate([np.ones(len(x_bad)), -np.ones(len(clean))])
+            w = svm(np.vstack([x_bad, x_clean]), y, np.concatenate([cost_bad, np.full(len(clean), 20.0)]))
+            table, bias = base.table(root @ w[:-1]), float(w[-1])
+            got = word_scores(pool, table, bias) if left and pool else np.zeros(0)
             more = [pool[n] for n in np.argsort(-got, kind="stable")[:2000] if got[n] > -0.8 and pool[n] not in own][:600]
             if not more:
                 break
             clean += more
+            own.update(more)
             x_clean = np.vstack([x_clean, phi(more)])
-    worst = np.array([word_scores(list(words), table, w[-1]).max(initial=-2.0) for words, _ in docs])
+    worst = np.array([word_scores(list(words), table, bias).max(initial=-2.0) for words, _ in docs])
     curve = logistic_fit(np.clip(worst, -2, 2)[:, None], np.array([label for _, label in docs], float), 0.1)
-    return {"table": table, "bias": float(w[-1]), "slope": float(max(curve[0], 0.0)), "offset": float(curve[1])}
+    return {"table": table, "bias": bias, "slope": float(max(curve[0], 0.0)), "offset": float(curve[1])}
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: dict[int, int] = SAMPLE, keep: bool = False) -> DataFrame:

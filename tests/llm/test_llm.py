@@ -301,13 +301,42 @@ def test_long_tokens_are_scored_in_parts():
         assert worst(letters.encode()) > 0.85
 
 
-def test_kernel_is_what_the_table_says():
-    """The triples' table gives the same score as kernel values with the landmarks."""
-    marks, alpha = [b"stupid", b"idiot"], [0.7, -0.2]
-    table = sum(a * toxicity.features(m) for a, m in zip(alpha, marks))
-    for word in (b"stxupid", b"idiot", b"other"):
-        want = sum(a * float(toxicity.features(m) @ toxicity.features(word)) for a, m in zip(alpha, marks))
-        assert toxicity.word_scores([word], table, 0.1)[0] == pytest.approx(want + 0.1)
+def brute_kernel(a, b):
+    """The kernel of two tokens by enumeration of their subsequences of three characters."""
+    def weights(word):
+        word, out = f" {word} ", collections.Counter()
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                    out[word[i] + word[j] + word[k], i, j, k] = toxicity.DECAY ** (k - i + 1)
+        norm, sums = math.sqrt(sum(v * v for v in out.values())), collections.Counter()
+        for (x, *_), v in out.items():
+            sums[x] += v / norm
+        return sums
+
+    x, y = weights(a), weights(b)
+    return sum(v * y[k] for k, v in x.items())
+
+
+def test_kernel_agrees_with_enumeration():
+    marks, alpha = ["stupid", "idiot"], [0.7, -0.2]
+    table = sum(a * toxicity.features(m.encode()) for a, m in zip(alpha, marks))
+    base = toxicity.Landmarks([m.encode() for m in marks])
+    for word in ("stxupid", "idiot", "other", "abc"):
+        assert base.kernel(word.encode()) == pytest.approx([brute_kernel(word, m) for m in marks])
+        assert toxicity.word_scores([word.encode()], table, 0.1)[0] == pytest.approx(0.1 + sum(a * brute_kernel(word, m) for a, m in zip(alpha, marks)))
+
+
+def test_toxic_texts_without_a_common_word_teach():
+    """Insults that share a beginning but hardly ever a word, in few texts, are learnt and found with other endings."""
+    rng, ends = random.Random(7), ["ando", "eta", "irr", "osu", "ulm", "ech", "abo", "inne"]
+    syllables = ["ta", "re", "mi", "so", "pa", "de", "vi", "co", "lu", "ne"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 5)))
+    text = lambda toxic, ends: " ".join([*(word() for _ in range(25)), *["zokr" + rng.choice(ends)] * toxic, *(word() for _ in range(10))])
+    model = toxicity.fit([(text(k % 12 == 0, ends[:6]).encode(), int(k % 12 == 0)) for k in range(360)])
+    worst = lambda toxic: toxicity.word_scores(sorted(toxicity.instances(text(toxic, ends[6:]).encode())), model["table"], model["bias"]).max()
+    caught = lambda toxic: sum(model["slope"] * min(2, worst(toxic)) + model["offset"] > 0 for _ in range(40))
+    assert caught(True) >= 36 and caught(False) <= 2
 
 
 @pytest.mark.parametrize("score", [toxicity.toxicity_scores, quality.quality_scores])
