@@ -1,6 +1,6 @@
 """Licence scan by a positional rare-token index over licence templates (operator 7).
 
-Templates are short licence texts. Of each, the words of highest inverse document frequency (over all documents) are
+Templates are titles, notices and paragraphs of licences. Of each, the words of highest inverse document frequency (over all documents) are
 indexed with their positions. A document's indexed words look up (template, position); the differences between place in
 the document and position in the template vote for alignments. An alignment on which rare words agree is verified: the
 template's mandatory phrase must stand there, and the share of template words that stand there is its score.
@@ -24,31 +24,58 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum(
 #: Phrases that are found as they stand, with their labels (fixed values of the query).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Licence templates: label, mandatory phrase, text (fixed values: wording of well-known licence notices).
+#: Licence templates: label, mandatory phrase, text (fixed values: titles, notices and paragraphs of well-known licences).
 TEMPLATES = [
     ("mit", "mit license", "released under the mit license"),
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "mit license", "mit license copyright"),
+    ("mit", "mit license", "the mit license"),
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2.0", "apache license", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "apache license", "you may not use this file except in compliance with the license apache license version 2 0"),
+    ("apache-2.0", "apache license", "apache license version 2 0 january 2004 http www apache org licenses"),
+    ("apache-2.0", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "distributed under the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "endorse or promote products", "may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd", "bsd license", "licensed under the bsd license"),
+    ("bsd", "clause license", "bsd 2 clause license"),
+    ("bsd-3-clause", "3 clause license", "bsd 3 clause license"),
+    ("gpl-3.0", "general public license", "gnu general public license version 3 29 june 2007"),
     ("gpl-3.0", "general public license", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3.0", "version 3 of the license", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "general public license", "gnu general public license version 2 june 1991"),
     ("gpl-2.0", "general public license", "under the terms of the gnu general public license version 2"),
+    ("gpl-2.0", "version 2 of the license", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl", "general public license", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("lgpl", "lesser general public license", "licensed under the gnu lesser general public license"),
+    ("lgpl-3.0", "lesser general public license", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "lesser general public license", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl", "lesser general public license", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "affero general public license", "licensed under the gnu affero general public license"),
-    ("mpl-2.0", "mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
+    ("agpl-3.0", "affero general public license", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl", "affero general public license", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("mpl-2.0", "mozilla public license", "mozilla public license version 2 0"),
+    ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("epl", "eclipse public license", "made available under the terms of the eclipse public license"),
-    ("isc", "isc license", "licensed under the isc license"),
+    ("epl-2.0", "eclipse public license", "eclipse public license v 2 0"),
+    ("isc", "isc license", "isc license"),
+    ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("cc-by-4.0", "cc by 4 0", "licensed under cc by 4 0"),
     ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
     ("cc-by-4.0", "creative commons attribution", "licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "cc0 1 0", "dedicated to the public domain under cc0 1 0 universal"),
+    ("cc0", "cc0 1 0", "cc0 1 0 universal"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "in no event will the authors", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "boost software license", "boost software license version 1 0"),
     ("all-rights-reserved", "all rights reserved", "copyright all rights reserved"),
 ]
-#: Indexed words of each template, and the least share of its words that an alignment must show.
-RARE, LEAST = 4, 0.6
+#: Indexed words that must agree on an alignment, and the least share of a template's words that it must show. Of each
+#: template the rarest words stand in the index, enough of them that no alignment of that share has fewer in place.
+VOTES, LEAST = 2, 0.6
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -70,7 +97,8 @@ class Scanner:
         self.templates = [(label, must.encode().split(), text.encode().split()) for label, must, text in TEMPLATES]
         self.index = defaultdict(list)
         for t, (_, _, text) in enumerate(self.templates):
-            for word in sorted(set(text), key=lambda w: (-idf(w), w))[:RARE]:
+            rarest = sorted(range(len(text)), key=lambda k: (-idf(text[k]), k))[: len(text) - math.ceil(LEAST * len(text) - 1e-9) + VOTES]
+            for word in {text[k] for k in rarest}:
                 self.index[word] += [(t, k) for k, w in enumerate(text) if w == word]
         self.index = dict(self.index)
         self.known = set(self.index) | {w for p, _ in self.phrases for w in p}
@@ -91,7 +119,7 @@ class Scanner:
         found: dict[str, float] = {}
         for (t, start), n in votes.items():
             label, must, text = self.templates[t]
-            if n < min(2, len(set(text))) or found.get(label) == 1.0:
+            if n < min(VOTES, len(text)) or found.get(label) == 1.0:
                 continue
             here = words[max(0, start) : start + len(text)]
             own = text[max(0, -start) :]

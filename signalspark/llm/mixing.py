@@ -1,9 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 6).
 
-Every source's documents stand in a fixed shuffled order and are cut into blocks of equally many words. A schedule of slots
-takes one block each: the van der Corput point of a slot, mapped through the cumulative target shares, names its source,
-and the slot's rank among those of its source names the block, going round when a source is used more than once. So every
-stretch of the schedule is near the target shares.
+Every source's documents stand in a fixed shuffled order, again and again as far as the mix may use them, and are cut into
+blocks of equally many words. A schedule of slots takes one block each: the van der Corput point of a slot, mapped through
+the cumulative target shares, names its source, and the slot's rank among those of its source names the block. So every
+stretch of the schedule is near the target shares. Slots are joined to the pieces of documents that lie in their blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Slots are at most 2 ** SLOT_BITS; blocks are as large as that asks for.
-SLOT_BITS = 20
+SLOT_BITS = 17
 CELLS = 1 << 12
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -57,41 +57,59 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     return found.select("slot", "point", "key", (F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1).alias("rank"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """One row for each document row: doc_id, source, size, source_size, target, taken, first_word (place in the source's order).
-
-    A document's size is its number of words (null text: 0). Sources are ordered by code point, null last, and weighted in
-    turn. ``taken`` counts the words that the mix takes of a document, at most ``most`` times its size: the blocks of the
-    schedule that overlap it. Documents of a source are shuffled by a hash of doc_id, ties by size; repeated rows are told
-    apart by nothing and share their places. An empty table gives no rows, a mix of empty texts takes nothing. Reruns agree.
-    """
-    spark = docs.sparkSession
+def placed(docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Documents with their places in their source's order, the sources, words of a block, number of slots."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = table(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-        .select("doc_id", "source", key.alias("key"), mark.alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size")),
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+        .select("doc_id", "source", key.alias("key"), mark.alias("mark"), F.xxhash64("text").alias("tie"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size")),
         "sized",
-    ).withColumn("part", F.substring("mark", 1, 3))
+    )
+    # parts of the hash's range; rows without doc_id, which share one hash, are dealt by their text
+    sized = sized.withColumn("part", F.when(F.col("doc_id").isNotNull(), F.substring("mark", 1, 3)).otherwise(F.concat(F.lit("z"), F.substring(F.md5(F.col("tie").cast("string")), 1, 3))))
     sources = table(sources_with_targets(sized, weights, most), "sources")
-    first = sources.agg(F.max("total")).first()[0] or 0
-    block = max(1, -(-first // (1 << SLOT_BITS)))
-    slots = -(-first // block)
-    taken = schedule(spark, sources, slots).groupBy("key").agg(F.max("rank").alias("last"))
-    whole = sources.join(taken, "key", "left").withColumn("words", F.least(F.coalesce(F.col("last") + 1, F.lit(0)) * block, most * F.col("source_size")))
+    total = sources.agg(F.max("total")).first()[0] or 0
+    block = max(1, -(-total // (1 << SLOT_BITS)))
     # place of each document in its source's order: of parts of the hash's range first, then within a part
     parts = sized.groupBy("key", "part").agg(F.sum("size").alias("n"))
     at = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("key", "part", F.coalesce(F.sum("n").over(at), F.lit(0)).alias("base")).join(whole, "key")
-    within = Window.partitionBy("key", "part").orderBy("mark", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["key", "part"])
-    place = F.col("base") + F.col("before")
-    rounds = F.coalesce(F.floor(F.col("words") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
-    rest = F.col("words") - rounds * F.col("source_size")
-    inside = F.greatest(F.lit(0), F.least(place + F.col("size"), rest) - place)
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + inside).cast("bigint").alias("taken"), place.cast("bigint").alias("first_word"),
-    )
+    parts = parts.select("key", "part", F.coalesce(F.sum("n").over(at), F.lit(0)).alias("base")).join(sources.select("key", "source_size", "target"), "key")
+    within = Window.partitionBy("key", "part").orderBy("mark", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["key", "part"])
+    return table(rows.withColumn("place", (F.col("base") + F.col("before")).cast("bigint")).drop("mark", "tie", "part", "before", "base"), "placed"), sources, block, -(-total // block)
+
+
+def pieces(rows: DataFrame, slots: DataFrame, block: int, most: int) -> DataFrame:
+    """(slot, key, place, first, words): the words that a slot takes of the document at ``place``, from its word ``first`` on."""
+    start = F.col("place") + F.col("source_size") * F.col("turn")
+    turns = rows.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("start", start.cast("bigint"))
+    cut = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    low = F.greatest(F.col("start"), F.col("rank") * block)
+    high = F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * block)
+    return cut.select("key", "rank", "place", (low - F.col("start")).alias("first"), (high - low).alias("words")).join(slots.select("slot", "key", "rank"), ["key", "rank"]).drop("rank")
+
+
+def scheduled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The mix itself: (slot, doc_id, source, first, words), the words of each document that each slot takes, in order of slot."""
+    rows, sources, block, slots = placed(docs, weights, most)
+    found = pieces(rows, schedule(docs.sparkSession, sources, slots), block, most)
+    return found.join(rows.where("size > 0").select("key", "place", "doc_id", "source"), ["key", "place"]).select("slot", "doc_id", "source", "first", "words")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """One row for each document row: doc_id, source, size, source_size, target, taken, first_word (place in the source's order).
+
+    A document's size is its number of words (null text: 0). Sources are ordered by code point, null last, and weighted in
+    turn. ``taken`` counts the words that the mix takes of a document, at most ``most`` times its size: its pieces in the
+    blocks of the schedule. Documents of a source are shuffled by a hash of doc_id, ties by size and text; rows without
+    doc_id come last, in an order of their texts. Repeated rows have places of their own. An empty table gives no rows, a mix
+    of empty texts takes nothing. Reruns agree.
+    """
+    rows, sources, block, slots = placed(docs, weights, most)
+    got = pieces(rows, schedule(docs.sparkSession, sources, slots), block, most).groupBy("key", "place").agg(F.sum("words").alias("taken"))
+    out = rows.where("size > 0").join(got, ["key", "place"], "left").union(rows.where("size = 0").withColumn("taken", F.lit(0)).select("key", "place", *(c for c in rows.columns if c not in ("key", "place")), "taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.col("place").alias("first_word"))
 
 
 def _reversed(bits: int) -> str:
@@ -102,7 +120,7 @@ def _reversed(bits: int) -> str:
 MIXED_SQL = f"""
 with sized as (
   select doc_id, source, case when source is null then '1' else '0' || source end as key,
-    md5(coalesce(cast(doc_id as varchar), '')) as mark, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
+    case when doc_id is null then 'z' else md5(cast(doc_id as varchar)) end as mark, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
   from {{docs}}),
 totals as (select key, sum(size)::bigint as source_size, [5, 2, 1][((row_number() over (order by key) - 1) % 3 + 1)::int] as weight from sized group by key),
 limits as (

@@ -414,6 +414,71 @@ def test_licences(spark, docs, odd, none):
     assert licences.licence_scan(odd).count() == odd.count() and licences.licence_scan(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+HEADERS = {
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "gpl-3.0", "MIT License Copyright (c) 2020 A. N. Other": "mit", "Mozilla Public License Version 2.0": "mpl-2.0", "ISC License": "isc", MIT: "mit",
+    MIT.replace("merge, ", ""): "mit", "// Copyright X\n// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.": "apache-2.0",
+    "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007": "agpl-3.0", "* Redistributions of source code must retain the above copyright\n notice, this list of conditions and the following disclaimer.": "bsd",
+    "the mit of the licence": None, "Permission was granted to any person to deal in software": None, "general public opinion, version 3": None, "the public domain": None,
+}
+
+
+def brute_labels(text):
+    """Labels of the templates that stand somewhere with a share of ``LEAST`` words in place and their mandatory phrase."""
+    w, out = licences.words_of(text.encode()), set()
+    for label, must, body in licences.TEMPLATES:
+        body, must = body.encode().split(), must.encode().split()
+        for start in range(1 - len(body), len(w)):
+            here = w[max(0, start) : start + len(body)]
+            share = sum(a == b for a, b in zip(here, body[max(0, -start) :])) / len(body)
+            if share >= licences.LEAST and any(here[k : k + len(must)] == must for k in range(len(here))):
+                out.add(label)
+    return out
+
+
+def test_licence_headers(spark, docs):
+    rows = list(enumerate(HEADERS))
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(licences.PHRASES.values()) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, text in rows:
+        assert (HEADERS[text] in got[k]) if HEADERS[text] else not got[k], text
+        assert got[k] == brute_labels(text), text
+    plain = {r.doc_id: r.labels for r in licences.licence_scan(docs.limit(60)).collect()}
+    for r in docs.limit(60).collect():
+        assert set(filter(None, plain[r.doc_id].split(","))) - set(licences.PHRASES.values()) == brute_labels(r.text or ""), r.doc_id
+
+
+def test_schedule_is_near_the_targets_everywhere(spark, docs):
+    """Every beginning of the schedule has each source's share of slots; slots take their blocks' words, and only once each."""
+    rows, sources, block, slots = mixing.placed(docs, (5, 2, 1), 3)
+    plan = mixing.schedule(spark, sources, slots).orderBy("slot").collect()
+    share = {r.key: r.target / r.total for r in sources.collect()}
+    seen = collections.Counter()
+    for n, r in enumerate(plan, 1):
+        assert r.slot == n - 1 and r["rank"] == seen[r.key]
+        seen[r.key] += 1
+        assert all(abs(seen[k] - n * v) <= 2 + math.log2(n) for k, v in share.items())
+    mix = mixing.scheduled(docs).collect()
+    held = collections.Counter()
+    for r in mix:
+        held[r.slot] += r.words
+    assert max(held.values()) <= block and sum(n == block for n in held.values()) >= 0.95 * slots
+    taken = collections.Counter()
+    for r in mix:
+        taken[r.doc_id] += r.words
+    assert taken == {r.doc_id: r.taken for r in mixing.mixed(docs).collect() if r.taken}
+    size = {r.doc_id: len(words(r.text)) for r in docs.collect()}
+    assert all(0 <= r["first"] and r["first"] + r.words <= size[r.doc_id] for r in mix)
+
+
 def brute_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(pattern, 1):
@@ -593,6 +658,10 @@ def test_url_filter(spark):
     for k, (u, rule, verdict) in enumerate(urls):
         assert got[k].rule == rule and got[k].verdict in ("allow", "block") and (verdict is None or got[k].verdict == verdict)
     assert (got[2].host, got[2].path, got[5].host) == ("x.net", "/es/1", "")
+    odd = [(1, "http://x.net/es/" + "a/" * 20_000), (1, "http://x.net/es/" + "a/" * 20_000), (None, "http://y.org/"), (2, None), (3, ""), (4, "://"), (5, "http:///en/"), (6, "http://A.com/?x=1#y"), (7, "http://b.net/fr/x")]
+    odd = spark.createDataFrame([(*r, "x", 1.0, "tld") for r in odd], "page_id bigint, url string, rule string, block_score double, tld string")
+    found = url_filter.judged(odd).collect()
+    assert len(found) == 9 and all(r.verdict in ("allow", "block") for r in found) and [(r.rule, r.verdict) for r in found if r.page_id == 1] == [("net/es/", "block")] * 2
     assert url_filter.judged(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
     assert {r.verdict for r in url_filter.judged(spark.createDataFrame([(1, "http://x.org/")], "page_id bigint, url string")).collect()} == {"allow"}
 
