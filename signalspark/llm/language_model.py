@@ -31,7 +31,7 @@ PAIR, TRIPLE = 100.0, 2.0
 BITS_PER_ENTRY, PROBES, TOP_LEVEL = 12, 6, 41
 STEP, DIGIT = 0xD6E8FEB86659FD93, np.uint64(0x5851F42D4C957F2D)
 #: Tokens whose counts a task holds before it passes them on, tokens of a block, keys looked up in a filter at once.
-FLUSH, BLOCK, SLICE = 2_000_000, 500_000, 1 << 16
+FLUSH, BLOCK, SLICE = 2_000_000, 250_000, 1 << 16
 WORD = np.uint64(0xFFFFFFFF)
 
 
