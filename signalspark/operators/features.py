@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div, normal_quantile, rnd
+from .ranges import cumulated, cut, numbered
 
 
 def long_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(key, F.posexplode(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
+def picked(rows: DataFrame, key: str, vector: str, kept: list[int]) -> DataFrame:
+    """(key, vector) of the features at positions ``kept``."""
+    return rows.select(key, F.array(*(F.get(vector, F.lit(k)) for k in kept)).alias(vector))
+
+
 def feature_masks(rows: DataFrame, vector: str, most: float = 1e12) -> DataFrame:
     """(pos, kept): features without missing, infinite or huge values and with some variance."""
     long = rows.select(F.posexplode(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
@@ -33,11 +41,22 @@ def imputed(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return long.join(long.groupBy("pos").agg(F.avg("x").alias("mean")), "pos").select(key, "pos", F.coalesce("x", "mean").alias("x"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
+    """(keys, q): interpolated quantiles of ``value`` by keys, exact, from counts of values added up over range partitions."""
+    counts = cumulated(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, [F.col(value)], "n")
+    spots = [level * (F.col("whole") - 1) for level in levels]
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col(value)))
+    ends = [x for k, spot in enumerate(spots) for x in (at(F.floor(spot)).alias(f"l{k}"), at(F.ceil(spot)).alias(f"h{k}"))]
+    out = counts.groupBy(*keys, "whole").agg(*ends)
+    part = lambda k: spots[k] - F.floor(spots[k])
+    return out.select(*keys, F.array(*(F.col(f"l{k}") * (1 - part(k)) + F.col(f"h{k}") * part(k) for k in range(len(levels)))).alias("q"))
+
+
 def robust_scales(rows: DataFrame, vector: str) -> DataFrame:
     """(pos, centre, scale): median, and the 5-95 % range over that of a standard normal."""
     width = normal_quantile(0.95) - normal_quantile(0.05)
-    q = F.percentile(F.col("x").cast("double"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = rows.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(q.alias("q"))
+    long = rows.select(F.posexplode(vector).alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
+    out = quantiles(long, ["pos"], "x", [0.05, 0.5, 0.95])
     return out.select("pos", rnd(F.get("q", F.lit(1))).alias("centre"), rnd((F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / width).alias("scale"))
 
 
@@ -47,19 +66,15 @@ def scaled(rows: DataFrame, key: str, vector: str, scales: DataFrame) -> DataFra
 
 
 def correlated(rows: DataFrame, vector: str, least: float = 0.9) -> DataFrame:
-    """(i, j, r) of features i < j of absolute Pearson correlation ``least`` or more, from one pass of summed products."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    size = rows.select(F.max(F.size(vector))).first()[0] or 0
-    at = lambda k: F.get(v, F.lit(k))
-    columns = rows.select(*(at(k).alias(f"x{k}") for k in range(size)))
-    out = None
-    for start in range(0, size, 8):  # a few rows of the matrix at a time bound the width of an aggregation
-        block = columns.agg(*(F.corr(f"x{i}", f"x{j}").alias(f"{i}_{j}") for i in range(start, min(size, start + 8)) for j in range(i + 1, size)))
-        names = block.columns
-        if names:
-            long = block.select(F.explode(F.array(*(F.struct(F.lit(int(n.split("_")[0])).alias("i"), F.lit(int(n.split("_")[1])).alias("j"), F.col(n).alias("r")) for n in names))).alias("p")).select("p.*")
-            out = long if out is None else out.union(long)
-    return out.where(F.abs("r") >= least).select("i", "j", rnd(F.col("r")).alias("r"))
+    """(i, j, r) of features i < j of absolute Pearson correlation ``least`` or more, from one pass of summed products.
+
+    The matrix of features by features comes to the driver; its size doesn't depend on the rows. Constant features have none.
+    """
+    vectors = rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    found = Correlation.corr(vectors, "v").first()[0].toArray() if not vectors.isEmpty() else np.zeros((0, 0))
+    at = np.argwhere(np.triu(np.nan_to_num(np.abs(found)) >= least, 1))
+    pairs = rows.sparkSession.createDataFrame([(int(i), int(j), float(found[i, j])) for i, j in at], "i int, j int, r double")
+    return pairs.select("i", "j", rnd(F.col("r")).alias("r"))
 
 
 def pruned(pairs: list[tuple[int, int, float]]) -> list[int]:
@@ -77,71 +92,112 @@ def pruned(pairs: list[tuple[int, int, float]]) -> list[int]:
 
 
 def sign_bits(vector: Column) -> Column:
-    """Positions of positive values (up to 63) as bits of a number."""
-    return F.aggregate(F.transform(F.slice(vector, 1, 63), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda t, x: t.bitwiseOR(x))
+    """Positions of positive values as bits, 32 of them in each number of an array that covers the whole vector."""
+    words = F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / 32).cast("int"))
+    word = lambda w: F.aggregate(F.transform(F.slice(vector, w * 32 + 1, F.lit(32)), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda t, x: t + x)
+    return F.when(F.size(vector) > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
+
+
+def bit_total(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
 
 
 def tanimoto(a: Column, b: Column) -> Column:
-    both = F.bit_count(a.bitwiseAND(b))
-    return div(both, F.bit_count(a.bitwiseOR(b)))
+    both = bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    return div(both, bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))))
+
 
+def blocked(rows: DataFrame, size: int = 2000) -> int:
+    """Blocks of about ``size`` rows, whose pairs are compared together."""
+    return max(1, -(-rows.count() // size))
 
-def tanimoto_pairs(rows: DataFrame, key: str, bits: str, least: float, blocks: int = 8) -> DataFrame:
+
+def tanimoto_pairs(rows: DataFrame, key: str, bits: str, least: float, blocks: int | None = None) -> DataFrame:
     """(a, b, similarity) of rows a < b of similarity ``least`` or more.
 
-    Sets that similar have bit counts within the factor ``least``; rows are dealt to blocks by key, and each pair of blocks
-    is one equi-join key.
+    Sets that similar have bit counts within the factor ``least``: rows meet only in their own and neighbouring bands of
+    counts. Rows are dealt to blocks by key, and each band and pair of blocks is one equi-join key.
     """
-    base = rows.select(key, bits, F.bit_count(bits).alias("n"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+    blocks = blocks or blocked(rows)
+    band = F.when(F.col("n") > 0, F.floor(F.log("n") / float(np.log(1 / least)) + 1e-9)).otherwise(-9).cast("int")
+    base = rows.select(key, bits, bit_total(F.col(bits)).alias("n"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own")).withColumn("band", band)
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.withColumn("other", other).select(F.col(key).alias("a"), F.col(bits).alias("x"), F.col("n").alias("m"), F.struct(F.col("own").alias("p"), F.col("other").alias("q")).alias("pair"))
-    right = base.withColumn("other", other).select(F.col(key).alias("b"), F.col(bits).alias("y"), "n", F.struct(F.col("other").alias("p"), F.col("own").alias("q")).alias("pair"))
+    near_bands = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))
+    left = base.withColumn("other", other).select(F.col(key).alias("a"), F.col(bits).alias("x"), F.col("n").alias("m"), F.struct("band", F.col("own").alias("p"), F.col("other").alias("q")).alias("pair"))
+    right = base.withColumn("other", other).withColumn("band", near_bands).select(F.col(key).alias("b"), F.col(bits).alias("y"), "n", F.struct("band", F.col("other").alias("p"), F.col("own").alias("q")).alias("pair"))
     near = (F.col("a") < F.col("b")) & (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
     pairs = left.join(right, (left["pair"] == right["pair"]) & near)
     return pairs.withColumn("similarity", tanimoto(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("a", "b", rnd(F.col("similarity")).alias("similarity"))
 
 
-def butina(neighbours: DataFrame, nodes: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+def butina(neighbours: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, cluster): greedily the node with most unassigned neighbours (lowest key on ties) takes them; the rest are alone.
 
-    The order is sequential by definition: similar pairs are found in Spark, their adjacency is walked on the driver. More
-    than ``most`` nodes with neighbours are refused, which bounds what is collected.
+    Rounds in Spark: every node that comes before all others within two steps takes its neighbours at once. As numbers of
+    neighbours only fall, these are the nodes and groups of the sequential order; clusters are numbered in that order, by
+    falling size and key, the nodes left alone after them by key. Nothing is collected but one row a round.
+    """
+    edges = cut(neighbours.select("a", "b").union(neighbours.select("b", "a")).where("a <> b").distinct())
+    taken = None
+    while not edges.isEmpty():
+        rank = edges.groupBy("a").agg(F.struct(F.count("*").alias("n"), (-F.col("a").cast("bigint")).alias("low")).alias("rank"))
+        best = edges.join(rank.select(F.col("a").alias("b"), F.col("rank").alias("of")), "b").groupBy("a").agg(F.max("of").alias("one"))
+        best = cut(best.join(rank, "a").select("a", F.greatest("one", "rank").alias("one"), "rank"))
+        two = edges.join(best.select(F.col("a").alias("b"), F.col("one").alias("of")), "b").groupBy("a").agg(F.max("of").alias("two"))
+        lead = best.join(two, "a").where(F.greatest("one", "two") == F.col("rank")).select("a", "rank")
+        group = edges.join(lead, "a").select(F.col("b").alias("node"), F.col("a").alias("head"), "rank").union(lead.select("a", "a", "rank"))
+        group = cut(group)
+        taken = group if taken is None else taken.union(group)
+        gone = group.select(F.col("node").alias("gone"))
+        edges = cut(edges.join(gone, edges["a"] == gone["gone"], "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti"))
+    every = nodes.select(F.col(key).cast("bigint").alias("node")).distinct()
+    if taken is None:
+        return numbered(every, [F.col("node")], "cluster").select(F.col("node").alias(key), "cluster")
+    heads = numbered(taken.select("head", "rank").distinct(), [F.col("rank.n").desc(), F.col("head")], "cluster")
+    alone = numbered(every.join(taken.select("node"), "node", "left_anti"), [F.col("node")], "cluster")
+    first = alone.crossJoin(F.broadcast(heads.agg(F.count("*").alias("heads")))).select("node", (F.col("cluster") + F.col("heads")).alias("cluster"))
+    return taken.join(heads.select("head", "cluster"), "head").select("node", "cluster").union(first).withColumnRenamed("node", key)
+
+
+def dealt(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, folds in turn) of groups in order of falling size, each onto the lightest fold (lowest on ties).
+
+    ``sizes`` has (size, number of groups). Groups of one size go round the folds that are within that size of the lightest,
+    until the next fold comes within reach: a few runs a size, whatever the number of groups.
     """
-    linked = neighbours.select("a", "b").union(neighbours.select("b", "a")).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("near"))
-    if linked.count() > most:
-        raise ValueError(f"more than {most} nodes with neighbours: cut the table by key first")
-    near = {r["a"]: set(r["near"]) for r in linked.collect()}
-    out, cluster = [], 0
-    while near:
-        centre = min(near, key=lambda k: (-len(near[k]), k))
-        group = {centre} | near[centre]
-        if len(group) == 1:
-            break
-        out += [(k, cluster) for k in sorted(group)]
-        cluster += 1
-        for k in group:
-            near.pop(k, None)
-        near = {k: v - group for k, v in near.items()}
-    spark = nodes.sparkSession
-    taken = spark.createDataFrame(out, f"{key} bigint, cluster bigint")
-    alone = nodes.select(key).distinct().join(taken, key, "left_anti").withColumn("cluster", F.row_number().over(Window.orderBy(key)) - 1 + cluster)
-    return taken.union(alone.select(key, F.col("cluster").cast("bigint")))
+    load, out, start = [0] * folds, [], 0
+    for size, m in sorted(sizes, reverse=True):
+        while m:
+            order = sorted(range(folds), key=lambda f: (load[f], f))
+            base = load[order[0]]
+            ring = [f for f in order if load[f] < base + size]
+            beyond = [load[f] for f in order if load[f] >= base + size]
+            take = min(m, len(ring) * ((min(beyond) - base) // size)) if beyond else m
+            for n, f in enumerate(ring):
+                load[f] += size * (take // len(ring) + (n < take % len(ring)))
+            out.append((size, start, start + take - 1, ring))
+            start, m = start + take, m - take
+    return out
 
 
 def group_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """(group, fold): groups by falling size, each onto the lightest fold. One row a group comes to the driver."""
-    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).toLocalIterator()
-    load, out = [0] * folds, []
-    for r in sizes:
-        fold = min(range(folds), key=lambda f: (load[f], f))
-        load[fold] += r["count"]
-        out.append((r[group], fold))
-    return rows.sparkSession.createDataFrame(out, f"{group} {dict(rows.dtypes)[group]}, fold int")
-
-
-def fold_distances(rows: DataFrame, key: str, bits: str, fold: str, blocks: int = 8) -> DataFrame:
-    """(key, distance): least Tanimoto distance of each row to rows of other folds, in blocks of an equi-join."""
+    """(group, fold): groups by falling size, each onto the lightest fold. What comes to the driver is a row for each size."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
+    found = [(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()]
+    runs = rows.sparkSession.createDataFrame(dealt(found, folds), "run_size bigint, first bigint, last bigint, ring array<int>")
+    placed = numbered(sizes, [F.col("size").desc(), F.col(group)])
+    inside = (F.col("size") == F.col("run_size")) & (F.col("number") >= F.col("first")) & (F.col("number") <= F.col("last"))
+    turn = F.pmod(F.col("number") - F.col("first"), F.size("ring")).cast("int")
+    return placed.join(F.broadcast(runs), inside).select(group, F.get("ring", turn).alias("fold"))
+
+
+def fold_distances(rows: DataFrame, key: str, bits: str, fold: str, blocks: int | None = None) -> DataFrame:
+    """(key, distance): least Tanimoto distance of each row to rows of other folds, in blocks of an equi-join; quadratic by
+    definition, as the nearest row of another fold may be anywhere."""
+    blocks = blocks or blocked(rows)
     base = rows.select(key, bits, fold, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    asked = base.select(F.col(key).alias("a"), F.col(bits).alias("x"), F.col(fold).alias("f"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    best = asked.join(base.select(F.col(bits).alias("y"), F.col(fold).alias("g"), F.col("own").alias("block")), "block").where("f <> g")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = base.withColumn("other", every).select(F.col(key).alias("a"), F.col(bits).alias("x"), F.col(fold).alias("f"), F.struct(F.col("own").alias("p"), F.col("other").alias("q")).alias("pair"))
+    given = base.withColumn("other", every).select(F.col(bits).alias("y"), F.col(fold).alias("g"), F.struct(F.col("other").alias("p"), F.col("own").alias("q")).alias("pair"))
+    best = asked.join(given, "pair").where("f <> g")
     return best.groupBy("a").agg(rnd(F.min(1 - tanimoto(F.col("x"), F.col("y")))).alias("distance")).withColumnRenamed("a", key)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rnd
+from ..functions.numeric import rnd, to_number
+from .ranges import numbered
 
 
 @dataclass(frozen=True)
@@ -24,17 +25,25 @@ DRUG = "array<struct<seq:int,role:string,name:string>>"
 INDICATION = "array<struct<seq:int,name:string>>"
 
 
+#: A quoted text with escapes, a tuple's inside (quoted texts, or anything but quotes and brackets), and a field of it.
+QUOTED = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+TUPLE = rf"""(?s)\(((?:{QUOTED}|[^()'"])*)\)"""
+FIELD = rf"""(?s){QUOTED}|[^,'"\s][^,'"]*"""
+
+
 def parsed_tuples(text: Column, schema: str) -> Column:
-    """A list of tuples written as text, e.g. ``[(1, 'PS', 'a')]``, as an array of structs; null where it isn't one.
+    """A list of tuples written as text, e.g. ``[(1, 'PS', 'a (b)')]``, as an array of structs; null where it isn't one.
 
-    Quotes inside names must be doubled quotes of the other kind, as in any literal; fields go by position.
+    Texts stand in quotes of either kind, with backslash escapes, and may hold brackets, commas and the other quotes. ``None``
+    is null. Fields go by position; missing ones are null.
     """
-    names = [f.split(":")[0] for f in schema.removeprefix("array<struct<").removesuffix(">>").split(",")]
-    body = F.regexp_replace(F.regexp_replace(text, r"\(", "["), r"\)", "]")
-    body = F.regexp_replace(body, r"'([^']*)'", '"$1"')
-    rows = F.from_json(body, "array<array<string>>")
-    kinds = [f.split(":")[1] for f in schema.removeprefix("array<struct<").removesuffix(">>").split(",")]
-    return F.transform(rows, lambda r: F.struct(*(F.get(r, k).try_cast(kind).alias(n) for k, (n, kind) in enumerate(zip(names, kinds)))))
+    fields = [f.split(":") for f in schema.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    inside = F.regexp_extract_all(text, F.lit(TUPLE), F.lit(1))
+    bare = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+    value = lambda x: F.when(x.rlike("^['\"]"), bare(x)).when(F.trim(x) != "None", F.trim(x))
+    parts = F.transform(inside, lambda r: F.transform(F.regexp_extract_all(r, F.lit(FIELD), F.lit(0)), value))
+    rows = F.transform(parts, lambda r: F.struct(*(F.get(r, F.lit(k)).try_cast(kind).alias(n) for k, (n, kind) in enumerate(fields))))
+    return F.when(text.rlike(r"(?s)\A\s*\[.*\]\s*\z"), rows)
 
 
 def with_indications(drugs: Column, indications: Column) -> Column:
@@ -132,7 +141,7 @@ def weight_classes(rows: DataFrame, value: str, age: str, sex: str) -> DataFrame
 
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """(value, code) of the distinct values, numbered from 0 in order."""
-    return rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("code", F.dense_rank().over(Window.orderBy("value")) - 1)
+    return numbered(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct(), [F.col("value")], "code")
 
 
 def encoded(rows: DataFrame, column: str, codes: DataFrame) -> DataFrame:

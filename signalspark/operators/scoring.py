@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div, div0, rnd
+from .ranges import cumulated
 
 METRICS = ["accuracy", "recall", "specificity", "precision", "balanced_accuracy", "geom_rs", "harm_rs", "f1", "roc_auc", "mcc"]
 
@@ -15,8 +16,7 @@ def scores(rows: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_scor
     area under the curve needs one row for each distinct score of a group. Divisions by zero give 0."""
     weight, true = F.col(w).cast("double"), F.col(y) == 1
     points = rows.groupBy(*keys, F.col(p).alias("s")).agg(F.sum(F.when(true, weight).otherwise(0.0)).alias("pos"), F.sum(F.when(~true, weight).otherwise(0.0)).alias("neg"))
-    below = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    points = points.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    points = cumulated(points, keys, [F.col("s")], "neg").withColumnRenamed("before", "below")
     said = F.col("s") >= at
     cells = points.groupBy(*keys).agg(
         F.sum(F.when(said, F.col("pos")).otherwise(0.0)).alias("tp"), F.sum(F.when(said, F.col("neg")).otherwise(0.0)).alias("fp"),

@@ -102,10 +102,13 @@ def finished_and_left(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remembered(rows: DataFrame, memo: DataFrame) -> DataFrame:
-    """Automatic mode: ``rows`` with the tokens that ``memo`` (token, put) knows replaced by what it puts there."""
-    long = rows.select("name", "active", F.posexplode("tokens").alias("at", "token")).join(memo, "token", "left")
-    words = F.array_sort(F.collect_list(F.struct("at", F.coalesce("put", "token").alias("t"))))
-    return long.groupBy("name").agg(F.transform(words, lambda x: x["t"]).alias("tokens"), F.first("active").alias("active"))
+    """Automatic mode: ``rows`` with the tokens that ``memo`` (token, put; one row a token) knows replaced by what it puts
+    there. Every row gives one row, those without tokens and those of equal names too."""
+    long = rows.select(F.monotonically_increasing_id().alias("row"), "name", "active", "tokens").select("row", "name", "active", "tokens", F.posexplode_outer("tokens").alias("at", "token"))
+    long = long.drop("tokens").join(memo.select("token", "put"), "token", "left")
+    words = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("put", "token").alias("t")))))
+    out = long.groupBy("row").agg(F.first("name").alias("name"), F.transform(words, lambda x: x["t"]).alias("tokens"), F.first("active").alias("active"))
+    return out.drop("row")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -136,30 +139,37 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar(tokens: DataFrame, entries: DataFrame, least: float, k: int) -> DataFrame:
     """(token, entry, score): the ``k`` most similar entries of each token, of edit similarity ``least`` or more.
 
-    The distance of such a pair is at most (1 - least) of the longer length, so of that many pieces and one more, cut
-    evenly from the longer text, one is found whole in the other. Pairs meet in an equi-join on pieces and lengths; ties go
-    by entry. No pair of such similarity is lost.
+    The distance of such a pair is at most d = (1 - least) of the longer length. The longer text is cut evenly into d + 1
+    pieces; one of them stands whole in the shorter one, and if i pieces before it and d - i after it are touched, it is
+    shifted by i at most on either side and by no more than the lengths' difference and d - i allow. Pairs meet in an
+    equi-join on both lengths, piece and text; ties go by entry. No pair of such similarity is lost.
     """
-    sizes = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
-    cut = lambda text, n, parts, i: F.substring(text, (F.floor(n * i / parts) + 1).cast("int"), (F.floor(n * (i + 1) / parts) - F.floor(n * i / parts)).cast("int"))
+    most = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+    start = lambda n, i: F.floor(n * i / (most(n) + 1))
 
     def keyed(df: DataFrame, column: str) -> DataFrame:
-        """Pieces of each text, for itself as the longer one."""
+        """Pieces of each text, for itself as the longer one, once for each length of a shorter one."""
         n = F.length(column)
-        parts = sizes(n) + 1
-        pieces = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(n.alias("longer"), i.alias("part"), cut(F.col(column), n, parts, i).alias("piece")))
-        return df.withColumn("key", F.explode(pieces))
+        pieces = F.transform(F.sequence(F.lit(0), most(n)), lambda i: F.struct(i.alias("part"), F.substring(F.col(column), (start(n, i) + 1).cast("int"), (start(n, i + 1) - start(n, i)).cast("int")).alias("piece")))
+        lengths = F.sequence(n - most(n), n)
+        both = F.flatten(F.transform(lengths, lambda m: F.transform(pieces, lambda p: F.struct(n.alias("longer"), m.alias("shorter"), p["part"].alias("part"), p["piece"].alias("piece")))))
+        return df.withColumn("key", F.explode(both))
 
     def probed(df: DataFrame, column: str) -> DataFrame:
         """Stretches of each text where a piece of a text at least as long may stand."""
-        n = F.length(column)
-        longest = F.floor(n / least + 1e-9).cast("int")
-        stretches = F.flatten(F.transform(F.sequence(n, longest), lambda m: F.flatten(F.transform(
-            F.sequence(F.lit(0), sizes(m)), lambda i: F.transform(
-                F.sequence(F.lit(-1) * sizes(m), sizes(m)), lambda shift: F.struct(m.alias("longer"), i.alias("part"), F.substring(
-                    F.concat(F.repeat(F.lit("\0"), sizes(m)), F.col(column)),
-                    (F.floor(m * i / (sizes(m) + 1)) + 1 + shift + sizes(m)).cast("int"), (F.floor(m * (i + 1) / (sizes(m) + 1)) - F.floor(m * i / (sizes(m) + 1))).cast("int")).alias("piece")))))))
-        return df.withColumn("key", F.explode(F.array_distinct(stretches)))
+        m = F.length(column)
+        longest = F.floor(m / least + 1e-9).cast("int")
+
+        def stretches(n: Column) -> Column:
+            gap = n - m  # the shorter text lacks so many characters, before the piece or after it
+            at = lambda i, low: F.greatest(F.lit(-1) * i, F.lit(-1) * gap - (most(n) - i)) if low else F.least(i, most(n) - i - gap)
+            piece = lambda i, shift: F.struct(n.alias("longer"), m.alias("shorter"), i.alias("part"), F.substring(
+                F.concat(F.repeat(F.lit("\0"), most(n)), F.col(column)), (start(n, i) + 1 + shift + most(n)).cast("int"), (start(n, i + 1) - start(n, i)).cast("int")).alias("piece"))
+            of = lambda i: F.when(at(i, True) <= at(i, False), F.transform(F.sequence(at(i, True), at(i, False)), lambda shift: piece(i, shift))).otherwise(F.array())
+            return F.flatten(F.transform(F.sequence(F.lit(0), most(n)), of))
+
+        fits = F.filter(F.sequence(m, longest), lambda n: n - m <= most(n))
+        return df.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(fits, stretches)))))
 
     left, right = tokens.select("token").distinct(), entries.select("entry").distinct()
     pairs = keyed(left, "token").join(probed(right, "entry"), "key").select("token", "entry").union(probed(left, "token").join(keyed(right, "entry"), "key").select("token", "entry")).distinct()

@@ -179,13 +179,14 @@ def report_explode(spark, sf_dir):
     return reports.included(drug_lists(spark, sf_dir), reports.SECONDARY).select("report", "role", "drug")
 
 
-@query("select event_id, 1 as n, cast(props->>'k' as int) as k from events")
+@query("select event_id, 2 as n, cast(props->>'k' as int) as k, upper(event_type) || ' (ORAL), 10' as name, null::varchar as role_2, 'o''b [' || event_type || ']' as name_2 from events")
 def literal_parse(spark, sf_dir):
-    """A list of tuples in text, parsed."""
-    e = of(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-    text = F.concat(F.lit("[("), F.col("k"), F.lit(", 'PS', 'a')]"))
-    got = e.withColumn("d", reports.parsed_tuples(text, reports.DRUG))
-    return got.select("event_id", F.size("d").alias("n"), F.get("d", F.lit(0))["seq"].alias("k"))
+    """A list of tuples in text, with brackets and commas in names, a None and quotes of both kinds, parsed."""
+    e = of(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    text = F.concat(F.lit("[("), F.col("k"), F.lit(", 'PS', '"), F.upper("event_type"), F.lit(" (ORAL), 10'), (2, None, \"o'b ["), F.col("event_type"), F.lit("]\")]"))
+    d = e.withColumn("d", reports.parsed_tuples(text, reports.DRUG))
+    first, second = (F.get("d", F.lit(k)) for k in (0, 1))
+    return d.select("event_id", F.size("d").alias("n"), first["seq"].alias("k"), first["name"].alias("name"), second["role"].alias("role_2"), second["name"].alias("name_2"))
 
 
 @query("""with o as (select o_orderkey, o_orderpriority from orders)
@@ -279,18 +280,20 @@ def tok_collect(spark, sf_dir):
     return tokens.collected(_names(spark, sf_dir))
 
 
-@query(f"with r as (select distinct p_name as name, list_filter({_T}, lambda x: x not in ('{WORD}', 'small')) as t from part) select name, len(t) = 0 as finished from r")
+@query(f"with r as (select distinct p_name as name, {_T} as t from part) select name, array_to_string(list_sort(list_distinct(list_filter(t, lambda x: x not in ('{WORD}', 'small')))), '|') as tokens, case when list_contains(t, '{WORD}') then '{WORD}' else '' end as active, len(list_filter(t, lambda x: x not in ('{WORD}', 'small'))) = 0 as finished from r")
 def tok_apply_changes(spark, sf_dir):
     rules = [tokens.Rule("move_by_string", WORD), tokens.Rule("remove_by_string", "small"), tokens.Rule("move_by_string", WORD)]
     done, left = tokens.finished_and_left(tokens.applied(_names(spark, sf_dir).select("name", "tokens", "active").distinct(), rules))
-    return done.select("name", F.lit(True).alias("finished")).union(left.select("name", F.lit(False)))
+    both = done.withColumn("finished", F.lit(True)).union(left.withColumn("finished", F.lit(False)))
+    return both.select("name", F.concat_ws("|", "tokens").alias("tokens"), F.concat_ws("|", "active").alias("active"), "finished")
 
 
-@query(f"with m as (select distinct unnest({_T}) as token from part), r as (select distinct p_name as name, {_T} as t from part) select name, array_to_string(list_transform(t, lambda x: case when x like 's%' then upper(x) else x end), '|') as tokens from r")
+@query(f"with r as (select p_name as name, case when p_partkey % 5 = 0 then [] else {_T} end as t from part) select name, array_to_string(list_transform(t, lambda x: case when x like 's%' then upper(x) else x end), '|') as tokens from r")
 def tok_auto_process(spark, sf_dir):
-    rows = _names(spark, sf_dir).select("name", "tokens", "active").distinct()
-    memo = tokens.collected(rows).where("token like 's%'").select("token", F.upper("token").alias("put")).distinct()
-    return tokens.remembered(rows, memo).select("name", F.concat_ws("|", "tokens").alias("tokens"))
+    """Rows of equal names and rows without tokens stay rows of their own."""
+    rows = _names(spark, sf_dir).withColumn("tokens", F.when(F.col("p_partkey") % 5 != 0, F.col("tokens")).otherwise(F.array().cast("array<string>")))
+    memo = tokens.collected(rows).where("token like 's%'").select("token").distinct().select("token", F.upper("token").alias("put"))
+    return tokens.remembered(rows.select("name", "tokens", "active"), memo).select("name", F.concat_ws("|", "tokens").alias("tokens"))
 
 
 _SIMILAR_SQL = "with a as (select distinct p_name as token from part), p as (select a.token, b.token as entry, round_even((1 - levenshtein(a.token, b.token)::double / greatest(length(a.token), length(b.token))) * 1000, 0) / 1000 as score from a, a b)"
@@ -458,24 +461,35 @@ def robust_scale(spark, sf_dir):
     return features.robust_scales(of(spark, sf_dir, "embeddings"), "embedding")
 
 
-@query(f"with {_UNNEST_SQL} select a.pos as i, b.pos as j, {R.format('corr(a.x, b.x)')} as r from u a join u b on a.vec_id = b.vec_id and a.pos < b.pos group by all having abs(corr(a.x, b.x)) >= 0.2")
+#: Embeddings with a constant and with mixtures of two components put after them.
+_PLANTED_SQL = "planted as (select vec_id, list_transform(embedding, lambda x: x::double) || [1.0::double] || list_transform([1, 2, 3], lambda k: embedding[k]::double + embedding[k + 1]::double / 8) as v from embeddings), w as (select vec_id, unnest(v) as x, unnest(range(len(v)))::int as pos from planted)"
+
+
+def _planted(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    more = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get(v, k) + F.get(v, k + 1) / 8)
+    return of(spark, sf_dir, "embeddings").select("vec_id", F.concat(v, F.array(F.lit(1.0)), more).alias("v"))
+
+
+@query(f"with {_PLANTED_SQL} select a.pos as i, b.pos as j, {R.format('corr(a.x, b.x)')} as r from w a join w b on a.vec_id = b.vec_id and a.pos < b.pos where a.pos <> 64 and b.pos <> 64 group by all having abs(corr(a.x, b.x)) >= 0.1")
 def corr_pairs(spark, sf_dir):
-    return features.correlated(of(spark, sf_dir, "embeddings"), "embedding", 0.2)
+    return features.correlated(_planted(spark, sf_dir), "v", 0.1)
 
 
-_BITS_SQL = "b as (select vec_id, list_sum(list_transform(range(1, 64), lambda i: case when embedding[i] > 0 then (1::hugeint << (i - 1)::int) else 0 end))::bigint as bits from embeddings)"
+_BITS_SQL = "b as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int::double) as bits from embeddings)"
+_BOTH, _EITHER = "list_inner_product(x.bits, y.bits)", "(list_sum(x.bits) + list_sum(y.bits) - list_inner_product(x.bits, y.bits))"
 
 
 def _bits(spark, sf_dir):
     return of(spark, sf_dir, "embeddings").select("vec_id", features.sign_bits(F.col("embedding")).alias("bits"))
 
 
-@query(f"with {_BITS_SQL} select x.vec_id as a, y.vec_id as b, {R.format('bit_count(x.bits & y.bits)::double / bit_count(x.bits | y.bits)')} as similarity from b x join b y on x.vec_id < y.vec_id where bit_count(x.bits & y.bits)::double / bit_count(x.bits | y.bits) >= 0.6")
+@query(f"with {_BITS_SQL} select x.vec_id as a, y.vec_id as b, {R.format(f'{_BOTH} / {_EITHER}')} as similarity from b x join b y on x.vec_id < y.vec_id where {_BOTH} / {_EITHER} >= 0.6")
 def tanimoto_pairs(spark, sf_dir):
     return features.tanimoto_pairs(_bits(spark, sf_dir), "vec_id", "bits", 0.6)
 
 
-@query(f"with {_BITS_SQL} select x.vec_id, {R.format('min(1 - bit_count(x.bits & y.bits)::double / bit_count(x.bits | y.bits))')} as distance from b x join b y on x.vec_id % 5 <> y.vec_id % 5 group by 1")
+@query(f"with {_BITS_SQL} select x.vec_id, {R.format(f'min(1 - {_BOTH} / {_EITHER})')} as distance from b x join b y on x.vec_id % 5 <> y.vec_id % 5 group by 1")
 def fold_min_distance(spark, sf_dir):
     return features.fold_distances(_bits(spark, sf_dir).withColumn("fold", F.col("vec_id") % 5), "vec_id", "bits", "fold")
 
@@ -491,9 +505,9 @@ def group_kfold(spark, sf_dir):
     return features.group_folds(of(spark, sf_dir, "documents"), "source")
 
 
-@query("select vec_id, i - 1 as position, " + R.format("1 / (1 + exp(-((i - 1) * 0.3::double + 0.1))) - 1 / (1 + exp(-((vec_id % 3) * 0.3::double + 0.1)))") + " as difference from embeddings, range(1, 4) t(i)")
+@query("select vec_id, i - 1 as position, " + R.format("1 / (1 + exp(-((i - 1) * 0.3::double + 0.1))) - 1 / (1 + exp(-((label % 3) * 0.3::double + 0.1)))") + " as difference from embeddings, range(1, 4) t(i)")
 def counterfactual_diff(spark, sf_dir):
-    rows = of(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(F.col("vec_id") % 3 == k, 1).otherwise(0)).alias("demo"))
+    rows = of(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(F.col("label") % 3 == k, 1).otherwise(0)).alias("demo"))
     return scoring.counterfactuals(rows, ["vec_id"], F.col("demo"), [3], scoring.linear([0.0, 0.3, 0.6], 0.1))
 
 
@@ -520,9 +534,9 @@ def anti_finished(spark, sf_dir):
     return of(spark, sf_dir, "documents").join(of(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-@query("select page_id, len(regexp_extract_all(html, '<a href=')) as n_links from pages")
+@query("""select page_id, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') as links from pages""")
 def html_links(spark, sf_dir):
-    return of(spark, sf_dir, "pages").select("page_id", F.size(tables.links("html")).alias("n_links"))
+    return of(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", tables.links(F.col("html"))).alias("links"))
 
 
 @query("select lang, " + ", ".join(f"count(*) filter (toxic = {t}) as toxic_{t}" for t in (0, 1)) + " from documents join labels using (doc_id) group by lang")
@@ -538,6 +552,6 @@ def union_by_name(spark, sf_dir):
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query("select parse_filename(filename, true) as stem, count(*) as n from read_parquet('/root/testdata/sf0.01/nation.parquet', filename = true) group by 1")
+@query("select 'nation' as stem, count(*) as n from nation")
 def path_columns(spark, sf_dir):
     return tables.read_table(spark, f"{sf_dir}/nation.parquet").select(tables.from_path(r"([^/]+)\.parquet").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))

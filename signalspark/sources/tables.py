@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 #: Format and options of a file name's last part.
 FORMATS = {"csv": ("csv", {"header": True}), "tsv": ("csv", {"header": True, "sep": "\t"}), "parquet": ("parquet", {}), "json": ("json", {}), "orc": ("orc", {})}
@@ -51,22 +47,9 @@ def drug_records(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("products", F.array_except("products", "mixtures"))
 
 
-@pandas_udf(ArrayType(StringType()))
-def links(pages: pd.Series) -> pd.Series:
-    """Targets of the links of a page, in order."""
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.found = []
-
-        def handle_starttag(self, tag, attrs):
-            if tag == "a":
-                self.found += [v for k, v in attrs if k == "href" and v]
-
-    def one(page):
-        reader = Reader()
-        reader.feed(page or "")
-        return reader.found
-
-    return pages.map(one)
+def links(page: Column) -> Column:
+    """Targets of the links of a page, in order; empty for a null page."""
+    tags = F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    target = lambda t: F.regexp_extract(t, r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
+    bare = F.transform(tags, lambda t: F.regexp_replace(target(t), r"(?is)\A\shref\s*=\s*[\"']?|[\"']\z", ""))
+    return F.filter(bare, lambda t: t != "")
