@@ -28,6 +28,11 @@ def feature_masks(rows: DataFrame, vector: str, most: float = 1e12) -> DataFrame
     return long.groupBy("pos").agg((~F.max(bad) & (F.max("x") > F.min("x"))).alias("kept"))
 
 
+def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, pos, mean) of each group's vectors, element by element."""
+    return rows.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(rnd(F.avg(F.col("x").cast("double"))).alias("mean"))
+
+
 def varying(rows: DataFrame, vector: str, least: float = 1e-3) -> DataFrame:
     """(pos, variance, kept) by population variance."""
     long = rows.select(F.posexplode(vector).alias("pos", "x"))

@@ -111,3 +111,19 @@ def external_confusion(rows: DataFrame, external: DataFrame, key: str, keys: lis
     both = rows.join(external, key)
     case = lambda y, c: F.count_if((F.col("y") == y) & (F.col("class") == c))
     return both.groupBy(*keys).agg(case(1, 1).alias("tp"), case(0, 0).alias("tn"), case(1, 0).alias("fp"), case(0, 1).alias("fn"))
+
+
+def signature(*columns: str) -> Column:
+    """Values of a stratum as one text."""
+    return F.concat_ws(" | ", *columns)
+
+
+def parameters(trial: Column) -> Column:
+    """A map of parameters as one text, by name."""
+    pairs = F.array_sort(F.map_entries(trial))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), p["value"])), " | ")
+
+
+def category_order(orders: dict[str, list[str]]) -> list[Column]:
+    """Sort keys by the places of values in their category's order; others come last."""
+    return [F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(c)), F.lit(0)).asc_nulls_last() for c, values in orders.items()]

@@ -200,3 +200,10 @@ def finished(rows: DataFrame, dims: list[str], values: dict[str, list[str]], dru
     out = rows.where(F.col("y").isNotNull() & known).withColumns({d: F.coalesce(F.col(d), F.lit("Unknown")) for d in dims})
     vector = F.array(*(F.when(F.col(d) == v, 1).otherwise(0) for d in dims for v in values[d]))
     return out.select(*dims, drug, "label", "confidence", "weight", "y", "smooth", vector.alias("demographics"))
+
+
+def cells_from_rows(rows: DataFrame, drug: str, flag: Column) -> DataFrame:
+    """2 x 2 cells of each drug straight from rows of reports."""
+    totals = rows.agg(F.count_if(flag).alias("e"), F.count("*").alias("n"))
+    own = rows.groupBy(drug).agg(F.count_if(flag).alias("a"), F.count_if(~flag).alias("b"))
+    return own.crossJoin(F.broadcast(totals)).select(drug, "a", "b", (F.col("e") - F.col("a")).alias("c"), (F.col("n") - F.col("e") - F.col("b")).alias("d"))

@@ -1,9 +1,11 @@
 """Operators on worked cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import features, reports, scoring, signal, stats, tokens
+from signalspark.operators import features, ranges, reports, scoring, signal, stats, steps, tables_of_rules, tokens
 from signalspark.sources import tables
 from signalspark.streaming import counts
 
@@ -112,3 +114,134 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.k, r.n, r.total) for r in spark.table("running").collect()} == {("a", 2, 3.0), ("b", 1, 3.0)}
+
+
+def test_literals(spark):
+    texts = ["[(1, 'PS', 'ASPIRIN (ORAL), 5%')]", "[(1, None, \"O'NEIL [x]\"), (2, 'SS', 'it\\'s \"so\"')]", "[]", "nothing", None, "[(x, 'PS')]"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.d for r in rows.select("k", reports.parsed_tuples(F.col("t"), reports.DRUG).alias("d")).orderBy("k").collect()]
+    assert got == [[(1, "PS", "ASPIRIN (ORAL), 5%")], [(1, None, "O'NEIL [x]"), (2, "SS", "it's \"so\"")], [], None, None, [(None, "PS", None)]]
+
+
+def test_every_row_is_remembered(spark):
+    rows = spark.createDataFrame([("a", ["x", "y"], []), ("a", ["y"], ["z"]), ("b", [], ["w"]), ("c", None, [])], "name string, tokens array<string>, active array<string>")
+    memo = spark.createDataFrame([("x", "X")], "token string, put string")
+    got = sorted((r.name, r.tokens, r.active) for r in tokens.remembered(rows, memo).collect())
+    assert got == [("a", ["X", "y"], []), ("a", ["y"], ["z"]), ("b", [], ["w"]), ("c", [], [])]
+
+
+def sequential_butina(near):
+    near, out = {k: set(v) for k, v in near.items() if v}, []
+    while near:
+        centre = min(near, key=lambda k: (-len(near[k]), k))
+        group = {centre} | near[centre]
+        if len(group) == 1:
+            break
+        out.append(sorted(group))
+        near = {k: v - group for k, v in near.items() if k not in group}
+    return out
+
+
+def test_butina_agrees_with_the_sequential_order(spark):
+    rng = random.Random(3)
+    for n, m in ((30, 45), (60, 60), (25, 150)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        near = {k: {b if a == k else a for a, b in pairs if k in (a, b)} for k in range(n)}
+        groups = sequential_butina(near)
+        want = {k: c for c, g in enumerate(groups) for k in g}
+        alone = sorted(set(range(n)) - want.keys())
+        want |= {k: len(groups) + place for place, k in enumerate(alone)}
+        got = features.butina(spark.createDataFrame(sorted(pairs), "a bigint, b bigint"), spark.range(n).withColumnRenamed("id", "k"), "k").collect()
+        assert {r.k: r.cluster for r in got} == want
+    assert features.butina(spark.createDataFrame([], "a bigint, b bigint"), spark.range(3).withColumnRenamed("id", "k"), "k").count() == 3
+
+
+def test_folds_are_dealt_as_one_by_one(spark):
+    rng = random.Random(5)
+    for trial in range(40):
+        sizes = [rng.choice([1, 1, 1, 2, 3, 7, 40]) for _ in range(rng.randrange(1, 80))]
+        load, want = [0] * 4, []
+        for s in sorted(sizes, reverse=True):
+            f = min(range(4), key=lambda f: (load[f], f))
+            load[f] += s
+            want.append(f)
+        counts = {s: sizes.count(s) for s in set(sizes)}
+        got = [ring[k % len(ring)] for _, first, last, ring in features.dealt(list(counts.items()), 4) for k in range(last - first + 1)]
+        assert got == want
+    rows = spark.createDataFrame([(g,) for g, n in (("a", 5), ("b", 3), ("c", 3), ("d", 1)) for _ in range(n)], "g string")
+    assert {r.g: r.fold for r in features.group_folds(rows, "g", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), v, rng.randrange(5)) for v in rng.sample(range(1000), 300)]
+    got = ranges.cumulated(spark.createDataFrame(rows, "g string, v int, n int"), ["g"], [F.col("v")], "n").collect()
+    for r in got:
+        own = [(v, n) for g, v, n in rows if g == r.g]
+        assert (r.before, r.upto, r.whole) == (sum(n for v, n in own if v < r.v), sum(n for v, n in own if v <= r.v), sum(n for _, n in own))
+    assert [r.number for r in ranges.numbered(spark.range(50), [F.col("id").desc()]).orderBy(F.desc("id")).collect()] == list(range(50))
+
+
+def test_sign_bits_cover_the_vector(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.choice([-1.0, 1.0]) for _ in range(70)]) for k in range(30)]
+    rows.append((30, rows[0][1][:69] + [-rows[0][1][69]]))
+    bits = spark.createDataFrame(rows, "k bigint, v array<double>").select("k", features.sign_bits(F.col("v")).alias("b"))
+    on = {k: {i for i, x in enumerate(v) if x > 0} for k, v in rows}
+    want = {(a, b): round(len(on[a] & on[b]) / len(on[a] | on[b]), 5) for a in on for b in on if a < b and len(on[a] & on[b]) >= 0.5 * len(on[a] | on[b])}
+    got = {(r.a, r.b): r.similarity for r in features.tanimoto_pairs(bits, "k", "b", 0.5, blocks=3).collect()}
+    assert got == pytest.approx(want) and got[0, 30] < 1
+
+
+def test_feature_chain(spark):
+    rng = random.Random(4)
+    rows = [(k, [x := rng.gauss(0, 1), 3 * x, 7.0, rng.gauss(0, 1) if k else None, float("inf") if k == 3 else 1.0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>")
+    chain = steps.FeatureChain("Morgan").fit(df, "k", "v")
+    assert chain.kept == [1]
+    full = spark.createDataFrame([(k, [v[0], v[1], v[3] if k else float(k)]) for k, v in rows], "k bigint, v array<double>")
+    out = {r.k: r.v for r in steps.FeatureChain("RDKit").fit(full, "k", "v").transform(full, "k", "v").collect()}
+    assert all(len(v) == 2 for v in out.values()) and sorted(v[0] for v in out.values())[30] == pytest.approx(0, abs=0.1)
+    with pytest.raises(ValueError):
+        steps.FeatureChain("other")
+    with pytest.raises(ValueError):
+        steps.FeatureChain("CDDD").fit(df.union(spark.createDataFrame([(99, [1.0])], "k bigint, v array<double>")), "k", "v")
+
+
+def test_evaluation_by_fold(spark):
+    rng = random.Random(6)
+    rows = [(k % 3, "Eval" if k % 2 else "Train", k % 5 % 2, rng.random(), 1.0 + k % 4, k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "fold_out int, split string, y int, y_score double, weight double, grp int")
+    got = {(r.fold_out, r.split, r.weighting, r.kind, r.value): r.recall for r in steps.evaluation_scores(df, ["fold_out", "split"], ["grp"], "y", "weight").collect()}
+    for (fold, split, weighting, kind, value), recall in got.items():
+        own = [(s, w if weighting == "Weighted" else 1.0) for f, p, y, s, w, g in rows if f == fold and p == split and y == 1 and (kind == "Total" or str(g) == value)]
+        assert recall == pytest.approx(sum(w for s, w in own if s >= 0.5) / sum(w for _, w in own), abs=1e-5)
+    assert len({k[:3] for k in got}) == 12
+
+
+def test_indel_ratio(spark):
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+        return row[-1]
+
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))), "".join(rng.choice("abc") for _ in range(rng.randrange(0, 12)))) for _ in range(80)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", tokens.indel_ratio("a", "b").alias("r")).collect()
+    assert all(r.r == pytest.approx(2 * common(r.a, r.b) / (len(r.a) + len(r.b)), abs=6e-4) for r in got)
+
+
+def test_rules_as_tables(spark, tmp_path):
+    rules = [tokens.Rule("move_by_string", "x"), tokens.Rule("remove_by_string", "y")]
+    tables.write_table(tables_of_rules.as_table(spark, rules), str(tmp_path / "rules.parquet"))
+    back = tables.read_table(spark, str(tmp_path / "rules.parquet"))
+    assert tables_of_rules.from_table(back) == rules
+    rows = spark.createDataFrame([("n", ["x", "y", "z"], [])], "name string, tokens array<string>, active array<string>")
+    now, left = tables_of_rules.run(rows, back)
+    assert now.first().tokens == ["z"] and now.first().active == ["x"] and left.count() == 0
+    later, left = tables_of_rules.run(rows, back, delayed=True)
+    assert later.first().tokens == ["x", "y", "z"] and left.count() == 2
+

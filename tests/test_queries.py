@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from signalspark.plans import registry
+from signalspark.plans import registry, steps
+
+assert steps.query is registry.query  # its queries are in the registry, too
 
 SF = "/root/testdata/sf0.001"
 
