@@ -16,23 +16,28 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _joined(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """``rows`` (a, b) with m of ``low`` (a, m, n). Nodes of more than ``most`` edges come by broadcast, so that no task gets
-    all edges of a node; edges being counted, fewer than 2 * edges / ``most`` nodes have as many."""
-    hot = F.broadcast(low.where(F.col("n") > most).select("a", "m"))
-    return rows.join(hot, "a").union(rows.join(hot, "a", "left_anti").join(low.where(F.col("n") <= most).select("a", "m"), "a"))
+def joined(rows: DataFrame, groups: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (key, n, ...; one row a key, n: its rows). Groups of more than ``most`` rows come
+    by broadcast, so that no task gets all rows of a key; rows being counted, fewer than rows / ``most`` groups have as many."""
+    hot = F.broadcast(groups.where(F.col("n") > most).drop("n"))
+    return rows.join(hot, key).union(rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col("n") <= most).drop("n"), key))
+
+
+def hot_bound(n: int) -> int:
+    """Rows of a key beyond which it counts as hot, of ``n`` rows in all."""
+    return max(HOT, n // HOT_NODES)
 
 
 def _large(edges: DataFrame, most: int) -> DataFrame:
     both = _both(edges)
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    return _joined(both.where("b > a"), low, most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return joined(both.where("b > a"), low, "a", most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _joined(down, low, most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = joined(down, low, "a", most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -48,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-        most = max(HOT, now[0] // HOT_NODES)
+        most = hot_bound(now[0])
         stars = table(_large(edges, most), "stars")
         new = table(_small(stars, most), "edges")
         drop(edges, stars)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordIds, as_bytes, chain, drop, mix, row_key, rows_among, shuffle_parts, table, without_rows
-from .graph import components
+from .graph import components, hot_bound, joined
 
 #: Sets of one row of the matrix, and shingles of one part of a group.
 GROUP_DOCS = 32
@@ -394,9 +394,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, part:
 
 
 def spread(sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    nodes = sizes.where("n > 0").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = nodes.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    nodes = sizes.where("n > 0").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
+    least = nodes.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+    out = joined(nodes, least.withColumnRenamed("n_rows", "n"), "root", hot_bound(sizes.count())).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return out.union(sizes.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
@@ -411,8 +411,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     nodes = sizes.where("n > 0").join(roots, "cls", "left").select(F.coalesce("root", "cls").alias("root"), "doc_id", "k1", "k2")
     nodes = table(nodes.groupBy("root", "doc_id", "k1", "k2").agg(F.count("*").alias("times")), "nodes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
-    best = nodes.groupBy("root").agg(F.min(order).alias("best"))
-    marked = nodes.join(best, "root").select("doc_id", "k1", "k2", "times", (order == F.col("best")).alias("kept"))
+    best = nodes.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    marked = joined(nodes, best, "root", hot_bound(nodes.count())).select("doc_id", "k1", "k2", "times", (order == F.col("best")).alias("kept"))
     kept = without_rows(docs, marked.where("not kept").select("doc_id", "k1", "k2"))
     again = table(marked.where("kept and times > 1").select("doc_id", "k1", "k2"), "again")
     drop(sizes)

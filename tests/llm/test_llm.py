@@ -678,3 +678,42 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in left.collect()}
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.benchmark_hits(left, bench).count() == 0
+
+
+def test_near_duplicate_and_decontamination_stages_against_brute_force(spark, tmp_path):
+    """The stages on made documents: one of each group of near copies stays, and what holds an edited benchmark item goes."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), near_copies(4)
+    items = [(k, " ".join(f"z{rng.randrange(500)}" for _ in range(n))) for k, n in enumerate((3, 12, 40))]
+    for k, (d, t) in enumerate(rows[:12]):
+        leak = items[k % 3][1].split()
+        if k % 2 and len(leak) > 10:
+            leak[5] = "changed"
+        rows.append((1000 + k, f"{t} {' '.join(leak)} end of it"))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["near_duplicates"](spark, docs, str(tmp_path))
+    want = {root for _, root in brute_components(rows, 5, 80).values()}
+    assert {r.doc_id for r in single.collect()} == want and single.count() == len(want)
+    clean = stages["decontamination"](spark, docs, str(tmp_path))
+    held = {d for d, t in rows for _, x in items if brute_distance(x.split(), t.split()) <= len(x.split()) // 10}
+    assert held and {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - held
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, labels, tmp_path):
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", F.col("row").alias("score"))
+    for own, empty in ((docs, False), (docs.limit(0), True)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, own, SF)
+            rows = got.collect()
+            assert (name == "mixing" or got.columns == own.columns) and (not empty or not rows)
+            if name in ("toxicity", "quality", "decontamination"):
+                assert {repr(tuple(r)) for r in rows} <= {repr(tuple(r)) for r in own.collect()}
+            if name == "near_duplicates" and not empty:
+                assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "6", "8", "None"]
+            if name == "mixing":
+                assert len(rows) == own.count()
