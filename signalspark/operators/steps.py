@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, to_number
 from . import features, models, reports, scoring, stats
+from .ranges import cut
 
 #: Descriptors whose features are binary and stay unscaled, and the others (fixed values).
 BINARY, CONTINUOUS = ("Morgan", "MACCS", "Klek"), ("CDDD", "ChemBERTa", "RDKit")
@@ -22,8 +23,10 @@ def to_date(text: Column) -> Column:
 
 def prepared(raw: DataFrame) -> DataFrame:
     """Raw reports, all texts, with parsed drugs and their indications, dates, reactions, numbers and age groups."""
-    drugs = reports.with_indications(reports.parsed_tuples(F.col("drugs"), reports.DRUG), reports.parsed_tuples(F.col("indications"), reports.INDICATION))
     months = to_number(F.col("age_months"))
+    # parsed first: the lists are looked at again and again from here on
+    raw = raw.withColumns({"drugs": reports.parsed_tuples(F.col("drugs"), reports.DRUG), "indications": reports.parsed_tuples(F.col("indications"), reports.INDICATION)})
+    drugs = reports.with_indications(F.col("drugs"), F.col("indications"))
     return raw.select(
         F.col("primaryid").cast("bigint").alias("report"), to_date(F.col("event_dt")).alias("event_dt"), to_date(F.col("fda_dt")).alias("fda_dt"), F.col("sex").cast("string").alias("sex"),
         months.alias("age_months"), reports.age_group(months).alias("age_group"), to_number(F.col("weight_kg")).alias("weight_kg"), reports.split_terms(F.col("reactions")).alias("reactions"), drugs.alias("drugs"),
@@ -59,7 +62,8 @@ def with_folds(rows: DataFrame, folds: DataFrame, key: str, **identity: str) ->
 def reports_to_rows(raw: DataFrame, run: reports.Inclusion, terms: DataFrame, token_map: DataFrame, structures: DataFrame) -> DataFrame:
     """Steps 1 to 4: one row for each suspect drug of an included report, with mapped reactions, demographics and structures."""
     mapped = reports.mapped_terms(prepared(raw), "report", "reactions", terms)
-    return with_structures(with_actives(reports.included(mapped, run), token_map), structures)
+    rows = cut(reports.included(mapped, run))  # the weight quantiles read it five times
+    return with_structures(with_actives(rows, token_map), structures)
 
 
 class FeatureChain:
