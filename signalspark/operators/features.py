@@ -196,6 +196,19 @@ def group_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
     return placed.join(F.broadcast(runs), inside).select(group, F.get("ring", turn).alias("fold"))
 
 
+def stratified_folds(rows: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+    """(group, fold): whole groups, with like shares of positive labels in every fold.
+
+    Groups stand in the order of their share of positives, then of size; each next ``folds`` of them go to one fold each, in
+    turn from the first to the last and back. It is a deal without a seed, not the order of a shuffled greedy assignment.
+    """
+    of = rows.groupBy(group).agg(F.avg(label).alias("share"), F.count("*").alias("size"))
+    placed = numbered(of, [F.col("share").desc(), F.col("size").desc(), F.col(group)])
+    turn = F.pmod(F.col("number"), F.lit(folds))
+    back = F.pmod(F.floor(F.col("number") / folds), F.lit(2)) == 1
+    return placed.select(group, F.when(back, folds - 1 - turn).otherwise(turn).cast("int").alias("fold"))
+
+
 def fold_distances(rows: DataFrame, key: str, bits: str, fold: str, blocks: int | None = None) -> DataFrame:
     """(key, distance): least Tanimoto distance of each row to rows of other folds, in blocks of an equi-join; quadratic by
     definition, as the nearest row of another fold may be anywhere."""

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir (a local folder where that is unset, as in tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "signalspark-checkpoints"))
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """``df`` checkpointed in spark.checkpoint.dir. Where that is unset, a folder of the machine serves a local session; a cluster
+    gets an error, as its executors couldn't read what the others write there."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "signalspark-checkpoints"))
     return df.checkpoint()
 
 

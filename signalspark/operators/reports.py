@@ -149,6 +149,11 @@ def encoded(rows: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return rows.join(codes, rows[column] == codes["value"]).drop(column, "value").withColumnRenamed("code", column)
 
 
+def decoded(rows: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    """``column`` of codes replaced by their values; codes without one go."""
+    return rows.join(codes, rows[column] == codes["code"]).drop(column, "code").withColumnRenamed("value", column)
+
+
 def actives(text: Column, mapping: Column) -> Column:
     """Names split at ' : ' and looked up in a map, 'Missing' by default; null if all are missing."""
     found = F.transform(F.split(text, " : "), lambda x: F.coalesce(F.try_element_at(mapping, x), F.lit("Missing")))

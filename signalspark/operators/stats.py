@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import div, rnd
 
@@ -40,6 +43,39 @@ def signed_rank(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return sums.select(*keys, "n", "w_plus", "w_minus", least.alias("statistic"), rnd(z).alias("z"), normal_tail(z).alias("p_value"), rnd(r).alias("rank_biserial"), effect.alias("effect"))
 
 
+@F.pandas_udf(DoubleType())
+def t_tail(r: pd.Series, freedom: pd.Series) -> pd.Series:
+    """Two-sided tail probability of Student's t = r * sqrt(freedom / (1 - r^2)), one row a test.
+
+    It is the integral of cos^(freedom - 1) beyond asin(|r|), over that of the whole quarter turn; Gauss-Legendre over the few
+    widths of the integrand that count.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+
+    def area(power: float, low: float, high: float) -> float:
+        edges = np.linspace(low, high, 9)
+        half = (edges[1:] - edges[:-1])[:, None] / 2
+        return float((half * weights * np.exp(power * np.log(np.cos(edges[:-1, None] + half * (1 + nodes))))).sum())
+
+    def one(x: float, v: float) -> float | None:
+        if x is None or v is None or np.isnan(x) or np.isnan(v) or v < 1:
+            return None
+        low, power = float(np.arcsin(min(1.0, abs(x)))), float(v) - 1
+        wide = min(np.pi / 2, 40 / np.sqrt(power)) if power else np.pi / 2
+        return min(1.0, area(power, low, min(np.pi / 2, low + wide)) / area(power, 0.0, wide)) if low < np.pi / 2 else 0.0
+
+    return pd.Series([one(x, v) for x, v in zip(r, freedom)], dtype="float64")
+
+
+def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """n, Pearson's r and its two-sided p_value of each group, over the rows where both are known; both null for a constant
+    side, p_value also for fewer than three rows."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    r = div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # corr fails on a constant side
+    out = both.groupBy(*keys).agg(F.count("*").alias("n"), F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+    return out.select(*keys, "n", rnd(F.col("r")).alias("r"), t_tail("r", F.when(F.col("n") > 2, F.col("n") - 2).cast("double")).alias("p_value"))
+
+
 def holm(tests: DataFrame, p: str = "p_value", alpha: float = 0.01, tie: str | None = None) -> DataFrame:
     """``tests`` with adjusted_p and rejected, by Holm's step-down; a table of tests is a few rows."""
     order = Window.orderBy(p, *([tie] if tie else []))

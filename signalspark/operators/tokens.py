@@ -136,6 +136,11 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def similar_keys(tokens: DataFrame, entries: DataFrame, least: float, k: int) -> DataFrame:
+    """``similar`` over the keys of a map (entry, value), with their values."""
+    return similar(tokens, entries, least, k).join(entries.select("entry", "value"), "entry").select("token", "entry", "score", "value")
+
+
 def similar(tokens: DataFrame, entries: DataFrame, least: float, k: int) -> DataFrame:
     """(token, entry, score): the ``k`` most similar entries of each token, of edit similarity ``least`` or more.
 

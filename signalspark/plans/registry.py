@@ -102,6 +102,15 @@ def dpa_ic_point(spark, sf_dir):
     return cells.select("gid", *DIMS, "drug", signal.information_component(*(F.col(x) for x in "abcd"), 0.5)[0].alias("ic"))
 
 
+_ALL = [f"{m}{x}" for m in ("prr", "ror") for x in ("_lower", "", "_upper")]
+
+
+@query(RATIO_SQL + " select gid, seg, pri, status, drug, " + ", ".join(f"case when {m}_lower is not null and {m} is not null and {m}_upper is not null then {m}{x} end as {m}{x}" for m in ("prr", "ror") for x in ("_lower", "", "_upper")) + f", {R.format('log2((a + 0.5::double) / ((a + b)::double * (a + c) / (a + b + c + d) + 0.5::double))')} as ic from bounded")
+def dpa_metrics(spark, sf_dir):
+    """All three metrics of every cell."""
+    return signal.metrics(_cells(spark, sf_dir)).select("gid", *DIMS, "drug", *_ALL, "ic")
+
+
 @query()
 def dpa_ic_bounds(spark, sf_dir):
     out = signal.labelled(signal.metrics(_cells(spark, sf_dir)), "ic")
@@ -352,10 +361,10 @@ def scores_by_sign(spark, sf_dir):
 _LONG_SQL = _scores_sql("model, fold", "select * from preds").replace("with ", "with w as (with ", 1) + "), long as (unpivot (select * exclude (tp, fp, tn, fn) from w) on columns(* exclude (model, fold)) into name metric value value)"
 
 
-@query(_LONG_SQL + f" select model, metric, {R.format('avg(value)')} as mean, {R.format('stddev_samp(value)')} as std, {R.format('stddev_pop(value)')} as std_pop, count(*) as n from long group by all")
+@query(_LONG_SQL + f" select model, metric, {R.format('avg(value)')} as mean, {R.format('stddev_samp(value)')} as std, {R.format('stddev_pop(value)')} as std_pop, {R.format('avg(value) - 1.96::double * stddev_samp(value)')} as low, {R.format('avg(value) + 1.96::double * stddev_samp(value)')} as high, count(*) as n from long group by all")
 def mean_std_table(spark, sf_dir):
     long = scoring.long_scores(scoring.scores(predictions(spark, sf_dir), ["model", "fold"]), ["model", "fold"])
-    return scoring.mean_std(long, ["model", "metric"]).select("model", "metric", "mean", "std", "std_pop", "n")
+    return scoring.mean_std(long, ["model", "metric"])
 
 
 @query(f"with {PREDICTIONS_SQL} select id, y_true, {R.format('avg(y_score)')} as y_score, (avg(y_score) >= 0.5)::int as y_pred from preds group by id, y_true")
@@ -441,6 +450,11 @@ def pearson(spark, sf_dir):
     return of(spark, sf_dir, "part").groupBy("p_brand").agg(rnd(F.corr("p_size", "p_retailprice")).alias("r"))
 
 
+@query()
+def pearson_p(spark, sf_dir):
+    return stats.correlations(of(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice")
+
+
 # vectors
 
 _UNNEST_SQL = "u as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding)))::int as pos from embeddings)"

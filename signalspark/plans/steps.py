@@ -62,6 +62,21 @@ def dataset_folds(spark, sf_dir):
     return rows.select("c_custkey", "c_nationkey", "cluster", "fold", "dataset", "metric")
 
 
+@query("""with g as (select c_nationkey as grp, avg((c_acctbal > 5000)::int) as share, count(*) as size from customer group by all), k as (select grp, row_number() over (order by share desc, size desc, grp) - 1 as i from g)
+select grp, (case when (i // 4) % 2 = 1 then 3 - i % 4 else i % 4 end)::int as fold from k""")
+def stratified_folds(spark, sf_dir):
+    """Whole groups dealt to four folds with like shares of positives."""
+    rows = of(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), (F.col("c_acctbal") > 5000).cast("int").alias("y"))
+    return features.stratified_folds(rows, "grp", "y", folds=4)
+
+
+@query("with codes as (select p_brand as value, dense_rank() over (order by p_brand) - 1 as code from (select distinct p_brand from part)) select p_partkey, value as brand from part join codes on (p_partkey % 30) = code")
+def dict_decode(spark, sf_dir):
+    """Codes back to values; those without one go."""
+    parts = of(spark, sf_dir, "part")
+    return reports.decoded(parts.select("p_partkey", (F.col("p_partkey") % 30).alias("brand")), "brand", reports.dictionary(parts, "p_brand"))
+
+
 @query("select n_nationkey, n_regionkey, r_name, count(c_custkey) as customers from nation join region on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by all")
 def cluster_rows(spark, sf_dir):
     """Cluster ids of distinct keys joined back onto all their rows."""

@@ -1,11 +1,12 @@
 """Operators on worked cases."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import features, ranges, reports, scoring, signal, stats, steps, tables_of_rules, tokens
+from signalspark.operators import features, models, ranges, reports, scoring, signal, stats, steps, tables_of_rules, tokens
 from signalspark.sources import tables
 from signalspark.streaming import counts
 
@@ -101,9 +102,57 @@ def test_tables(spark, tmp_path):
 
 
 def test_drug_records(spark, tmp_path):
-    (tmp_path / "d.xml").write_text("<drugs><drug><name>Some  Drug</name><cas-number>1</cas-number><drugbank-id>D1</drugbank-id><synonyms><synonym>B</synonym></synonyms><products><product><name>Mix</name></product><product><name>P</name></product></products><mixtures><mixture><name>mix</name><ingredients>a</ingredients></mixture></mixtures></drug></drugs>")
-    r = tables.drug_records(spark, str(tmp_path / "d.xml")).first()
-    assert (r.name, r.synonyms, r.products) == ("some drug", ["b"], ["p"])
+    (tmp_path / "d.xml").write_text(
+        "<drugs><drug><name>Some  Drug</name><cas-number>1</cas-number><average-mass>12.5</average-mass><drugbank-id primary=\"true\">D1</drugbank-id><drugbank-id>D2</drugbank-id>"
+        "<synonyms><synonym>B</synonym></synonyms><products><product><name>Mix</name></product><product><name>P</name></product></products>"
+        "<international-brands><international-brand><name>MIX</name></international-brand><international-brand><name>Q</name></international-brand></international-brands>"
+        "<mixtures><mixture><name>mix</name><ingredients>A + b</ingredients></mixture><mixture><name>MIX</name><ingredients>A + c</ingredients></mixture></mixtures>"
+        "<classification><kingdom>Organic</kingdom><class>Acids</class></classification>"
+        "<calculated-properties><property><kind>logP</kind><value>1.2 X</value></property></calculated-properties></drug><drug><name>bare</name></drug></drugs>"
+    )
+    bare, r = tables.drug_records(spark, str(tmp_path / "d.xml")).orderBy("name").collect()
+    assert (r.name, r.mass, r.drug_id, r.synonyms, r.products, r.brands) == ("some drug", "12.5", "D1", ["b"], ["p"], ["q"])
+    assert (r.parts, r.kingdom, r["class"], r.subclass, r.calculated, r.experimental) == ({"mix": ["a", "c"]}, "organic", "acids", None, {"logp": "1.2 X"}, {})
+    assert (bare.products, bare.parts, bare.mass) == ([], {}, None)
+
+
+def test_chunks_without_extension(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "chunks"))
+    assert tables.read_table(spark, str(tmp_path / "chunks"), kind="parquet").count() == 5
+
+
+def test_correlations(spark):
+    rows = [("a", float(x), float(y)) for x, y in ((1, 2), (2, 1), (3, 4), (4, 3), (5, 5))] + [("b", 1.0, 2.0), ("b", 2.0, 5.0), ("c", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 3.0), ("d", 1.0, None)]
+    rows += [("e", float(k), float(k * 7919 % 4001)) for k in range(4000)] + [("f", float(k), float(2 * k)) for k in range(9)]
+    got = {r.k: r for r in stats.correlations(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert got["a"].r == 0.8 and got["a"].p_value == pytest.approx(0.104088, abs=1e-6)  # t = 2.3094 with 3 degrees of freedom
+    assert got["b"].p_value is None and got["c"].r is None and got["c"].p_value is None and "d" not in got
+    t = abs(got["e"].r) * (3998 / (1 - got["e"].r ** 2)) ** 0.5
+    assert got["e"].p_value == pytest.approx(math.erfc(t / 2**0.5), abs=2e-3) and got["f"].p_value < 1e-12
+
+
+def test_similar_keys(spark):
+    entries = spark.createDataFrame([("aspirin", "x"), ("codeine", "y")], "entry string, value string")
+    got = tokens.similar_keys(spark.createDataFrame([("asprin",), ("zzz",)], "token string"), entries, 0.7, 2).collect()
+    assert [tuple(r) for r in got] == [("asprin", "aspirin", 0.857, "x")]
+
+
+def test_stratified_folds(spark):
+    rows = [(g, int(g < 20)) for g in range(40) for _ in range(1 + g % 4)]
+    df = spark.createDataFrame(rows, "grp int, y int")
+    fold = {r.grp: r.fold for r in features.stratified_folds(df, "grp", "y", folds=4).collect()}
+    assert sorted(fold) == list(range(40))
+    for f in range(4):
+        own = [y for g, y in rows if fold[g] == f]
+        assert abs(len(own) - 25) <= 3 and abs(sum(own) / len(own) - 0.5) < 0.1
+
+
+def test_search_of_parameters(spark):
+    rng = random.Random(3)
+    rows = [(k % 3, [rng.gauss(k % 2, 0.3), rng.random()], k % 2, 1.0) for k in range(90)]
+    df = models.training_rows(spark.createDataFrame(rows, "fold int, v array<double>, y int, weight double"), "v")
+    params, score = models.searched("logistic", df, "fold", trials=1)
+    assert set(params) == {"regParam", "elasticNetParam"} and 0.5 <= score <= 1
 
 
 def test_stream(spark, tmp_path):
