@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, html_text, language_model, licences, middles, mixing, neighbours, quality, tokengroups, toxicity, url_filter
+from . import collocations, decontaminate, exact, html_text, language_model, licences, middles, mixing, neighbours, quality, tokengroups, toxicity, url_filter
 
 
 def _of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,17 +57,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middles.fill_in_middle(_of(spark, sf_dir, "documents"), digests=True)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_of(spark, sf_dir, "documents"))
+
+
 def op13_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(_of(spark, sf_dir, "documents"), digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_neighbours, op2_html_text, op3_language_model, op4_url_filter, op5_toxicity, op6_mixing, op7_licences, op8_jaccard_join, op9_quality, op10_decontamination, op11_fill_in_middle, op13_exact_copies)
+    f.__name__: f for f in (op1_neighbours, op2_html_text, op3_language_model, op4_url_filter, op5_toxicity, op6_mixing, op7_licences, op8_jaccard_join, op9_quality, op10_decontamination, op11_fill_in_middle, op12_collocations, op13_exact_copies)
 }
 
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.MIXED_SQL.format(docs="documents")
     + "select doc_id, size, source_size, target, (rounds * size + greatest(0, least(place + size, words - rounds * source_size) - place))::bigint as taken from cut",
     "op11_fill_in_middle": middles.MIDDLES_SQL,
+    "op12_collocations": collocations.COLLOCATIONS_SQL,
     "op13_exact_copies": exact.COPIES_SQL,
 }
