@@ -25,7 +25,7 @@ PIECES = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 i
 #: Occurrences that a phrase needs, words of the longest phrase, rows of the report for each language.
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Tokens that are counted together, bytes of a text that are split together, words whose ids are held.
-STRETCH, PART, WORDS = 1 << 20, 4 << 20, 400_000
+STRETCH, PART, WORDS = 1 << 18, 1 << 20, 400_000
 #: Rows of a sketch, bytes of text for each cell of a row, least and most cells of a row, and cells that are merged together.
 ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 32, (1 << 12, 1 << 25), 1 << 18
 #: First dealing of a language's phrases, so that no task ranks all of them.
