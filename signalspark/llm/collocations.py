@@ -28,6 +28,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 STRETCH, PART, WORDS = 1 << 18, 1 << 20, 400_000
 #: Rows of a sketch, bytes of text for each cell of a row, least and most cells of a row, and cells that are merged together.
 ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 32, (1 << 12, 1 << 25), 1 << 18
+#: Tasks of either pass at least; otherwise there are two for each core, as what they send grows with their number.
+LEAST_TASKS = 12
 #: First dealing of a language's phrases, so that no task ranks all of them.
 DEALS = 256
 
@@ -148,7 +150,7 @@ def sketched(texts: DataFrame, width: int) -> np.ndarray:
             yield sent(segment, cells)
 
     kind = "segment int, cells binary"
-    merged = texts.coalesce(parts).mapInArrow(count, kind).repartition(parts, "segment").mapInArrow(merge, kind)
+    merged = texts.mapInArrow(count, kind).repartition(parts, "segment").mapInArrow(merge, kind)
     out = np.zeros((ROWS * width // part, part), np.uint8)
     for r in merged.collect():  # at most ROWS * CELLS bytes, 64 MB, whatever the input
         out[r["segment"]] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["cells"]), part, asbytes=True), np.uint8)
@@ -245,6 +247,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = 1 << (min(max(size // BYTES_EACH, CELLS[0]), CELLS[1]) - 1).bit_length()
+    texts = texts.coalesce(max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))  # a sketch, and one row a phrase, each
     phrases = table(frequent(texts, sketched(texts, width), least), "phrases")
     rows = unsubsumed(scored(phrases, hot_bound(phrases.count())), phrases)
     order = [F.desc("score"), F.desc("a"), "phrase"]

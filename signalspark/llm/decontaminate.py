@@ -18,9 +18,9 @@ from .common import WordIds, as_bytes, chain, row_key, without_rows
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-#: Words of a piece that its hash covers, and items that one pass over the documents looks for.
+#: Words of a piece that its hash covers, and bytes of items that one pass over the documents looks for.
 ANCHOR = 4
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,12 +56,12 @@ def myers(pattern: list, text: list) -> tuple[int, int]:
 
 
 class Index:
-    """Pieces of a block of benchmark items, by the hash of their first words."""
+    """Pieces of a block of benchmark items, by the hash of their first words; items are known by their places in the block."""
 
-    def __init__(self, items: list[tuple[int, bytes]], errors: float):
+    def __init__(self, items: list[bytes], errors: float):
         memo, entries = WordIds(), []
         self.items = {}
-        for item, text in items:
+        for item, text in enumerate(items):
             found = words_of(text)
             if not found:
                 continue
@@ -107,10 +107,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1) -
 
     An item (item_id, text) of m words is held where a stretch of the text is at most ``errors`` * m word edits away; words
     are lower-cased and punctuation is ignored. One row for each document row and item, of the least distance found from
-    its unchanged pieces. Items of fewer than 1 / ``errors`` words must stand unchanged. Items without words and null items
-    or texts match nothing; rows without doc_id keep a null doc_id; repeated documents give repeated rows. An item_id counts
-    once, with its least text. The benchmark goes to the executors in blocks of ``BLOCK_ITEMS`` items, one pass over the
-    documents for each. Empty tables give no rows.
+    its unchanged pieces. Items of fewer than 1 / ``errors`` words must stand unchanged. Items are told apart by item_id and text:
+    another text of the same item_id, or an item without one (reported with a null item_id), is an item of its own; repeated
+    items count once. Items without words and null texts match nothing; rows without doc_id keep a null doc_id; repeated
+    documents give repeated rows. The benchmark goes to the executors in blocks of about ``BLOCK_BYTES`` bytes of text, one
+    pass over the documents for each. Empty tables give no rows.
     """
     return _hits(docs, benchmark, errors).drop("k1", "k2")
 
@@ -118,21 +119,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, errors: float = 0.1) -
 def _hits(docs: DataFrame, benchmark: DataFrame, errors: float) -> DataFrame:
     schema = "doc_id bigint, k1 bigint, k2 int, item_id bigint, distance int, first_word bigint, end_word bigint"
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.min("text").alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     out = None
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1].encode()) for r in part.orderBy("item_id").toLocalIterator()], errors))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        rows = [(r["item_id"], r["text"].encode()) for r in part.orderBy("item_id", "text").toLocalIterator()]
+        index = docs.sparkSession.sparkContext.broadcast(([item for item, _ in rows], Index([text for _, text in rows], errors)))
 
         def scan(batches, index=index):
-            memo = WordIds()
+            memo, (names, own_index) = WordIds(), index.value
             for batch in batches:
                 rows = []
                 for *own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), as_bytes(batch.column("text"))):
-                    for item, (distance, start, end) in sorted(index.value.matches(memo.of(words_of(text))).items()):
-                        rows.append((*own, item, distance, start, end))
+                    for item, (distance, start, end) in sorted(own_index.matches(memo.of(words_of(text))).items()):
+                        rows.append((*own, names[item], distance, start, end))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
 
         found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(docs), "text").mapInArrow(scan, schema)

@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements without end tag; elements whose content is no text; inline elements, which don't end a block (fixed values of HTML).
+#: Elements without end tag; elements whose content is raw text up to their end tag; elements that a page shows as controls or
+#: pictures, whose text is none of the page's; inline elements, which don't end a block, like the two before (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object math canvas select textarea button title head".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+UNSHOWN = frozenset("template svg object math canvas select button".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Elements that can't stand in a control and so end one that was left open.
+OUT_OF_CONTROL = frozenset("p div article section main h1 h2 h3 h4 h5 h6 ul ol table blockquote pre header footer nav aside form".split())
 #: An element that one of these begins ends an open element of the same kind (or group).
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"button": {"button"}, "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements and words of class, id or role that mark boilerplate, and those that mark content.
 BOILER_TAGS = frozenset("nav footer aside form dialog menu header".split())
 BOILER_WORDS = re.compile(
@@ -74,6 +78,9 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     found: list[Block] = []
     now: Block | None = None
     at, end = 0, len(page)
+    unshown = 0  # place in the stack of the outermost open element whose text isn't shown
+    low = page.lower() if len(page.lower()) == end else page
+    ends = {name: low.rfind(f"</{name}") for name in RAW | UNSHOWN}
     while at < end:
         token = TOKEN.match(page, at)
         if token is None:
@@ -81,6 +88,8 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         at = token.end()
         closing, name, rest, text, lone = token.groups()
         if text or lone:
+            if unshown:
+                continue
             if now is None:
                 now = Block(stack[-1])
                 found.append(now)
@@ -92,7 +101,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             continue
         else:
             name = name.lower()
-            if name not in INLINE:
+            if name not in INLINE and name not in RAW and name not in UNSHOWN and not unshown:
                 now = None
             if closing:
                 while opened[name]:
@@ -100,23 +109,36 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     opened[last] -= 1
                     if last == name:
                         break
+                unshown = unshown if unshown < len(stack) else 0
                 continue
             if name == "br":
-                if now is not None:
+                if now is not None and not unshown:
                     now.parts.append(" ")
                 continue
-            if name in VOID:
+            if name in VOID or name == "head":  # what stands in a head isn't text, or tells so itself
                 continue
-            if name in RAW and not rest.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>" if name != "head" else r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = end if close is None else close.start() if close.group()[1] != "/" else close.end()
+            if name in RAW:
+                if ends[name] >= at:
+                    close = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = close.end() if close else end
+                elif name in ("script", "style"):
+                    at = end
                 continue
-            while len(stack) > 1 and stack[-1].name in INLINE and name not in INLINE:
+            if unshown and name in OUT_OF_CONTROL and stack[unshown].name in ("button", "select"):
+                while len(stack) > unshown:
+                    opened[stack.pop().name] -= 1
+                unshown, now = 0, None
+            while len(stack) > 1 and stack[-1].name in INLINE and name not in INLINE and name not in UNSHOWN:
                 opened[stack.pop().name] -= 1  # a block element ends inline ones that were left open
             if name in CLOSES and stack[-1].name in CLOSES[name]:
                 opened[stack.pop().name] -= 1
+                unshown = unshown if unshown < len(stack) else 0
+            if name in UNSHOWN and (ends[name] < at or rest.endswith("/")):
+                continue  # without an end it would take the rest of the page
             if rest.endswith("/") and name not in INLINE:
                 continue
+            if name in UNSHOWN and not unshown:
+                unshown = len(stack)
             under = stack[-1]
             hints = " ".join((m[1] or m[0]).strip("\"'") if m[0].lower() != "style" else ("hidden" if re.search(r"display\s*:\s*none", m[1]) else "") for m in ATTRIBUTES.findall(rest)).lower() if rest else ""
             inside = name in CONTENT_TAGS or bool(hints and CONTENT_WORDS.search(hints))
@@ -243,14 +265,18 @@ def labelled(page: str, smooth: bool = True) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(page: str) -> str:
-    """The page's content blocks, joined by newlines."""
+    """The page's content blocks, joined by newlines; a page without any tag is its own text, white space made single."""
+    if "<" not in page:
+        return " ".join(html.unescape(page).split())
     return "\n".join(text for text, kept, _ in labelled(page) if kept)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url, html): page_id, url, text (empty if none), n_chars (code points).
 
-    Null and empty pages have an empty text. Repeated rows give repeated rows, other columns are ignored, an empty table
+    Null and empty pages have an empty text. Broken pages are read to their end, in time that grows with their length: a head
+    needs no end, elements whose text isn't shown (controls, pictures, objects) only count as such if they end somewhere, and only
+    scripts and styles without an end take the rest of a page. Pages without tags are plain text. Repeated rows give repeated rows, other columns are ignored, an empty table
     gives no rows.
     """
 

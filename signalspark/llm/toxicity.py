@@ -8,7 +8,8 @@ one weight for each subsequence of three characters, so a token is scored by the
 
 Training is multiple-instance: a labelled text is toxic if its worst sentence, and so its worst token, is. Every toxic text
 gives the SVM the token that tells it best from the clean ones (by the likelihood ratio of its beginnings at first, by the
-SVM's own score in later rounds) and gapped variants of it, whatever its support; clean texts give their worst tokens.
+SVM's own score in later rounds), whatever its support, and the best supported ones their gapped variants; clean texts give
+their worst tokens.
 A document's score is that of its worst token (or run of single characters), through a logistic curve.
 """
 
@@ -39,7 +40,9 @@ CODE = np.array([c - 97 if 97 <= c <= 122 else c - 48 + 26 if 48 <= c <= 57 else
 STEM = 4
 EDGE = b".,;:!?\"'()[]{}<>|#$%&*@-_/\\"
 INNER = re.compile(rb"[^a-z0-9\x80-\xff]")
-RUN = re.compile(rb"(?<!\S)[^\s](?:[ \t]+[^\s]){2,}(?!\S)")
+#: Single characters (of UTF-8) between blanks, three or more in a row.
+ONE = rb"(?:[^\s\x80-\xff]|[\xc0-\xff][\x80-\xbf]*)"
+RUN = re.compile(rb"(?<!\S)%b(?:[ \t]+%b){2,}(?!\S)" % (ONE, ONE))
 #: Expected number of rows of each label in the training sample.
 SAMPLE = {0: 3000, 1: 2000}
 
@@ -200,11 +203,12 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.
     return w
 
 
-def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mining: int = 3, best: int = 3) -> dict:
+def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mining: int = 3, best: int = 3, varied: int = 300, mined: int = 600) -> dict:
     """The model from (text, label) rows: table, bias, and slope and offset of the logistic curve.
 
     Landmarks are the likeliest of the toxic texts' telling tokens and the clean tokens nearest to them. In each of ``rounds``
-    every toxic text names up to ``best`` tokens near its worst one; ``mining`` passes add clean tokens that score too high.
+    every toxic text names up to ``best`` tokens near its worst one, and all that are named train the SVM; gapped variants are
+    made of the ``varied`` that most texts name. ``mining`` passes add the ``mined`` clean tokens that score highest beyond the margin.
     Without toxic texts, or without words in them, every document scores the share of toxic rows.
     """
     docs = [(instances(text), label) for text, label in rows]
@@ -241,8 +245,7 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
             phi = lambda words: np.array([base.kernel(w) for w in words]) @ root if words else np.zeros((0, len(marks)))  # noqa: B023, E731
             clean = list(dict.fromkeys(close + pool[:1000]))
             x_clean = phi(clean)
-        found = found[:1500]
-        variants = list(dict.fromkeys(v for w in found[:300] for v in gapped(w) if v not in in_clean))
+        variants = list(dict.fromkeys(v for w in found[:varied] for v in gapped(w) if v not in in_clean))
         x_bad, own = np.vstack([phi(found), phi(variants)]), set(clean)
         cost_bad = np.concatenate([np.minimum(20.0 * np.array([witness[w] for w in found], float), 200.0), np.full(len(variants), 10.0)])
         for left in range(mining, -1, -1):
@@ -250,7 +253,7 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
             w = svm(np.vstack([x_bad, x_clean]), y, np.concatenate([cost_bad, np.full(len(clean), 20.0)]))
             table, bias = base.table(root @ w[:-1]), float(w[-1])
             got = word_scores(pool, table, bias) if left and pool else np.zeros(0)
-            more = [pool[n] for n in np.argsort(-got, kind="stable")[:2000] if got[n] > -0.8 and pool[n] not in own][:600]
+            more = [pool[n] for n in np.argsort(-got, kind="stable")[:2000] if got[n] > -0.8 and pool[n] not in own][:mined]
             if not more:
                 break
             clean += more
@@ -265,7 +268,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     """One row for each document row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
     The model is fitted on a sample of labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1), bounded by
-    ``sample``; it reads texts only. Null and empty texts score as a text without words. A null doc_id has held_out false.
+    ``sample`` (expected rows of each label, whole texts; see ``fit`` for what it takes of them); it reads texts only. Null and empty texts score as a text without words. A null doc_id has held_out false.
     Repeated rows give repeated rows, an empty table gives no rows. Other
     columns are ignored, or come along in the struct ``row`` with ``keep``.
     """
