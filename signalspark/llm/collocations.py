@@ -25,7 +25,9 @@ PIECES = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 i
 #: Occurrences that a phrase needs, words of the longest phrase, rows of the report for each language.
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Tokens that are counted together, bytes of a text that are split together, words whose ids are held.
-STRETCH, PART, WORDS = 1 << 18, 1 << 20, 400_000
+STRETCH, PART, WORDS = 1 << 18, 1 << 20, 200_000
+#: Rows of a batch that are taken out of it together.
+SLICE = 64
 #: Rows of a sketch, bytes of text for each cell of a row, least and most cells of a row, and cells that are merged together.
 ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 32, (1 << 12, 1 << 25), 1 << 18
 #: Tasks of either pass at least; otherwise there are two for each core, as what they send grows with their number.
@@ -91,7 +93,7 @@ class Stretch:
 def stretches(batches):
     """``Stretch`` after ``Stretch`` of Arrow batches of (lang, text)."""
     ids, tokens, langs, lengths, carried = Ids(), [], [], [], []
-    for batch in batches:
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, len(b), SLICE)):  # few texts at a time as Python's
         for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text"))):
             for own, n in split(text, PART):
                 tokens += own
@@ -170,12 +172,15 @@ def frequent(texts: DataFrame, sketch: np.ndarray, least: int) -> DataFrame:
         out[out] = shared.value[1][two[out]] >= bound
         return out
 
+    def sent(s: Stretch, n: int, langs: np.ndarray, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(s.names, pa.string()).take(pa.array(langs, pa.int64()))
+        return pa.RecordBatch.from_arrays([names, pa.array(np.full(len(langs), n, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], schema=schema)
+
     def aggregate(batches):
         for s in stretches(batches):
             number, alive = s.lang, np.ones(len(s.tokens), bool)
-            rows = []
-            totals = np.bincount(s.lang[s.fresh], minlength=len(s.names)).tolist()
-            rows += [(s.names[k], 0, b"", n) for k, n in enumerate(totals) if n]
+            totals = np.bincount(s.lang[s.fresh], minlength=len(s.names))
+            yield sent(s, 0, np.flatnonzero(totals), [b""] * int((totals > 0).sum()), totals[totals > 0])
             for n, keys in enumerate(s.keys(), 1):
                 at = np.flatnonzero((s.since >= n) & (alive if n == 1 else alive & np.concatenate([[False], alive[:-1]])))
                 at = at[passing(keys[at])]  # a run passes only where both runs of one word fewer do
@@ -184,11 +189,8 @@ def frequent(texts: DataFrame, sketch: np.ndarray, least: int) -> DataFrame:
                 counts = np.bincount(which[s.fresh[at]], minlength=len(first))
                 number, alive = np.zeros(len(s.tokens), np.int64), np.zeros(len(s.tokens), bool)
                 number[at], alive[at] = which, True
-                ends, langs = at[first], s.lang[at[first]].tolist()
-                for end, lang, m in zip(ends.tolist(), langs, counts.tolist()):
-                    if m:
-                        rows.append((s.names[lang], n, b" ".join(s.tokens[end - n + 1 : end + 1]), m))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3] for r in rows], pa.int64())], schema=schema)
+                ends, counts = at[first[counts > 0]], counts[counts > 0]
+                yield sent(s, n, s.lang[ends], [b" ".join(s.tokens[end - n + 1 : end + 1]) for end in ends.tolist()], counts)
 
     found = texts.mapInArrow(aggregate, "lang string, words int, phrase string, f bigint").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return found.where((F.col("words") == 0) | (F.col("f") >= least))
