@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from .ranges import cut
+
 #: Rules that are folded into one plan before it is cut by a checkpoint.
 FOLD = 50
 STRINGS = "array<string>"
@@ -91,7 +93,7 @@ def applied(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         tokens, active = rule.columns(F.col("name"), F.col("tokens"), F.col("active"))
         rows = rows.select("name", tokens.alias("tokens"), active.alias("active"))
         if k % FOLD == 0:
-            rows = rows.checkpoint()
+            rows = cut(rows)
     return rows
 
 
@@ -183,17 +185,6 @@ def similar(tokens: DataFrame, entries: DataFrame, least: float, k: int) -> Data
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
-def searched(tokens: DataFrame, aliases: DataFrame, least: float = 0.85, k: int = 3) -> DataFrame:
-    """(token, entry, status, score): by exact name (0) or alias (1) of ``aliases`` (alias, entry, priority), of the least
-    priority that fits, else by similar aliases (2)."""
-    exact = tokens.join(aliases, F.col("token") == F.col("alias"))
-    best = exact.groupBy("token").agg(F.min("priority").alias("priority"))
-    exact = exact.join(best, ["token", "priority"]).select("token", "entry", F.col("priority").alias("status"), F.lit(1.0).alias("score")).distinct()
-    rest = tokens.join(best, "token", "left_anti")
-    near = similar(rest, aliases.select(F.col("alias").alias("entry")), least, k).join(aliases.withColumnRenamed("entry", "own"), F.col("entry") == F.col("alias"))
-    return exact.union(near.select("token", F.col("own"), F.lit(2), "score").distinct())
-
-
 def plausible(name: Column) -> Column:
     """Synonyms that look like names: at most 70 % digits, some letter, and no odd characters."""
     digits = F.length(F.regexp_replace(name, "[^0-9]", "")) / F.greatest(F.length(name), F.lit(1))

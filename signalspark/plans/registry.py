@@ -314,13 +314,6 @@ def levenshtein_topk(spark, sf_dir):
     return tokens.similar(names.select(F.col("p_name").alias("token")), names.select(F.col("p_name").alias("entry")), 0.7, 3)
 
 
-@query(_SIMILAR_SQL + ", known as (select token as entry from a where length(token) % 2 = 0), exact as (select token, token as entry, 0 as status, 1.0::double as score from a where token in (from known)), k as (select *, row_number() over (partition by token order by score desc, entry) as n from p where score >= 0.7 and entry in (from known) and token not in (from known)) select * from exact union all select token, entry, 2, score from k where n <= 3")
-def exact_then_fuzzy(spark, sf_dir):
-    names = of(spark, sf_dir, "part").select(F.col("p_name").alias("token")).distinct()
-    aliases = names.where(F.length("token") % 2 == 0).select(F.col("token").alias("alias"), F.col("token").alias("entry"), F.lit(0).alias("priority"))
-    return tokens.searched(names, aliases, 0.7, 3)
-
-
 @query()
 def fuzzy_ratio(spark, sf_dir):
     part = of(spark, sf_dir, "part")

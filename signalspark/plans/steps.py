@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
-from ..operators import features, models, reports, scoring, signal, steps, tables_of_rules
+from ..operators import features, models, reports, scoring, signal, steps
 from .cases import DIMS, LINES_SQL, PAIRS_SQL, PREDICTIONS_SQL, drug_lists, of, pairs, predictions
 from .registry import R, query
 
@@ -171,25 +171,6 @@ def counterfactual_means(spark, sf_dir):
     return steps.mean_differences(_differences(spark, sf_dir), "vec_id").withColumn("difference", rnd(F.col("difference"), 4))
 
 
-# rules as tables
-
-_ENTRIES = [("aspirin", ["acetyl salicylic acid", "asa"], {"aspirin plus": ["aspirin", "codeine"], "co-pain": ["aspirin", "caffeine"]}), ("codeine", ["methylmorphine"], {"co-code": ["codeine", "paracetamol"]})]
-
-
-@query("""select * from (values (0, 'capture_by_regex', 'aspirin', ''), (1, 'substitute_by_regex', 'acetyl\\ssalicylic\\sacid', 'aspirin'), (2, 'substitute_by_regex', 'asa', 'aspirin'), (3, 'capture_by_regex', 'aspirin', ''), (4, 'extend_by_regex', 'co\\-pain', 'aspirin | caffeine'), (5, 'capture_by_regex', 'aspirin', ''),
-(6, 'capture_by_regex', 'codeine', ''), (7, 'substitute_by_regex', 'methylmorphine', 'codeine'), (8, 'capture_by_regex', 'codeine', ''), (9, 'extend_by_regex', 'co\\-code', 'codeine | paracetamol'), (10, 'capture_by_regex', 'codeine', '')) t(place, kind, find, put)""")
-def planned_rules(spark, sf_dir):
-    """Rules planned from dictionary entries, as a table that can be written, read back and applied."""
-    return tables_of_rules.as_table(spark, [r for entry in _ENTRIES for r in tables_of_rules.planned(*entry)])
-
-
-@query("select 'codeine' as token, kind, find, hit from (values ('capture_by_regex', 'codeine', 'exact')) t(kind, find, hit) union all select 'co', kind, find, 'part' from (values ('capture_by_regex', 'codeine'), ('extend_by_regex', 'co\\-pain'), ('extend_by_regex', 'co\\-code')) t(kind, find)")
-def searched_rules(spark, sf_dir):
-    rules = planned_rules(spark, sf_dir)
-    asked = spark.createDataFrame([("codeine",), ("co",)], "token string")
-    return tables_of_rules.search(rules, asked).select("token", "kind", "find", "hit")
-
-
 @query("select distinct p_name as name from part order by name")
 def drug_names(spark, sf_dir):
     return of(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().orderBy("name")
