@@ -1,4 +1,4 @@
-"""Screening and scaling of vector features, similarity and clustering (FEA3-10, JOIN14-15, CLU1-3)."""
+"""Screening and scaling of vector features, clustering and folds (FEA3-10, CLU1-3)."""
 
 from __future__ import annotations
 
@@ -103,38 +103,6 @@ def sign_bits(vector: Column) -> Column:
     return F.when(F.size(vector) > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bit_total(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
-
-
-def tanimoto(a: Column, b: Column) -> Column:
-    both = bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
-    return div(both, bit_total(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))))
-
-
-def blocked(rows: DataFrame, size: int = 2000) -> int:
-    """Blocks of about ``size`` rows, whose pairs are compared together."""
-    return max(1, -(-rows.count() // size))
-
-
-def tanimoto_pairs(rows: DataFrame, key: str, bits: str, least: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, similarity) of rows a < b of similarity ``least`` or more.
-
-    Sets that similar have bit counts within the factor ``least``: rows meet only in their own and neighbouring bands of
-    counts. Rows are dealt to blocks by key, and each band and pair of blocks is one equi-join key.
-    """
-    blocks = blocks or blocked(rows)
-    band = F.when(F.col("n") > 0, F.floor(F.log("n") / float(np.log(1 / least)) + 1e-9)).otherwise(-9).cast("int")
-    base = rows.select(key, bits, bit_total(F.col(bits)).alias("n"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own")).withColumn("band", band)
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    near_bands = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))
-    left = base.withColumn("other", other).select(F.col(key).alias("a"), F.col(bits).alias("x"), F.col("n").alias("m"), F.struct("band", F.col("own").alias("p"), F.col("other").alias("q")).alias("pair"))
-    right = base.withColumn("other", other).withColumn("band", near_bands).select(F.col(key).alias("b"), F.col(bits).alias("y"), "n", F.struct("band", F.col("other").alias("p"), F.col("own").alias("q")).alias("pair"))
-    near = (F.col("a") < F.col("b")) & (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
-    pairs = left.join(right, (left["pair"] == right["pair"]) & near)
-    return pairs.withColumn("similarity", tanimoto(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("a", "b", rnd(F.col("similarity")).alias("similarity"))
-
-
 def butina(neighbours: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, cluster): greedily the node with most unassigned neighbours (lowest key on ties) takes them; the rest are alone.
 
@@ -207,15 +175,3 @@ def stratified_folds(rows: DataFrame, group: str, label: str, folds: int = 5) ->
     turn = F.pmod(F.col("number"), F.lit(folds))
     back = F.pmod(F.floor(F.col("number") / folds), F.lit(2)) == 1
     return placed.select(group, F.when(back, folds - 1 - turn).otherwise(turn).cast("int").alias("fold"))
-
-
-def fold_distances(rows: DataFrame, key: str, bits: str, fold: str, blocks: int | None = None) -> DataFrame:
-    """(key, distance): least Tanimoto distance of each row to rows of other folds, in blocks of an equi-join; quadratic by
-    definition, as the nearest row of another fold may be anywhere."""
-    blocks = blocks or blocked(rows)
-    base = rows.select(key, bits, fold, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = base.withColumn("other", every).select(F.col(key).alias("a"), F.col(bits).alias("x"), F.col(fold).alias("f"), F.struct(F.col("own").alias("p"), F.col("other").alias("q")).alias("pair"))
-    given = base.withColumn("other", every).select(F.col(bits).alias("y"), F.col(fold).alias("g"), F.struct(F.col("other").alias("p"), F.col("own").alias("q")).alias("pair"))
-    best = asked.join(given, "pair").where("f <> g")
-    return best.groupBy("a").agg(rnd(F.min(1 - tanimoto(F.col("x"), F.col("y")))).alias("distance")).withColumnRenamed("a", key)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div, rnd, round_significant
-from ..operators import features, models, reports, scoring, signal, stats, tokens
+from ..operators import features, models, reports, scoring, signal, similarity, stats, tokens
 from ..sources import tables
 from .cases import DEMOGRAPHICS_SQL, DIMS, LINES_SQL, PAIRS_SQL, PREDICTIONS_SQL, SETS, VALUES, demographics, drug_lists, of, pairs, predictions
 
@@ -493,18 +493,37 @@ def _bits(spark, sf_dir):
 
 @query(f"with {_BITS_SQL} select x.vec_id as a, y.vec_id as b, {R.format(f'{_BOTH} / {_EITHER}')} as similarity from b x join b y on x.vec_id < y.vec_id where {_BOTH} / {_EITHER} >= 0.6")
 def tanimoto_pairs(spark, sf_dir):
-    return features.tanimoto_pairs(_bits(spark, sf_dir), "vec_id", "bits", 0.6)
+    return similarity.tanimoto_pairs(_bits(spark, sf_dir), "vec_id", "bits", 0.6)
 
 
 @query(f"with {_BITS_SQL} select x.vec_id, {R.format(f'min(1 - {_BOTH} / {_EITHER})')} as distance from b x join b y on x.vec_id % 5 <> y.vec_id % 5 group by 1")
 def fold_min_distance(spark, sf_dir):
-    return features.fold_distances(_bits(spark, sf_dir).withColumn("fold", F.col("vec_id") % 5), "vec_id", "bits", "fold")
+    return similarity.fold_distances(_bits(spark, sf_dir).withColumn("fold", F.col("vec_id") % 5), "vec_id", "bits", "fold")
 
 
 @query()
 def butina_clusters(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    return features.butina(features.tanimoto_pairs(rows, "vec_id", "bits", 0.6), rows, "vec_id")
+    return features.butina(similarity.tanimoto_pairs(rows, "vec_id", "bits", 0.6), rows, "vec_id")
+
+
+def _url_bits(spark, sf_dir):
+    """Urls as sets of 4,096 bits: the first three digits of the hashes of their runs of three characters."""
+    runs = F.transform(F.sequence(F.lit(1), F.length("url") - 2), lambda i: F.conv(F.substring(F.md5(F.substring(F.col("url"), i, F.lit(3))), 1, 3), 16, 10).cast("int"))
+    return of(spark, sf_dir, "pages").select("page_id", F.when(F.length("url") > 2, F.array_distinct(runs)).alias("positions"))
+
+
+@query(f"with b as (select page_id, list_distinct(list_transform(range(1, length(url) - 1), lambda i: ('0x' || substr(md5(url[i:i + 2]), 1, 3))::int)) as s from pages), p as (select x.page_id as a, y.page_id as b, len(list_intersect(x.s, y.s))::double / nullif(len(list_distinct(x.s || y.s)), 0) as t from b x join b y on x.page_id < y.page_id) select a, b, {R.format('t')} as similarity from p where t >= 0.6")
+def tanimoto_urls(spark, sf_dir):
+    """Pairs of sparse sets of 4,096 bits, by the index."""
+    return similarity.tanimoto_sets(_url_bits(spark, sf_dir), "page_id", "positions", 0.6)
+
+
+@query()
+def butina_urls(spark, sf_dir):
+    """Clusters of sparse sets of 4,096 bits."""
+    rows = _url_bits(spark, sf_dir)
+    return features.butina(similarity.tanimoto_sets(rows, "page_id", "positions", 0.6), rows, "page_id")
 
 
 @query()

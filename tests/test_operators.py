@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import features, models, ranges, reports, scoring, signal, stats, steps, tables_of_rules, tokens
+from signalspark.operators import features, models, ranges, reports, scoring, signal, similarity, stats, steps, tables_of_rules, tokens
 from signalspark.sources import tables
 from signalspark.streaming import counts
 
@@ -238,7 +238,7 @@ def test_sign_bits_cover_the_vector(spark):
     bits = spark.createDataFrame(rows, "k bigint, v array<double>").select("k", features.sign_bits(F.col("v")).alias("b"))
     on = {k: {i for i, x in enumerate(v) if x > 0} for k, v in rows}
     want = {(a, b): round(len(on[a] & on[b]) / len(on[a] | on[b]), 5) for a in on for b in on if a < b and len(on[a] & on[b]) >= 0.5 * len(on[a] | on[b])}
-    got = {(r.a, r.b): r.similarity for r in features.tanimoto_pairs(bits, "k", "b", 0.5, blocks=3).collect()}
+    got = {(r.a, r.b): r.similarity for r in similarity.tanimoto_pairs(bits, "k", "b", 0.5, blocks=3).collect()}
     assert got == pytest.approx(want) and got[0, 30] < 1
 
 
