@@ -138,7 +138,7 @@ def word_scores(words: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return out
 
 
-def distinct_rows(docs: list[tuple[set[bytes], int]], keys: int = 6, depth: int = 4) -> list[tuple[set[bytes], int]]:
+def distinct_rows(docs: list[tuple[tuple[bytes, ...], int]], keys: int = 6, depth: int = 4) -> list[tuple[tuple[bytes, ...], int]]:
     """Rows without those that share one of ``keys`` tuples of ``depth`` least word hashes with an earlier row (near copies)."""
     out, seen, memo = [], set(), WordIds(2_000_000)
     seeds = [np.uint64(k * MIX_STEP & (1 << 64) - 1) for k in range(keys * depth)]
@@ -164,19 +164,21 @@ def beginnings(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(word + b" "), *(xxhash.xxh3_64_intdigest(word[:n]) for n in range(STEM, len(word)))]
 
 
-def telling(docs: list[tuple[set[bytes], int]]) -> dict[bytes, float]:
+def telling(docs: list[tuple[tuple[bytes, ...], int]]) -> dict[bytes, float]:
     """Words of toxic texts, with the likelihood ratio of their best beginning."""
-    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    own = lambda words: np.unique(np.array([x for w in words for x in beginnings(w)], np.uint64))
+    bad_docs = [words for words, label in docs if label]
+    names, bad = np.unique(np.concatenate([own(words) for words in bad_docs]), return_counts=True)
+    good, n_good = np.zeros(len(names)), 0
     for words, label in docs:
-        held[label].append(np.unique(np.array([x for w in words for x in beginnings(w)], np.uint64)))
-    names, bad = np.unique(np.concatenate(held[1]), return_counts=True)
-    good = np.zeros(len(names))
-    for own in held[0]:
-        at = np.searchsorted(names, own)
-        at[at == len(names)] = 0
-        good[at[names[at] == own]] += 1
-    value = ratio(bad.astype(float), good, len(held[1]), max(1, len(held[0]))) * (bad > 1)
-    return {w: float(value[np.searchsorted(names, np.array(beginnings(w), np.uint64))].max()) for w in {w for words, label in docs if label for w in words}}
+        if not label:
+            found = own(words)
+            at = np.searchsorted(names, found)
+            at[at == len(names)] = 0
+            good[at[names[at] == found]] += 1
+            n_good += 1
+    value = ratio(bad.astype(float), good, len(bad_docs), max(1, n_good)) * (bad > 1)
+    return {w: float(value[np.searchsorted(names, np.array(beginnings(w), np.uint64))].max()) for w in {w for words in bad_docs for w in words}}
 
 
 def gapped(word: bytes) -> list[bytes]:
@@ -187,16 +189,22 @@ def gapped(word: bytes) -> list[bytes]:
     return [v for v in out if len(v) <= LONGEST]
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (bias last) of a squared-hinge linear SVM, by Newton steps on the rows within the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def svm(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 60, block: int = 2048) -> np.ndarray:
+    """Weights (bias last) of a squared-hinge linear SVM over the rows of ``parts``, by Newton steps on the rows within the margin."""
+    x = np.ones((len(y), parts[0].shape[1] + 1))
+    np.concatenate(parts, out=x[:, :-1])
     ridge = np.full(x.shape[1], 1.0)
     ridge[-1] = 1e-3
     w = np.zeros(x.shape[1])
     for step in range(rounds):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active][:, None]
-        new = np.linalg.solve((xa * ca).T @ xa + np.diag(ridge), (xa * ca).T @ y[active])
+        active = np.flatnonzero(y * (x @ w) < 1)
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for s in range(0, len(active), block):  # no copy of all active rows
+            at = active[s : s + block]
+            weighed = x[at] * cost[at, None]
+            left += weighed.T @ x[at]
+            right += weighed.T @ y[at]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-9:
             break
         w = 0.5 * (w + new) if step > 10 else new
@@ -211,7 +219,9 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
     made of the ``varied`` that most texts name. ``mining`` passes add the ``mined`` clean tokens that score highest beyond the margin.
     Without toxic texts, or without words in them, every document scores the share of toxic rows.
     """
-    docs = [(instances(text), label) for text, label in rows]
+    names: dict[bytes, bytes] = {}  # one object for each word, however many texts have it
+    docs = [(tuple(names.setdefault(w, w) for w in instances(text)), label) for text, label in rows]
+    del names
     some = distinct_rows(docs)
     bad = [words for words, label in some if label and words]
     if not bad:
@@ -224,8 +234,8 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
     table, bias, marks = None, 0.0, []
     for turn in range(rounds):
         if table is not None:
-            names = list({w for words in bad for w in words})
-            value = dict(zip(names, word_scores(names, table, bias).tolist()))
+            asked = list({w for words in bad for w in words})
+            value = dict(zip(asked, word_scores(asked, table, bias).tolist()))
         witness: Counter = Counter()
         for words in bad:
             own = sorted(words, key=lambda w: (-value.get(w, 0.0), w))[:best]
@@ -246,11 +256,11 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
             clean = list(dict.fromkeys(close + pool[:1000]))
             x_clean = phi(clean)
         variants = list(dict.fromkeys(v for w in found[:varied] for v in gapped(w) if v not in in_clean))
-        x_bad, own = np.vstack([phi(found), phi(variants)]), set(clean)
+        x_bad, own = phi(found + variants), set(clean)
         cost_bad = np.concatenate([np.minimum(20.0 * np.array([witness[w] for w in found], float), 200.0), np.full(len(variants), 10.0)])
         for left in range(mining, -1, -1):
             y = np.concatenate([np.ones(len(x_bad)), -np.ones(len(clean))])
-            w = svm(np.vstack([x_bad, x_clean]), y, np.concatenate([cost_bad, np.full(len(clean), 20.0)]))
+            w = svm([x_bad, x_clean], y, np.concatenate([cost_bad, np.full(len(clean), 20.0)]))
             table, bias = base.table(root @ w[:-1]), float(w[-1])
             got = word_scores(pool, table, bias) if left and pool else np.zeros(0)
             more = [pool[n] for n in np.argsort(-got, kind="stable")[:2000] if got[n] > -0.8 and pool[n] not in own][:mined]
