@@ -24,8 +24,8 @@ def to_date(text: Column) -> Column:
 def prepared(raw: DataFrame) -> DataFrame:
     """Raw reports, all texts, with parsed drugs and their indications, dates, reactions, numbers and age groups."""
     months = to_number(F.col("age_months"))
-    # parsed first: the lists are looked at again and again from here on
     raw = raw.withColumns({"drugs": reports.parsed_tuples(F.col("drugs"), reports.DRUG), "indications": reports.parsed_tuples(F.col("indications"), reports.INDICATION)})
+    raw = cut(raw)  # else every later look at a list parses it again
     drugs = reports.with_indications(F.col("drugs"), F.col("indications"))
     return raw.select(
         F.col("primaryid").cast("bigint").alias("report"), to_date(F.col("event_dt")).alias("event_dt"), to_date(F.col("fda_dt")).alias("fda_dt"), F.col("sex").cast("string").alias("sex"),

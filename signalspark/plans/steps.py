@@ -37,22 +37,44 @@ def _mapping(spark, sf_dir):
     return terms, token_map, structures
 
 
-_STEPS_SQL = f"""{LINES_SQL},
-base as (select o_orderkey as report, nullif(c_mktsegment, 'BUILDING') as sex, o_orderkey % 1300 as m from orders join customer on o_custkey = c_custkey),
+def _steps_sql(most: str, chosen: str) -> str:
+    """Rows of a run whose reports satisfy ``most`` and whose drugs satisfy ``chosen``, with weight classes over those rows."""
+    q = lambda levels: f"list_transform(quantile_cont(w, {levels}), lambda x: round_even(x * 1000, 0) / 1000)"
+    narrow, wide = "[0.05, 1/3, 2/3, 0.95]", "[0.1, 1/3, 2/3, 0.9]"
+    return f"""with {LINES_SQL},
+base as (select o_orderkey as report, nullif(c_mktsegment, 'BUILDING') as sex, o_orderkey % 90 + 0.5::double as w, case when o_orderkey % 1300 < 144 then 'Children' when o_orderkey % 1300 < 252 then 'Adolescent' when o_orderkey % 1300 < 780 then 'Adult' when o_orderkey % 1300 < 1200 then 'Elderly' end as age from orders join customer on o_custkey = c_custkey),
 reacts as (select report, list_sort(list_distinct(list(substr(p_type, 1, 2)) filter (p_type <> 'PROMO'))) as reactions from lines group by report),
 named as (select report, name, min(seq) as seq from lines group by all),
 roles as (select report, count(*) filter (seq = 1) as ps, count(*) filter (seq in (2, 3)) as ss from named group by 1),
-kept as (select r.report, ps, ss, reactions from roles r join reacts using (report) where len(reactions) between 1 and 20 and ps + ss between 1 and 10),
-chosen as (select l.report, l.seq, l.role, l.name from lines l join kept using (report) where l.role = 'PS' or (l.role = 'SS' and not exists (select 1 from lines p where p.report = l.report and p.role = 'PS' and p.name = l.name and p.seq < l.seq)))"""
+kept as (select r.report, ps, ss, reactions from roles r join reacts using (report) where len(reactions) between 1 and 20 and ps + ss > 0 and {most}),
+suspects as (select l.report, l.role, l.name from lines l where {chosen}),
+rows_ as (select row_number() over () as id, k.report, l.role, l.name, sex, age, w from kept k join base using (report) left join suspects l using (report)),
+q1 as (select age, sex, {q(narrow)} as q from rows_ where age is not null and sex is not null group by all), q2 as (select age, {q(narrow)} as q from rows_ where age is not null group by all),
+q3 as (select sex, age, {q(wide)} as q from rows_ where age is not null and sex is not null group by all), q4 as (select age, {q(wide)} as q from rows_ where age is not null group by all),
+m3 as (select p.id, avg(q[1]) as a, avg(q[2]) as b, avg(q[3]) as c, avg(q[4]) as d from rows_ p join q3 using (sex) where p.age is null and p.w between q[1] and q[4] group by p.id),
+m4 as (select p.id, avg(q[1]) as a, avg(q[2]) as b, avg(q[3]) as c, avg(q[4]) as d from rows_ p join q4 on true where p.age is null and p.sex is null and p.w between q[1] and q[4] group by p.id),
+weighed as (select p.*, case when p.age is not null and p.sex is not null then q1.q when p.age is not null then q2.q when p.sex is not null then [m3.a, m3.b, m3.c, m3.d] else [m4.a, m4.b, m4.c, m4.d] end as q
+  from rows_ p left join q1 on p.age = q1.age and p.sex = q1.sex left join q2 on p.age = q2.age left join m3 on p.id = m3.id left join m4 on p.id = m4.id)
+select c.report, c.role, array_to_string(k.reactions, '|') as reactions, coalesce(sex, 'Unknown') as "Sex", coalesce(age, 'Unknown') as "Age", coalesce(case when w <= q[1] then 'Unknown' when w <= q[2] then 'Low' when w <= q[3] then 'Average' when w <= q[4] then 'High' end, 'Unknown') as "Weight",
+  c.name || ' : salt' as active, 'C-' || c.name || '|NaCl' as structures from weighed c join kept k using (report) where c.name not in ('Brand#1', 'Brand#2')"""
+
+
+def _steps(spark, sf_dir, run):
+    terms, token_map, structures = _mapping(spark, sf_dir)
+    rows = steps.reports_to_rows(raw_reports(spark, sf_dir), run, terms, token_map, structures)
+    return rows.select("report", "role", F.concat_ws("|", "reactions").alias("reactions"), "Sex", "Age", "Weight", "active", F.concat_ws("|", "structures").alias("structures"))
 
 
-@query(f"""with {_STEPS_SQL} select c.report, c.role, array_to_string(k.reactions, '|') as reactions, coalesce(b.sex, 'Unknown') as "Sex", case when m < 144 then 'Children' when m < 252 then 'Adolescent' when m < 780 then 'Adult' when m < 1200 then 'Elderly' else 'Unknown' end as "Age",
-  c.name || ' : salt' as active, 'C-' || c.name || '|NaCl' as structures from chosen c join kept k using (report) join base b using (report) where c.name not in ('Brand#1', 'Brand#2')""")
+@query(_steps_sql("ps + ss <= 10", "l.role = 'PS' or (l.role = 'SS' and not exists (select 1 from lines p where p.report = l.report and p.role = 'PS' and p.name = l.name and p.seq < l.seq))"))
 def step_reports(spark, sf_dir):
-    """Steps 1 to 4, from texts to rows with structures; the weight class has a query of its own."""
-    terms, token_map, structures = _mapping(spark, sf_dir)
-    rows = steps.reports_to_rows(raw_reports(spark, sf_dir), reports.SECONDARY, terms, token_map, structures)
-    return rows.select("report", "role", F.concat_ws("|", "reactions").alias("reactions"), "Sex", "Age", "active", F.concat_ws("|", "structures").alias("structures"))
+    """Steps 1 to 4 of the run over all suspects, from texts to rows with weight classes and structures."""
+    return _steps(spark, sf_dir, reports.SECONDARY)
+
+
+@query(_steps_sql("ps <= 1", "l.role = 'PS'"))
+def step_reports_primary(spark, sf_dir):
+    """Steps 1 to 4 of the run over primary suspects."""
+    return _steps(spark, sf_dir, reports.PRIMARY)
 
 
 @query("select c_custkey, c_nationkey, n_regionkey as cluster, (n_nationkey % 5)::int as fold, 'customers' as dataset, 'ror' as metric from customer left join (from nation where n_regionkey < 4) on c_nationkey = n_nationkey")
