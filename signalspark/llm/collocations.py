@@ -29,7 +29,7 @@ STRETCH, PART, WORDS = 1 << 18, 1 << 20, 200_000
 #: Rows of a batch that are taken out of it together.
 SLICE = 64
 #: Rows of a sketch, bytes of text for each cell of a row, least and most cells of a row, and cells that are merged together.
-ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 32, (1 << 12, 1 << 25), 1 << 18
+ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 64, (1 << 12, 1 << 25), 1 << 18
 #: Tasks of either pass at least; otherwise there are two for each core, as what they send grows with their number.
 LEAST_TASKS = 12
 #: First dealing of a language's phrases, so that no task ranks all of them.
@@ -119,9 +119,14 @@ def raised(cells: np.ndarray, at: np.ndarray, counts: np.ndarray) -> None:
     cells[at] = np.minimum(cells[at].astype(np.int64) + counts, 255)
 
 
-def sketched(texts: DataFrame, width: int) -> np.ndarray:
-    """Merged count-min sketch (ROWS x width bytes) of all runs of up to LONGEST words. Each task sends the segments of its own
-    sketch, compressed; a segment's parts are added one after another, so a task holds its merged segments only."""
+def bits_of(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def sketched(texts: DataFrame, width: int, least: int) -> np.ndarray:
+    """What the merged count-min sketch of all runs of up to LONGEST words says: ROWS x width bits, one for each cell that reached
+    ``least``. Each task sends the segments of its own sketch, compressed; a segment's parts are added one after another, so a
+    task holds its merged segments only."""
     part = min(width, SEGMENT)
     schema = pa.schema([("segment", pa.int32()), ("cells", pa.binary())])
     parts = shuffle_parts(texts.sparkSession)
@@ -149,27 +154,26 @@ def sketched(texts: DataFrame, width: int) -> np.ndarray:
                 more = np.frombuffer(pa.Codec("zstd").decompress(cells.as_buffer(), part, asbytes=True), np.uint8)
                 own[segment] = np.minimum(own[segment].astype(np.uint16) + more, 255).astype(np.uint8) if segment in own else more
         for segment, cells in own.items():
-            yield sent(segment, cells)
+            yield sent(segment, np.packbits(cells >= min(least, 255), bitorder="little"))
 
     kind = "segment int, cells binary"
     merged = texts.mapInArrow(count, kind).repartition(parts, "segment").mapInArrow(merge, kind)
-    out = np.zeros((ROWS * width // part, part), np.uint8)
-    for r in merged.collect():  # at most ROWS * CELLS bytes, 64 MB, whatever the input
-        out[r["segment"]] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["cells"]), part, asbytes=True), np.uint8)
-    return out.reshape(ROWS, width)
+    out = np.zeros((ROWS * width // part, part // 8), np.uint8)
+    for r in merged.collect():  # at most ROWS * CELLS bits, 8 MB, whatever the input
+        out[r["segment"]] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["cells"]), part // 8, asbytes=True), np.uint8)
+    return out.reshape(ROWS, width // 8)
 
 
 def frequent(texts: DataFrame, sketch: np.ndarray, least: int) -> DataFrame:
     """(lang, words, phrase, f): exact counts of the runs that occur ``least`` times, and of all words as the empty phrase."""
-    width = sketch.shape[1]
+    width = 8 * sketch.shape[1]
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
     schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
-    bound = min(least, 255)
 
     def passing(keys: np.ndarray) -> np.ndarray:
         one, two = cells_of(keys, width)
-        out = shared.value[0][one] >= bound
-        out[out] = shared.value[1][two[out]] >= bound
+        out = bits_of(shared.value[0], one)
+        out[out] = bits_of(shared.value[1], two[out])
         return out
 
     def sent(s: Stretch, n: int, langs: np.ndarray, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
@@ -243,14 +247,15 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
 
     A null lang counts as ``und``, together with texts of that lang; null and empty texts have no words; repeated rows count again;
     a language without such phrases and an empty table give no rows. Other columns are ignored. ``least`` may be at most 255, where
-    cells of the sketch stop, to be told by the sketch; beyond, the exact count alone decides. The sketch follows the bytes of
-    text up to 64 MB; what passes it without being frequent is only counted in vain.
+    cells of the sketch stop, to be told by the sketch; beyond, the exact count alone decides. A task's sketch has a byte for every
+    32 bytes of text, up to 64 MB; the merged one, a bit a cell, is sent to all workers. What passes it without being frequent is
+    only counted in vain: with more text than the sketch is made for, that is more and more.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = 1 << (min(max(size // BYTES_EACH, CELLS[0]), CELLS[1]) - 1).bit_length()
     texts = texts.coalesce(max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))  # a sketch, and one row a phrase, each
-    phrases = table(frequent(texts, sketched(texts, width), least), "phrases")
+    phrases = table(frequent(texts, sketched(texts, width, least), least), "phrases")
     rows = unsubsumed(scored(phrases, hot_bound(phrases.count())), phrases)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     deal = F.pmod(F.xxhash64("phrase"), F.lit(DEALS))
