@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +46,12 @@ def imputed(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
     """(keys, q): interpolated quantiles of ``value`` by keys, exact, from counts of values added up over range partitions."""
-    counts = cumulated(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, [F.col(value)], "n")
+    return quantiles_of_counts(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value, levels)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
+    """``quantiles`` of distinct values and their counts n."""
+    counts = cumulated(counts, keys, [F.col(value)], "n")
     spots = [level * (F.col("whole") - 1) for level in levels]
     at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col(value)))
     ends = [x for k, spot in enumerate(spots) for x in (at(F.floor(spot)).alias(f"l{k}"), at(F.ceil(spot)).alias(f"h{k}"))]
@@ -70,18 +73,6 @@ def scaled(rows: DataFrame, key: str, vector: str, scales: DataFrame) -> DataFra
     return long_vectors(rows, key, vector).join(F.broadcast(scales), "pos").select(key, "pos", rnd(div(F.col("x") - F.col("centre"), F.col("scale"))).alias("x"))
 
 
-def correlated(rows: DataFrame, vector: str, least: float = 0.9) -> DataFrame:
-    """(i, j, r) of features i < j of absolute Pearson correlation ``least`` or more, from one pass of summed products.
-
-    The matrix of features by features comes to the driver; its size doesn't depend on the rows. Constant features have none.
-    """
-    vectors = rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
-    found = Correlation.corr(vectors, "v").first()[0].toArray() if not vectors.isEmpty() else np.zeros((0, 0))
-    at = np.argwhere(np.triu(np.nan_to_num(np.abs(found)) >= least, 1))
-    pairs = rows.sparkSession.createDataFrame([(int(i), int(j), float(found[i, j])) for i, j in at], "i int, j int, r double")
-    return pairs.select("i", "j", rnd(F.col("r")).alias("r"))
-
-
 def pruned(pairs: list[tuple[int, int, float]]) -> list[int]:
     """Features to drop: again and again the one with most partners (then of higher mean correlation, then lower index)."""
     left, out = {(i, j): abs(r) for i, j, r in pairs}, []

@@ -5,19 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share. Where that is unset, a folder of the machine serves a local
+    session; a cluster gets an error, as its executors couldn't read what the others write there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or "file://" + os.path.join(tempfile.gettempdir(), name)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir. Where that is unset, a folder of the machine serves a local session; a cluster
-    gets an error, as its executors couldn't read what the others write there."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "signalspark-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "signalspark-checkpoints"))
     return df.checkpoint()
 
 

@@ -31,7 +31,11 @@ NEUTRAL = {"prr": 1.0, "ror": 1.0, "ic": 0.0}
 
 def pair_counts(rows: DataFrame, dims: list[str], drug: str, event: str) -> DataFrame:
     """Count of (drug, event) pairs for every subset of the demographic ``dims`` (a cube; null where not split), with gid."""
-    base = rows.groupBy(*dims, drug, event).agg(F.count("*").alias("n"))
+    return cubed(rows.groupBy(*dims, drug, event).agg(F.count("*").alias("n")), dims, drug, event)
+
+
+def cubed(base: DataFrame, dims: list[str], drug: str, event: str) -> DataFrame:
+    """``pair_counts`` from counts n by all ``dims``, drug and event."""
     sets = [[F.col(c) for c in (*kept, drug, event)] for k in range(len(dims), -1, -1) for kept in combinations(dims, k)]
     return base.groupingSets(sets, *dims, drug, event).agg((F.shiftright(F.grouping_id(*dims, drug, event), 2)).alias("gid"), F.sum("n").alias("n"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, to_number
-from . import features, models, reports, scoring, stats
+from . import features, folds, models, reports, scoring, stats
+from .folds import FoldChain
 from .ranges import cut
 
 #: Descriptors whose features are binary and stay unscaled, and the others (fixed values).
@@ -84,8 +85,8 @@ class FeatureChain:
     def fit(self, rows: DataFrame, key: str, vector: str) -> FeatureChain:
         rows = self.checked(rows, key, vector)
         kept = [r["pos"] for r in features.feature_masks(rows, vector).where("kept").collect()]  # one row a feature here and below
-        pairs = features.correlated(features.picked(rows, key, vector, sorted(kept)), vector, self.most).collect()
-        dropped = {sorted(kept)[k] for k in features.pruned([(r["i"], r["j"], r["r"]) for r in pairs])}
+        pairs = folds.correlations(features.picked(rows, key, vector, sorted(kept)), vector, self.most)
+        dropped = {sorted(kept)[r["pos"]] for r in folds.pruned(pairs).collect()}
         kept = sorted(set(kept) - dropped)
         self.means = {r["pos"]: r["mean"] for r in features.long_vectors(rows, key, vector).where("not isnan(x)").groupBy("pos").agg(F.avg("x").alias("mean")).collect()}
         varying = {r["pos"] for r in features.varying(rows, vector).where("kept").collect()}
@@ -122,12 +123,14 @@ def compared(long: DataFrame, group: str, pairs: list[tuple[str, str]], index: l
     return stats.holm(out, alpha=alpha, tie="null_hypothesis").drop("rejected")
 
 
-def evaluated(kind: str, rows: DataFrame, fold: str, dims: list[str], label: str = "y", weight: str = "weight", **params) -> DataFrame:
-    """Scores by fold, Train or Eval, Unweighted or Weighted, in all and by each value of ``dims``: one model a fold."""
+def evaluated(kind: str, rows: DataFrame, fold: str, dims: list[str], label: str = "y", weight: str = "weight", chain: FoldChain | None = None, vector: str = "embedding", **params) -> DataFrame:
+    """Scores by fold, Train or Eval, Unweighted or Weighted, in all and by each value of ``dims``: one model a fold. With a
+    ``chain``, a fold's model is given the features of ``vector`` as the chain has them for that fold; else the column x."""
     parts = []
     for f in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:  # as many models as folds
-        model = models.fitted(kind, rows.where(F.col(fold) != f), label, weight, **params)
-        part = models.predicted(model, rows).withColumn("split", F.when(F.col(fold) == f, "Eval").otherwise("Train"))
+        own = models.training_rows(chain.transform(rows, vector, f), vector) if chain else rows
+        model = models.fitted(kind, own.where(F.col(fold) != f), label, weight, **params)
+        part = models.predicted(model, own).withColumn("split", F.when(F.col(fold) == f, "Eval").otherwise("Train"))
         parts.append(part.select(F.lit(f).alias("fold_out"), "split", label, "y_score", weight, *dims))
     return evaluation_scores(reduce(DataFrame.unionByName, parts), ["fold_out", "split"], dims, label, weight)
 
@@ -139,9 +142,9 @@ def evaluation_scores(rows: DataFrame, keys: list[str], dims: list[str], label:
     return scoring.scores(long, [*keys, "weighting", "kind", "value"], y=label, w="w")
 
 
-def counterfactuals_by_fold(rows: DataFrame, key: str, demographics: str, fold: str, blocks: dict[str, list[str]], predict) -> DataFrame:
-    """(key, fold, category, value, difference): for each fold, its distinct keys against the mean demographics of the other
-    folds, one category set to each of its values. ``predict`` maps (key column, demographic vector) to a score."""
+def counterfactual_cases(rows: DataFrame, key: str, demographics: str, fold: str, blocks: dict[str, list[str]]) -> DataFrame:
+    """(key, fold, category, value, base, changed): for each fold, its distinct keys with the mean demographics of the other
+    folds, and those with one category of ``blocks`` set to each of its values."""
     long = rows.select(fold, F.posexplode(demographics).alias("pos", "x"))
     sums = long.groupBy(fold, "pos").agg(F.sum("x").alias("s"), F.count("*").alias("n"))  # one row a fold and position
     other = sums.select(F.col(fold).alias("g"), "pos", "s", "n")
@@ -153,9 +156,34 @@ def counterfactuals_by_fold(rows: DataFrame, key: str, demographics: str, fold:
         options += [(category, v, start + k, start, start + len(values)) for k, v in enumerate(values)]
         start += len(values)
     option = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.lit(v).alias("value"), F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(e).alias("e")) for c, v, k, s, e in options)))
-    cases = cases.withColumn("o", option)
     set_one = F.transform("base", lambda x, i: F.when(i == F.col("o.k"), F.lit(1.0)).when((i >= F.col("o.s")) & (i < F.col("o.e")), F.lit(0.0)).otherwise(x))
-    return cases.select(key, fold, "o.category", "o.value", rnd(predict(F.col(key), set_one) - predict(F.col(key), F.col("base"))).alias("difference"))
+    return cases.withColumn("o", option).select(key, fold, "o.category", "o.value", "base", set_one.alias("changed"))
+
+
+def counterfactuals_by_fold(rows: DataFrame, key: str, demographics: str, fold: str, blocks: dict[str, list[str]], predict) -> DataFrame:
+    """(key, fold, category, value, difference) of ``counterfactual_cases``. ``predict`` maps (key column, demographic vector) to a
+    score."""
+    cases = counterfactual_cases(rows, key, demographics, fold, blocks)
+    return cases.select(key, fold, "category", "value", rnd(predict(F.col(key), F.col("changed")) - predict(F.col(key), F.col("base"))).alias("difference"))
+
+
+def counterfactuals_of_models(kind: str, rows: DataFrame, key: str, vector: str, demographics: str, fold: str, blocks: dict[str, list[str]], label: str = "y", weight: str = "weight", **params) -> tuple[DataFrame, dict]:
+    """(key, fold, category, value, difference) by fitted models, and the model of each fold, which hasn't seen the fold's rows.
+
+    Cases and the mean demographics they start from are scored by the model of their fold, whatever its kind: features and
+    demographics in one vector, a row for each case. ``rows`` has one feature vector a key.
+    """
+    cases = counterfactual_cases(rows, key, demographics, fold, blocks)
+    texts = rows.groupBy(key, fold).agg(F.first(vector).alias(vector))  # keys may repeat
+    cases = cut(cases.join(texts, [key, fold]))
+    parts, fitted = [], {}
+    for f in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:  # as many models as folds
+        fitted[f] = models.fitted(kind, models.training_rows(rows.where(F.col(fold) != f), vector, demographics), label, weight, **params)
+        own = cases.where(F.col(fold) == f)
+        score = lambda c, own, f=f: models.predicted(fitted[f], models.training_rows(own, vector, c)).drop("x").withColumnRenamed("y_score", f"s_{c}")
+        parts.append(score("base", score("changed", own)))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(key, fold, "category", "value", rnd(F.col("s_changed") - F.col("s_base")).alias("difference")), fitted
 
 
 def mean_differences(differences: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div, rnd, round_significant
-from ..operators import features, models, reports, scoring, signal, similarity, stats, tokens
+from ..operators import features, folds, models, reports, scoring, signal, similarity, stats, tokens
 from ..sources import tables
 from .cases import DEMOGRAPHICS_SQL, DIMS, LINES_SQL, PAIRS_SQL, PREDICTIONS_SQL, SETS, VALUES, demographics, drug_lists, of, pairs, predictions
 
@@ -480,7 +480,7 @@ def _planted(spark, sf_dir):
 
 @query(f"with {_PLANTED_SQL} select a.pos as i, b.pos as j, {R.format('corr(a.x, b.x)')} as r from w a join w b on a.vec_id = b.vec_id and a.pos < b.pos where a.pos <> 64 and b.pos <> 64 group by all having abs(corr(a.x, b.x)) >= 0.1")
 def corr_pairs(spark, sf_dir):
-    return features.correlated(_planted(spark, sf_dir), "v", 0.1)
+    return folds.correlations(_planted(spark, sf_dir), "v", 0.1)
 
 
 _BITS_SQL = "b as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int::double) as bits from embeddings)"

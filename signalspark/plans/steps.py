@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
-from ..operators import features, models, reports, scoring, signal, steps
+from ..operators import features, folds, models, reports, scoring, signal, steps
 from .cases import DIMS, LINES_SQL, PAIRS_SQL, PREDICTIONS_SQL, drug_lists, of, pairs, predictions
 from .registry import R, query
 
@@ -159,11 +159,42 @@ def compare_pairs(spark, sf_dir):
     return steps.compared(long, "model", [("m0", "m1")], ["id"]).select("null_hypothesis", "null_rejected", "outcome", "w_stat", "r_stat")
 
 
+_FOLDS_SQL = """v as (select vec_id, (vec_id % 3)::int as fold, list_transform(embedding, lambda x: x::double) || [1.0::double, 2 * embedding[1]::double, case when vec_id % 3 <> 1 then embedding[2]::double end] as v from embeddings),
+u as (select vec_id, fold, unnest(v) as x, unnest(range(len(v)))::int as pos from v), f as (select distinct fold as f from v)"""
+
+
+def _with_folds(spark, sf_dir):
+    """Vectors with a constant, a multiple of the first component, and a feature that is missing in fold 1 alone."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    fold = (F.col("vec_id") % 3).cast("int")
+    planted = F.array(F.lit(1.0), 2 * F.get(v, F.lit(0)), F.when(fold != 1, F.get(v, F.lit(1))))
+    return of(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("y"), fold.alias("fold"), (1.0 + F.col("vec_id") % 4).alias("weight"), (F.col("label") % 3).alias("grp"), F.concat(v, planted).alias("v"))
+
+
+@query(f"""with {_FOLDS_SQL} select f as fold, pos, count(x) as n, count(*) - count(x) as bad, {R.format('min(x)')} as low, {R.format('max(x)')} as high, {R.format('avg(x)')} as mean, {R.format('var_pop(x)')} as variance, count(*) = count(x) and max(x) > min(x) as kept, var_pop(x) > 0.001 as varying from u, f where fold <> f group by all""")
+def fold_statistics(spark, sf_dir):
+    """What each fold's model learns of every feature, from the rows of the other folds."""
+    out = folds.fold_statistics(_with_folds(spark, sf_dir), "v", "fold")
+    return out.withColumns({c: rnd(F.col(c)) for c in ("low", "high", "mean", "variance")})
+
+
+@query(f"""with {_FOLDS_SQL} select f as fold, pos, {R.format('quantile_cont(x, 0.5)')} as centre, {R.format('(quantile_cont(x, 0.95) - quantile_cont(x, 0.05)) / 3.289707253902944')} as scale from u, f where fold <> f and x is not null group by all""")
+def fold_scales(spark, sf_dir):
+    return folds.fold_scales(_with_folds(spark, sf_dir), "v", "fold").withColumns({c: rnd(F.col(c)) for c in ("centre", "scale")})
+
+
+@query(f"""with {_FOLDS_SQL}, w as (select * from u where pos not in (64, 66)) select f as fold, a.pos as i, b.pos as j, {R.format('corr(a.x, b.x)')} as r from w a join w b on a.vec_id = b.vec_id and a.pos < b.pos, f where a.fold <> f group by all having abs(corr(a.x, b.x)) >= 0.1""")
+def fold_correlations(spark, sf_dir):
+    rows = _with_folds(spark, sf_dir).withColumn("v", F.concat(F.slice("v", 1, 65), F.slice("v", 66, 1)))
+    return folds.correlations(rows, "v", 0.1, "fold")
+
+
 @query()
 def fold_evaluation(spark, sf_dir):
-    """Train and Eval, Unweighted and Weighted scores of one logistic model a fold, in all and by group."""
-    rows = of(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("y"), (F.col("vec_id") % 3).cast("int").alias("fold"), (1.0 + F.col("vec_id") % 4).alias("weight"), (F.col("label") % 3).alias("grp"), "embedding")
-    return steps.evaluated("logistic", models.training_rows(rows, "embedding").drop("embedding"), "fold", ["grp"], maxIter=15)
+    """Train and Eval, Unweighted and Weighted scores of one logistic model a fold, each with its own feature chain, in all and
+    by group."""
+    rows = _with_folds(spark, sf_dir)
+    return steps.evaluated("logistic", rows, "fold", ["grp"], chain=folds.FoldChain(scale=True).fit(rows, "v", "fold"), vector="v", maxIter=15)
 
 
 _DEMO_SQL = "list_transform([0, 1, 2], lambda k: (label % 3 = k)::int::double) || list_transform([0, 1], lambda k: (vec_id % 2 = k)::int::double)"
@@ -175,9 +206,12 @@ cases as (select vec_id, fold, category, value, base, list_transform([1, 2, 3, 4
 diffs as (select vec_id, fold, category, value, {R.format(_SCORE_SQL.format('v') + ' - ' + _SCORE_SQL.format('base'))} as difference from cases)"""
 
 
+def _demographics():
+    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(F.col("label") % 3 == k, 1.0).otherwise(0.0)), F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.when(F.col("vec_id") % 2 == k, 1.0).otherwise(0.0)))
+
+
 def _differences(spark, sf_dir):
-    demo = F.concat(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(F.col("label") % 3 == k, 1.0).otherwise(0.0)), F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.when(F.col("vec_id") % 2 == k, 1.0).otherwise(0.0)))
-    rows = of(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 4).cast("int").alias("fold"), demo.alias("demo"))
+    rows = of(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 4).cast("int").alias("fold"), _demographics().alias("demo"))
     weights = [0.1, 0.4, 0.9, -0.3, 0.5]
     score = lambda key, v: 1 / (1 + F.exp(-((key % 7) / F.lit(7.0) + sum(F.get(v, F.lit(k)) * w for k, w in enumerate(weights)))))
     return steps.counterfactuals_by_fold(rows, "vec_id", "demo", "fold", {"label": ["0", "1", "2"], "parity": ["0", "1"]}, score)
@@ -198,6 +232,23 @@ def drug_names(spark, sf_dir):
     return of(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().orderBy("name")
 
 
+@query()
+def counterfactual_models(spark, sf_dir):
+    """Differences by fitted models: each fold's keys scored by the logistic model of the other folds."""
+    rows = of(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 4).cast("int").alias("fold"), (F.col("label") % 2).cast("double").alias("y"), F.lit(1.0).alias("weight"), _demographics().alias("demo"))
+    return steps.counterfactuals_of_models("logistic", rows, "vec_id", "embedding", "demo", "fold", {"label": ["0", "1", "2"], "parity": ["0", "1"]}, maxIter=10)[0]
+
+
+@query()
+def searched_models(spark, sf_dir):
+    """Trials of three kinds of models, two at a time, with the best of each kind."""
+    rows = of(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("y"), (F.col("vec_id") % 2).cast("int").alias("fold"), F.lit(1.0).alias("weight"), "embedding")
+    rows = models.training_rows(rows, "embedding").drop("embedding")
+    spaces = {"forest": {"numTrees": (3, 8), "maxDepth": (2, 5)}, "boosted": {"maxIter": (2, 4), "maxDepth": (2, 3), "stepSize": (0.05, 0.3)}, "svm": {"regParam": (1e-3, 1.0)}}
+    tables = [models.trials_of(kind, rows, "fold", models.drawn(kind, 2, 42, space), at_once=2) for kind, space in spaces.items()]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
 # shapes
 
 

@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from signalspark.plans import registry, searches, steps
+from signalspark.plans import registry, searches, steps, stored
 
-assert steps.query is searches.query is registry.query  # their queries are in the registry, too
+assert steps.query is searches.query is stored.query is registry.query  # their queries are in the registry, too
 
 SF = "/root/testdata/sf0.001"
 
