@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import div, rnd
+from .ranges import cumulated, cut
 
 
 def normal_tail(z: Column) -> Column:
@@ -20,27 +21,59 @@ def normal_tail(z: Column) -> Column:
     return t * F.exp(-z * z / 2 + poly)
 
 
+#: Most pairs that the exact distribution of the rank sums serves.
+EXACT = 50
+
+
+def rank_sums(n: int) -> list[int]:
+    """How many of the 2 ** n choices of signs give each sum of the ranks 1 to n."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        longer = counts + [0] * rank
+        for w, c in enumerate(counts):
+            longer[w + rank] += c
+        counts = longer
+    return counts
+
+
+def exact_tails(spark: SparkSession, sizes: list[int]) -> DataFrame:
+    """(n, w, exact_p): two-sided probability of a rank sum of w or less, from counts made once for each n; at most EXACT of them."""
+    rows = []
+    for n in sizes:
+        below = 0
+        for w, c in enumerate(rank_sums(n)[: n * (n + 1) // 4 + 1]):
+            below += c
+            rows.append((n, float(w), min(1.0, 2 * below / 2**n)))
+    return spark.createDataFrame(rows, "n bigint, w double, exact_p double")
+
+
 def signed_rank(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Wilcoxon signed-rank test of each group: w_plus, w_minus, statistic, z, p_value, rank_biserial, effect, n.
 
-    Zero differences go, ties share their mean rank, the normal approximation is corrected for ties and continuity.
+    Zero differences go, ties share their mean rank. p_value is exact for up to ``EXACT`` pairs without ties and zeros; else it is
+    the normal approximation, corrected for ties and continuity, as z always is. Ranks come from counts of equal differences,
+    added up over range partitions, so no group is one task's work.
     """
-    rows = pairs.withColumn("d", F.col(x) - F.col(y)).where("d is not null and d <> 0").withColumn("m", F.abs("d"))
-    # equal differences are one row: ranks follow from cumulative counts
-    ties = rows.groupBy(*keys, "m").agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
-    before = Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
+    rows = pairs.withColumn("d", F.col(x) - F.col(y)).where("d is not null").withColumn("m", F.abs("d"))
+    ties = rows.groupBy(*keys, "m").agg(F.count("*").alias("all"), F.count_if(F.col("d") > 0).alias("plus"))
+    ties = ties.withColumn("t", F.when(F.col("m") > 0, F.col("all")).otherwise(0))
+    ties = cumulated(ties, keys, [F.col("m")], "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ties.groupBy(*keys).agg(
         F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"),
-        F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("tied"),
-    )
+        F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("tied"), F.sum(F.col("all") - F.col("t")).alias("zeros"),
+    ).where("n > 0")
+    sums = cut(sums)
+    plain = (F.col("tied") == 0) & (F.col("zeros") == 0) & (F.col("n") <= EXACT)
+    sizes = [r["n"] for r in sums.where(plain).select("n").distinct().orderBy("n").collect()]  # at most EXACT
     n = F.col("n").cast("double")
     mean, spread = n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
     least = F.least("w_plus", "w_minus")
     z = div(F.least(least - mean + 0.5, F.lit(0.0)), spread)
     r = div(F.col("w_plus") - F.col("w_minus"), F.col("w_plus") + F.col("w_minus"))
     effect = F.when(F.abs(r) < 0.1, "Negligible").when(F.abs(r) < 0.3, "Small").when(F.abs(r) < 0.5, "Medium").otherwise("Large")
-    return sums.select(*keys, "n", "w_plus", "w_minus", least.alias("statistic"), rnd(z).alias("z"), normal_tail(z).alias("p_value"), rnd(r).alias("rank_biserial"), effect.alias("effect"))
+    tails = F.broadcast(exact_tails(pairs.sparkSession, sizes).withColumnRenamed("n", "of"))
+    sums = sums.join(tails, (F.col("of") == F.col("n")) & (F.col("w") == least) & plain, "left")
+    return sums.select(*keys, "n", "w_plus", "w_minus", least.alias("statistic"), rnd(z).alias("z"), F.coalesce("exact_p", normal_tail(z)).alias("p_value"), rnd(r).alias("rank_biserial"), effect.alias("effect"))
 
 
 @F.pandas_udf(DoubleType())

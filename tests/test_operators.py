@@ -83,6 +83,31 @@ def test_signed_rank(spark):
     assert (r.w_plus, r.w_minus, r.n) == (18.0, 3.0, 6) and r.effect == "Large"
 
 
+def test_exact_signed_rank(spark):
+    """Against all choices of signs up to 15 pairs, published values, and the approximation where there are ties, zeros or many."""
+    for n in range(1, 16):
+        sums = [0]
+        for rank in range(1, n + 1):
+            sums = sums + [w + rank for w in sums]
+        assert stats.rank_sums(n) == [sums.count(w) for w in range(n * (n + 1) // 2 + 1)]
+    published = {5: (0, 0.0625), 6: (0, 0.03125), 8: (3, 0.0390625), 10: (8, 0.048828), 20: (52, 0.048441)}
+    rows = []
+    for n, (w, _) in published.items():
+        negative, left = set(), w
+        for rank in range(n, 0, -1):
+            if rank <= left:
+                negative.add(rank)
+                left -= rank
+        rows += [(f"n{n}", float(-rank if rank in negative else rank), 0.0) for rank in range(1, n + 1)]
+    rows += [("ties", x, 0.0) for x in (1.0, 1.0, 2.0, -3.0, 4.0)] + [("zero", x, 0.0) for x in (0.0, 1.0, 2.0, -3.0, 4.0)] + [("many", float(k if k % 3 else -k), 0.0) for k in range(1, 61)] + [("none", 1.0, 1.0)]
+    got = {r.g: r for r in stats.signed_rank(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    for n, (w, p) in published.items():
+        assert got[f"n{n}"].statistic == w and got[f"n{n}"].p_value == pytest.approx(p, abs=1e-6)
+    for g in ("ties", "zero", "many"):
+        assert got[g].p_value == pytest.approx(math.erfc(abs(got[g].z) / 2**0.5), abs=2e-5)
+    assert "none" not in got and got["zero"].n == 4
+
+
 def test_pruned():
     assert features.pruned([(0, 1, 0.95), (0, 2, 0.92), (3, 4, -0.9)]) == [0, 3]
 
