@@ -27,23 +27,42 @@ INDICATION = "array<struct<seq:int,name:string>>"
 
 #: A quoted text with escapes, a tuple's inside (quoted texts, or anything but quotes and brackets), and a field of it.
 QUOTED = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
-TUPLE = rf"""(?s)\(((?:{QUOTED}|[^()'"])*)\)"""
+TUPLE = rf"""(?s)\(((?:{QUOTED}|[^()\[\]{{}}'"])*)\)"""
 FIELD = rf"""(?s){QUOTED}|[^,'"\s][^,'"]*"""
+#: Escapes and what lies between them; what the letters of escapes stand for (fixed values of the notation).
+ESCAPES = r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]+"
+LETTERS = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+
+
+def unescaped(text: Column) -> Column:
+    """Escapes of a quoted text replaced: letters, \\xhh and \\uhhhh; of others the backslash goes."""
+    code = lambda digits: F.decode(F.unhex(digits), "UTF-16BE")
+
+    def one(x: Column) -> Column:
+        letter = F.substring(x, 2, 1)
+        out = F.when(~x.startswith("\\"), x).when(x.rlike(r"\A\\x[0-9a-fA-F]{2}"), code(F.concat(F.lit("00"), F.substring(x, 3, 2)))).when(x.rlike(r"\A\\u[0-9a-fA-F]{4}"), code(F.substring(x, 3, 4)))
+        for name, value in LETTERS.items():
+            out = out.when(letter == name, F.lit(value))
+        return out.otherwise(letter)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(ESCAPES), F.lit(0)), one), "")).otherwise(text)
 
 
 def parsed_tuples(text: Column, schema: str) -> Column:
-    """A list of tuples written as text, e.g. ``[(1, 'PS', 'a (b)')]``, as an array of structs; null where it isn't one.
+    """A list of tuples written as text, e.g. ``[(1, 'PS', 'a (b)')]``, as an array of structs; null where it isn't one, as for a
+    list of lists, and for tuples that hold tuples, lists or maps.
 
-    Texts stand in quotes of either kind, with backslash escapes, and may hold brackets, commas and the other quotes. ``None``
+    Texts stand in quotes of either kind, with escapes, and may hold brackets, commas and the other quotes. ``None``
     is null. Fields go by position; missing ones are null.
     """
     fields = [f.split(":") for f in schema.removeprefix("array<struct<").removesuffix(">>").split(",")]
     inside = F.regexp_extract_all(text, F.lit(TUPLE), F.lit(1))
-    bare = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+    bare = lambda x: unescaped(F.substring(x, F.lit(2), F.length(x) - 2))
     value = lambda x: F.when(x.rlike("^['\"]"), bare(x)).when(F.trim(x) != "None", F.trim(x))
     parts = F.transform(inside, lambda r: F.transform(F.regexp_extract_all(r, F.lit(FIELD), F.lit(0)), value))
     rows = F.transform(parts, lambda r: F.struct(*(F.get(r, F.lit(k)).try_cast(kind).alias(n) for k, (n, kind) in enumerate(fields))))
-    return F.when(text.rlike(r"(?s)\A\s*\[.*\]\s*\z"), rows)
+    frame = F.regexp_replace(F.regexp_replace(text, TUPLE, "\x01"), r"\s", "")  # a list of tuples is marks and commas
+    return F.when(frame.rlike("\\A\\[(?:\x01,)*\x01?\\]\\z"), rows)
 
 
 def with_indications(drugs: Column, indications: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,13 +108,24 @@ def linear(weights: list[float], bias: float):
     return lambda v: 1 / (1 + F.exp(-(F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) + bias)))
 
 
-def external_confusion(rows: DataFrame, external: DataFrame, key: str, keys: list[str]) -> DataFrame:
-    """Counts of agreement with an external class (key, class) by keys."""
+def external_confusion(rows: DataFrame, external: DataFrame, key: str, keys: list[str], unknown: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of agreement with an external class (key, class) by keys; with ``unknown``, of the rows alone whose demographics of
+    these names are all Unknown, the signature of a whole population."""
+    for c in unknown:
+        rows = rows.where(F.col(c) == "Unknown")
     both = rows.join(external, key)
     case = lambda y, c: F.count_if((F.col("y") == y) & (F.col("class") == c))
     return both.groupBy(*keys).agg(case(1, 1).alias("tp"), case(0, 0).alias("tn"), case(1, 0).alias("fp"), case(0, 1).alias("fn"))
 
 
+def stacked_metrics(tables: dict[str, DataFrame], fractions: DataFrame) -> DataFrame:
+    """(stratification, category, metric, value): the scores of each stratification (category, metric, value) one under another,
+    and under them the adjusted ``fractions`` (stratification, category, adjusted) as the metric AFT."""
+    parts = [df.select(F.lit(name).alias("stratification"), F.col("category").cast("string").alias("category"), "metric", F.col("value").cast("double").alias("value")) for name, df in tables.items()]
+    aft = fractions.select("stratification", F.col("category").cast("string").alias("category"), F.col("adjusted").cast("double").alias("AFT"))
+    return reduce(DataFrame.unionByName, [*parts, aft.unpivot(["stratification", "category"], ["AFT"], "metric", "value")])
+
+
 def signature(*columns: str) -> Column:
     """Values of a stratum as one text."""
     return F.concat_ws(" | ", *columns)

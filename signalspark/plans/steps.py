@@ -149,6 +149,18 @@ def feature_chain(spark, sf_dir):
     return out.select("vec_id", F.posexplode("v").alias("pos", "value"))
 
 
+@query(f"""with v as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int::double) as v from embeddings), u as (select vec_id, unnest(v) as x, unnest(range(len(v)))::int as pos from v),
+k as (select pos, avg(x) as mean from u where vec_id % 5 > 0 group by pos having max(x) > min(x) and var_pop(x) > 0.001), g as (select vec_id, pos, mean, case when pos <> 3 or vec_id % 5 > 0 then x end as x from u join k using (pos))
+select vec_id, (dense_rank() over (order by pos) - 1)::int as pos, {R.format('coalesce(x, mean)')} as value from g""")
+def feature_chain_binary(spark, sf_dir):
+    """Binary descriptors stay unscaled; a feature that new rows lack takes the mean of the rows that the chain was fitted on."""
+    bits = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+    rows = of(spark, sf_dir, "embeddings").select("vec_id", bits.alias("v"))
+    chain = steps.FeatureChain("MACCS").fit(rows.where("vec_id % 5 > 0"), "vec_id", "v")
+    lacking = rows.withColumn("v", F.transform("v", lambda x, k: F.when((k != 3) | (F.col("vec_id") % 5 > 0), x)))
+    return chain.transform(lacking, "vec_id", "v").select("vec_id", F.posexplode("v").alias("pos", "value")).withColumn("value", rnd(F.col("value")))
+
+
 @query(f"""with {PREDICTIONS_SQL}, w as (select id, max(case when model = 'm0' then round_even(y_score * 1000, 0) end) as x, max(case when model = 'm1' then round_even(y_score * 1000, 0) end) as y from preds group by id),
 d as (select x - y as d from w where x <> y), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0::double as rk, count(*) over (partition by abs(d)) as t from d),
 s as (select count(*) as n, sum(case when d > 0 then rk else 0 end) as p, sum(case when d < 0 then rk else 0 end) as m, sum(t::double * t - 1) as tied from r),

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, signal, steps
+from ..functions.numeric import rnd
+from ..operators import reports, scoring, signal, steps
 from ..operators.ranges import shared_folder
 from ..operators.tokens import Rule
+from ..sources import tables
 from ..sources.store import CountsByChunk, Steps, TokenState, exploded_pairs
-from .cases import DIMS, PAIRS_SQL, of, pairs
-from .registry import query
+from .cases import DEMOGRAPHICS_SQL, DIMS, PAIRS_SQL, demographics, of, pairs
+from .registry import R, query
 from .steps import _mapping, _steps_sql, raw_reports
 
 DEMOGRAPHICS = ["Sex", "Age", "Weight"]
@@ -74,3 +76,47 @@ def chunked_cube(spark, sf_dir):
     for status in ("F", "O", "O", "P"):
         counts.add(rows.where(F.col("status") == status), status)
     return counts.cube().select("gid", *DIMS, "drug", "event", "n")
+
+
+@query("select o_orderstatus as status, o_orderpriority as priority, count(*) as n, count(o_clerk_key) as keyed, sum(o_orderkey)::bigint as total from (select *, case when o_orderstatus <> 'P' then o_custkey end as o_clerk_key from orders) group by all")
+def variant_tree(spark, sf_dir):
+    """A tree of variant files, one kind of which lacks a column, read back as one table with the folders as columns."""
+    root = f"{shared_folder(spark, 'signalspark-trees')}/tree-{uuid.uuid4().hex}"
+    orders = of(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("s"), F.regexp_replace("o_orderpriority", " ", "_").alias("p"))
+    for status in ("F", "O", "P"):
+        part = orders.where(F.col("s") == status)
+        part = part.drop("o_custkey") if status == "P" else part
+        part.drop("s").write.partitionBy("p").parquet(f"{root}/{status}")
+    rows = tables.read_tree(spark, f"{root}/*/*/part-*.parquet", ["status", "priority", "stem"])
+    priority = F.regexp_replace(F.regexp_replace("priority", "p=", ""), "_", " ")
+    return rows.groupBy("status", priority.alias("priority")).agg(F.count("*").alias("n"), F.count("o_custkey").alias("keyed"), F.sum("o_orderkey").alias("total"))
+
+
+@query("select p_partkey, 'a' || chr(10) || p_name || chr(9) || '\\' || 'é' || chr(39) as name, 2 as n, true as no_lists, true as no_nesting from part")
+def literal_escapes(spark, sf_dir):
+    """Escapes in literals, and lists that aren't lists of tuples."""
+    name = F.concat(F.lit("'a\\n"), "p_name", F.lit("\\t\\\\\\xe9\\''"))
+    text = F.concat(F.lit("[(1, 'PS', "), name, F.lit("), (2, None, \"\\u00e9\"), ]"))
+    parsed = lambda x: reports.parsed_tuples(x, reports.DRUG)
+    d = of(spark, sf_dir, "part").select("p_partkey", parsed(text).alias("d"), parsed(F.concat(F.lit("[[1, "), name, F.lit("]]"))).alias("l"), parsed(F.concat(F.lit("[(1, (2, "), name, F.lit("))]"))).alias("t"))
+    return d.select("p_partkey", F.get("d", F.lit(0))["name"].alias("name"), F.size("d").alias("n"), F.col("l").isNull().alias("no_lists"), F.col("t").isNull().alias("no_nesting"))
+
+
+@query(f"""with {DEMOGRAPHICS_SQL}, r as (select id, coalesce(age, 'Unknown') as age, coalesce(sex, 'Unknown') as sex, id % 3 as grp, (weight > 40)::int as y from people), x as (select o_orderkey as id, (o_custkey % 2)::int as class from orders where o_custkey % 7 > 0)
+select grp, count(*) filter (y = 1 and class = 1) as tp, count(*) filter (y = 0 and class = 0) as tn, count(*) filter (y = 1 and class = 0) as fp, count(*) filter (y = 0 and class = 1) as fn from r join x using (id) where age = 'Unknown' and sex = 'Unknown' group by grp""")
+def external_unknown(spark, sf_dir):
+    """Agreement with an external ranking of the rows of the all-Unknown signature."""
+    people = demographics(spark, sf_dir).select("id", F.coalesce("age", F.lit("Unknown")).alias("age"), F.coalesce("sex", F.lit("Unknown")).alias("sex"), (F.col("id") % 3).alias("grp"), (F.col("weight") > 40).cast("int").alias("y"))
+    external = of(spark, sf_dir, "orders").where("o_custkey % 7 > 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2).cast("int").alias("class"))
+    return scoring.external_confusion(people, external, "id", ["grp"], ("age", "sex"))
+
+
+@query(f"""with r as (select * from documents join labels using (doc_id)), m as (select lang, avg(toxic) as toxic, avg(quality) as quality from r group by 1), w as (select source, avg(toxic) as toxic, avg(quality) as quality from r group by 1),
+c as (select lang, source, sum(n_chars) as c from r group by all), f as (select source as category, sum(c) / sum(sum(c)) over () as adjusted from c group by 1)
+select 'lang' as stratification, lang as category, unnest(['toxic', 'quality']) as metric, {R.format('unnest([toxic, quality])')} as value from m union all select 'source', source, unnest(['toxic', 'quality']), {R.format('unnest([toxic, quality])')} from w union all select 'source', category, 'AFT', {R.format('adjusted')} from f""")
+def stacked_metrics(spark, sf_dir):
+    """Scores of two stratifications one under another, then the adjusted fractions of one."""
+    rows = of(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(of(spark, sf_dir, "labels"), "doc_id").withColumn("all", F.lit("all"))
+    means = lambda c: rows.groupBy(F.col(c).alias("category")).agg(rnd(F.avg("toxic")).alias("toxic"), rnd(F.avg("quality")).alias("quality")).unpivot(["category"], ["toxic", "quality"], "metric", "value")
+    fractions = scoring.class_distribution(rows, "all", "source", "n_chars").select(F.lit("source").alias("stratification"), F.col("source").alias("category"), "adjusted")
+    return scoring.stacked_metrics({"lang": means("lang"), "source": means("source")}, fractions)

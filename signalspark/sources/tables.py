@@ -35,6 +35,17 @@ def from_path(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, group)
 
 
+def read_tree(spark: SparkSession, pattern: str, names: list[str], kind: str | None = None, schema: str | None = None) -> DataFrame:
+    """All files of a tree of variants, e.g. ``root/*/*/scores*.parquet``, with the last folders of each file's path and its stem as
+    columns ``names`` (the last of them: the stem). Parquet files may differ in columns: those that one lacks are null."""
+    kind, options = _format(f".{kind}" if kind else pattern)
+    reader = spark.read.format(kind).options(**options, **({"mergeSchema": True} if kind in ("parquet", "orc") else {}))
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    at = lambda back: F.element_at(parts, -back)
+    columns = [at(len(names) - k).alias(n) for k, n in enumerate(names[:-1])]
+    return (reader.schema(schema) if schema else reader).load(pattern).select("*", *columns, F.regexp_extract(at(1), r"\A(.*?)(?:\.[^.]*)?\z", 1).alias(names[-1]))
+
+
 def drug_records(spark: SparkSession, path: str) -> DataFrame:
     """Drug dictionary from XML: name, cas_number, mass, drug_id (the first one), synonyms, products, brands, mixtures (names) and
     their parts, the four classes, experimental and calculated properties; mixture names leave products and brands.

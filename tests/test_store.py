@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from signalspark.operators import signal
+from signalspark.operators import reports, signal
 from signalspark.operators.tokens import Rule
+from signalspark.sources import tables
 from signalspark.sources.store import CountsByChunk, Steps, TokenState, exploded_pairs
 
 
@@ -77,3 +78,21 @@ def test_counts_by_chunk(spark, tmp_path):
 def test_pairs_of_lists(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"]), (2, [], ["x"]), (3, ["a"], None)], "id int, drugs array<string>, events array<string>")
     assert sorted(map(tuple, exploded_pairs(rows, ["id"], "drugs", "events").collect())) == [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (1, "b", "y")]
+
+
+def test_literals_that_are_no_lists_of_tuples(spark):
+    texts = ["[]", " [ (1, 'a', 'b') , ] ", "[(1, 'a')]", "[[1, 'a', 'b']]", "[(1, (2, 3), 'b')]", "[(1, [2], 'b')]", "(1, 'a', 'b')", "[1, 2]", "[(1, 'a' 'b'), x]", "[(1, \"it's (x)\", 'a]b')]", "", None, r"[(1, 'a\n', '\x41\u20ac\'\q')]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.d for r in rows.select("k", reports.parsed_tuples(F.col("t"), reports.DRUG).alias("d")).collect()}
+    assert got[0] == [] and [tuple(x) for x in got[1]] == [(1, "a", "b")] and [tuple(x) for x in got[2]] == [(1, "a", None)]
+    assert all(got[k] is None for k in (3, 4, 5, 6, 7, 8, 10, 11)) and [tuple(x) for x in got[9]] == [(1, "it's (x)", "a]b")]
+    assert [tuple(x) for x in got[12]] == [(1, "a\n", "A€'q")]
+
+
+def test_tree_of_variants(spark, tmp_path):
+    for variant, column in (("one", "x"), ("two", "y")):
+        spark.range(3).select("id", F.lit(1).alias(column)).write.parquet(f"{tmp_path}/tree/{variant}/deep")
+        spark.range(2).write.csv(f"{tmp_path}/text/{variant}", header=True)
+    got = tables.read_tree(spark, f"{tmp_path}/tree/*/*/part-*.parquet", ["variant", "depth", "stem"])
+    assert set(got.columns) == {"id", "x", "y", "variant", "depth", "stem"} and {(r.variant, r.depth, r.x, r.y) for r in got.collect()} == {("one", "deep", 1, None), ("two", "deep", None, 1)}
+    assert {r.variant for r in tables.read_tree(spark, f"{tmp_path}/text/*/part-*.csv", ["variant", "stem"]).collect()} == {"one", "two"}
