@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd, to_number
-from .ranges import numbered
+from .ranges import cut, numbered
 
 
 @dataclass(frozen=True)
@@ -120,12 +120,13 @@ def included(reports: DataFrame, run: Inclusion) -> DataFrame:
     return rows.withColumn("drug", F.explode_outer("drugs")).drop("drugs").withColumns({"role": F.col("drug.role"), "drug": F.col("drug.name")})
 
 
-def quantile_table(rows: DataFrame, value: str, keys: list[str], levels: list[float]) -> DataFrame:
-    """Interpolated quantiles q of ``value`` by keys, rounded to 3; null values and keys take no part."""
+def quantile_table(rows: DataFrame, value: str, keys: list[str], levels: list[float], n: str | None = None) -> DataFrame:
+    """Interpolated quantiles q of ``value`` by keys, rounded to 3; null values and keys take no part. ``n`` names a column with
+    the number of rows that each row stands for."""
     kept = rows.where(F.col(value).isNotNull())
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
-    return kept.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("q")).withColumn("q", F.transform("q", lambda x: rnd(x, 3)))
+    return kept.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, levels)), F.col(n) if n else 1).alias("q")).withColumn("q", F.transform("q", lambda x: rnd(x, 3)))
 
 
 def weight_class(value: Column, q: Column) -> Column:
@@ -147,10 +148,11 @@ def weight_classes(rows: DataFrame, value: str, age: str, sex: str) -> DataFrame
     """``rows`` with weight_class: by the quantiles of (age, sex), of age, or of all groups of the sex, or of all, that hold
     the value, whichever is known. The quantile tables are a row for each group, so they are broadcast."""
     narrow, wide = [0.05, 1 / 3, 2 / 3, 0.95], [0.1, 1 / 3, 2 / 3, 0.9]
-    both = quantile_table(rows, value, [age, sex], narrow).withColumnRenamed("q", "q1")
-    by_age = quantile_table(rows, value, [age], narrow).withColumnRenamed("q", "q2")
-    by_sex = quantile_table(rows, value, [sex, age], wide).groupBy(sex).agg(F.array_sort(F.collect_list("q")).alias("q3"))
-    every = quantile_table(rows, value, [age], wide).agg(F.array_sort(F.collect_list("q")).alias("q4"))
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(age, sex, value).agg(F.count("*").alias("n")))  # all tables come from these
+    both = quantile_table(counts, value, [age, sex], narrow, "n").withColumnRenamed("q", "q1")
+    by_age = quantile_table(counts, value, [age], narrow, "n").withColumnRenamed("q", "q2")
+    by_sex = quantile_table(counts, value, [sex, age], wide, "n").groupBy(sex).agg(F.array_sort(F.collect_list("q")).alias("q3"))
+    every = quantile_table(counts, value, [age], wide, "n").agg(F.array_sort(F.collect_list("q")).alias("q4"))
     out = rows.join(F.broadcast(both), [age, sex], "left").join(F.broadcast(by_age), age, "left").join(F.broadcast(by_sex), sex, "left").crossJoin(F.broadcast(every))
     v = F.col(value)
     q = F.when(F.col(age).isNotNull() & F.col(sex).isNotNull(), F.col("q1")).when(F.col(age).isNotNull(), F.col("q2"))

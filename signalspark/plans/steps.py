@@ -253,7 +253,7 @@ def counterfactual_models(spark, sf_dir):
 
 @query()
 def searched_models(spark, sf_dir):
-    """Trials of three kinds of models, two at a time, with the best of each kind."""
+    """Trials of three kinds of models, with the best of each kind."""
     rows = of(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("y"), (F.col("vec_id") % 2).cast("int").alias("fold"), F.lit(1.0).alias("weight"), "embedding")
     rows = models.training_rows(rows, "embedding").drop("embedding")
     spaces = {"forest": {"numTrees": (3, 8), "maxDepth": (2, 5)}, "boosted": {"maxIter": (2, 4), "maxDepth": (2, 3), "stepSize": (0.05, 0.3)}, "svm": {"regParam": (1e-3, 1.0)}}
