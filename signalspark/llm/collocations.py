@@ -30,8 +30,9 @@ STRETCH, PART, WORDS = 1 << 18, 1 << 20, 200_000
 SLICE = 64
 #: Rows of a sketch, bytes of text for each cell of a row, least and most cells of a row, and cells that are merged together.
 ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 64, (1 << 12, 1 << 25), 1 << 18
-#: Tasks of either pass at least; otherwise there are two for each core, as what they send grows with their number.
-LEAST_TASKS = 12
+#: Tasks of either pass at least, and bytes of text of one at most; between them there are two for each core, as what they send
+#: grows with their number.
+LEAST_TASKS, MOST_BYTES = 12, 2 << 30
 #: First dealing of a language's phrases, so that no task ranks all of them.
 DEALS = 256
 
@@ -254,7 +255,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = 1 << (min(max(size // BYTES_EACH, CELLS[0]), CELLS[1]) - 1).bit_length()
-    texts = texts.coalesce(max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))  # a sketch, and one row a phrase, each
+    tasks = max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism, size // MOST_BYTES)
+    texts = texts.coalesce(tasks)  # each task sends a sketch, and a row for each phrase
     phrases = table(frequent(texts, sketched(texts, width, least), least), "phrases")
     rows = unsubsumed(scored(phrases, hot_bound(phrases.count())), phrases)
     order = [F.desc("score"), F.desc("a"), "phrase"]
