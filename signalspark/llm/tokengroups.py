@@ -7,7 +7,9 @@ Exact: no link between different texts is lost, and none of the steps lists the
    that many texts share come last and bring nobody together who has enough words of their own.
 2. *Groups.* Sets meet at the tokens of those prefixes. Sets of like size (own band and the next) that share one are put into
    the group named after the least of them: a set joins a group once, however many tokens it shares with it. A set whose
-   rare tokens nobody shares is in no group and its shingles go nowhere.
+   rare tokens nobody shares is in no group and its shingles go nowhere. Of many texts most groups are met by chance, so
+   profiles meet before shingles do: how many of a set's shingles fall into each of a number of cells bounds what two sets can
+   have in common, and who could reach t with nobody leaves the group.
 3. *Matrix.* A group's sets come together once and are cut into runs of similar ones; the union of a run's tokens is its row
    of the matrix. A query set's overlap with that row bounds its similarity to all of the run: only rows that could still
    reach the threshold are opened, and only for members that the query isn't connected to yet.
@@ -35,6 +37,8 @@ PART_SHINGLES = 1_000_000
 CELLS, PIECES = 1 << 22, 16
 #: Sets that meet at one token before they are dealt to several meeting places.
 MEETING = 1 << 20
+#: Shingles for a cell of a profile, and sets of a group up to which profiles are compared (larger ones keep all).
+PROFILE, COMPARED = 4, 2_000
 #: Rows of a plan that is small enough to be sent to every executor.
 FEW = 1_000_000
 
@@ -55,6 +59,30 @@ def identity(found: np.ndarray) -> int:
         return int(mix(np.array([total + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
 
 
+def profile_of(found: np.ndarray) -> bytes | None:
+    """Number of shingles in each of a power of two of cells, a byte each; None if one doesn't fit."""
+    cells = 1 << max(0, math.ceil(math.log2(max(1, len(found)) / PROFILE)))
+    counts = np.bincount((found >> np.uint64(33)).astype(np.int64) & (cells - 1), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def could_link(profiles: list[bytes | None], percent: int) -> np.ndarray:
+    """Which of the sets of these profiles could link with another one of them; a set without profile could with any."""
+    if len(profiles) < 2:
+        return np.zeros(len(profiles), bool)
+    if len(profiles) > COMPARED or None in profiles:
+        return np.ones(len(profiles), bool)
+    cells = min(map(len, profiles))  # profiles of more cells are folded: their cells' numbers end in the same bits
+    rows = np.stack([np.frombuffer(x, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32) for x in profiles])
+    size, out = rows.sum(1), np.zeros(len(rows), bool)
+    for k in range(len(rows) - 1):
+        both = np.minimum(rows[k], rows[k + 1 :]).sum(1)
+        near = 100 * both >= percent * (size[k] + size[k + 1 :] - both)
+        out[k] |= near.any()
+        out[k + 1 :] |= near
+    return out
+
+
 def _sets(batch: pa.RecordBatch, memo: WordIds, n: int):
     for text in as_bytes(batch.column("text")):
         yield shingles(memo.of(text.translate(ASCII_LOWER).split()), n)
@@ -74,19 +102,21 @@ class Seen(set):
 
 def shingle_sizes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, k1, k2, n, cls, piece, at, cells): one row for each row of ``docs`` with its key, its number of distinct
-    shingles and the id of its set, and rows without n that hold a task's counts of the shingles of its different sets, by
-    cell of the sketch (all cells of a piece, or those named in ``at``)."""
-    names = ["doc_id", "k1", "k2", "n", "cls", "piece", "at", "cells"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])))
+    shingles, the id of its set and, where a task meets a set first, its profile, and rows without n that hold a task's counts of
+    the shingles of its different sets, by cell of the sketch (all cells of a piece, or those named in ``at``)."""
+    names = ["doc_id", "k1", "k2", "n", "cls", "met", "profile", "piece", "at", "cells"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.binary()])))
 
     def run(batches):
         memo, seen, cells = WordIds(), Seen(), np.zeros(CELLS, np.uint32)
         for batch in batches:
-            sizes, ids, some, held = [], [], [], 0
+            sizes, ids, some, held, met, profiles = [], [], [], 0, [], []
             for found in _sets(batch, memo, words):
                 sizes.append(len(found))
                 ids.append(identity(found))
-                if len(found) and seen.first(ids[-1]):
+                met.append(bool(len(found)) and seen.first(ids[-1]))
+                profiles.append(profile_of(found) if met[-1] else None)
+                if met[-1]:
                     some.append(found)
                     held += len(found)
                 if held > 500_000:
@@ -96,15 +126,15 @@ def shingle_sizes(docs: DataFrame, words: int) -> DataFrame:
                 np.add.at(cells, cell_of(np.concatenate(some)), 1)
             none = lambda kind: pa.nulls(batch.num_rows, kind)
             own = [batch.column(c) for c in names[:3]]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(met, pa.bool_()), pa.array(profiles, pa.binary()), none(pa.int32()), none(pa.binary()), none(pa.binary())], schema=schema)
         if cells.any():
             for piece, dense in enumerate(np.minimum(cells, 65535).astype(np.uint16).reshape(PIECES, -1)):
                 at = np.flatnonzero(dense).astype(np.uint32)
                 few = 3 * len(at) < len(dense)
-                values = [None] * 5 + [piece, at.tobytes() if few else None, (dense[at] if few else dense).tobytes()]
+                values = [None] * 7 + [piece, at.tobytes() if few else None, (dense[at] if few else dense).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return keyed(docs).mapInArrow(run, "doc_id bigint, k1 bigint, k2 int, n bigint, cls bigint, piece int, at binary, cells binary")
+    return keyed(docs).mapInArrow(run, "doc_id bigint, k1 bigint, k2 int, n bigint, cls bigint, met boolean, profile binary, piece int, at binary, cells binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -212,6 +242,35 @@ def memberships(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
     )
 
 
+def promising(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(grp, cls, parts, part): rows of ``placed``, without the sets of groups of one part that by their profiles link with none of the group."""
+    parts = shuffle_parts(placed.sparkSession)
+    single = placed.where("parts = 1").select("grp", "cls")
+    # a set's profile comes from each task that met it and is the same from all
+    profiles = sizes.where("met").join(single.select(F.col("cls").alias("asked")).distinct(), F.col("cls") == F.col("asked"), "left_semi")
+    profiles = profiles.groupBy("cls").agg(F.first("profile").alias("profile"))
+
+    def run(batches):
+        last, rows, kept = None, [], []
+
+        def flush():
+            kept.extend((last, rows[k][0]) for k in np.flatnonzero(could_link([x for _, x in rows], percent)))
+
+        for batch in batches:
+            for grp, cls, profile in zip(*(batch.column(c).to_pylist() for c in ("grp", "cls", "profile"))):
+                if grp != last:
+                    flush()
+                    last, rows = grp, []
+                rows.append((cls, profile))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], ["grp", "cls"])
+            kept.clear()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], ["grp", "cls"])
+
+    near = single.join(profiles, "cls").repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, "grp bigint, cls bigint")
+    return near.select("grp", "cls", F.lit(1).alias("parts"), F.lit(0).alias("part")).union(placed.where("parts > 1").select("grp", "cls", "parts", "part"))
+
+
 class Linked:
     """Union-find over positions."""
 
@@ -350,7 +409,9 @@ def group_links(docs: DataFrame, sizes: DataFrame, words: int, percent: int, par
     members = table(members.union(members.select("grp", F.col("grp").alias("cls")).distinct()), "members")
     sized = members.join(firsts.select("cls", "n"), "cls")
     parts = sized.groupBy("grp").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
-    placed = table(members.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("cls", "grp"), F.col("parts").cast("bigint")).cast("int")), "placed")
+    placed = members.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("cls", "grp"), F.col("parts").cast("bigint")).cast("int"))
+    met = table(placed, "met")
+    placed = table(promising(met, sizes, percent), "placed")
     nothing = F.lit(None).cast("bigint")
     unit = lambda *extra: F.xxhash64("grp", *extra)
     large = placed.where("parts > 1")
@@ -359,7 +420,7 @@ def group_links(docs: DataFrame, sizes: DataFrame, words: int, percent: int, par
     plan = plan.union(heads.select("cls", unit("part"), F.lit(0), nothing)).distinct()
     links = table(verified_links(docs, firsts, plan, words, percent), "links")
     roots = components(links)
-    drop(members)
+    drop(members, met)
     if large.isEmpty():
         drop(placed, links)
         return roots

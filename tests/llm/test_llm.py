@@ -146,6 +146,36 @@ def test_jaccard_odd(spark, odd, none):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 8] and kept.where("doc_id is null").count() == 1
 
 
+def test_profiles_lose_no_link():
+    """Sets that link with one of their group stay, whatever their sizes; unrelated ones go; no profile or a very large group keeps all."""
+    rng = np.random.default_rng(9)
+    for percent in (50, 85, 100):
+        for size in (1, 3, 7, 33, 120, 900):
+            base = rng.integers(0, 1 << 63, size, np.uint64)
+            sets = [np.unique(base[rng.random(size) < share]) for share in (1.0, 0.97, 0.9, 0.86, 0.6, 0.52)]
+            sets = [s for s in sets if len(s)] + [np.unique(rng.integers(0, 1 << 63, k, np.uint64)) for k in (size, size, 2 * size)]
+            both = [[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets]
+            links = np.array([sum(row) > 1 for row in both])
+            kept = tokengroups.could_link([tokengroups.profile_of(s) for s in sets], percent)
+            assert (kept | ~links).all() and (size < 900 or percent < 85 or not kept[-3:].any())
+    assert tokengroups.profile_of(np.arange(300, dtype=np.uint64)) is None  # all in one cell
+    assert tokengroups.could_link([b"\x05", None, b"\x01"], 85).all() and not tokengroups.could_link([b"\x05"], 85).any()
+
+
+def test_sets_that_meet_by_chance_are_not_verified(spark, monkeypatch):
+    """Texts that share half of their words with the next meet in groups, but their shingles aren't sent; links of others stay."""
+    rng, planned, verify = random.Random(5), [], tokengroups.verified_links
+    own = lambda: [f"u{rng.randrange(10**9)}" for _ in range(150)]
+    halves = [own() for _ in range(40)]
+    rows = [(k, " ".join(halves[k - 1] + halves[k])) for k in range(40)]
+    base = own()
+    rows += [(100, " ".join(base)), (101, " ".join([*base[:-2], "x", "y"]))]
+    monkeypatch.setattr(tokengroups, "verified_links", lambda docs, firsts, plan, *a: planned.append(plan.select("cls").distinct().count()) or verify(docs, firsts, plan, *a))
+    got = tokengroups.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_components(rows, 4, 85)
+    assert planned == [2]
+
+
 def test_open_groups_agree_with_brute_force():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
