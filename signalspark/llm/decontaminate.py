@@ -125,7 +125,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, errors: float) -> DataFrame:
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = [(r["item_id"], r["text"].encode()) for r in part.orderBy("item_id", "text").toLocalIterator()]
+        # a block is bounded: one job brings it, where an iterator would take one for each partition
+        rows = sorted(((r["item_id"], r["text"].encode()) for r in part.collect()), key=lambda x: (x[0] is not None, x))
         index = docs.sparkSession.sparkContext.broadcast(([item for item, _ in rows], Index([text for _, text in rows], errors)))
 
         def scan(batches, index=index):

@@ -41,19 +41,25 @@ def _small(edges: DataFrame, most: int) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _counted(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges (a > b), and of nodes that keep them from being stars: those with two lower ends, or one that are a lower end, too."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return tuple(nodes.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if(F.expr("down > 1 or down = 1 and up = 1"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: bigint) that isn't its component's smallest node.
 
-    Loops and repeated edges are ignored; an empty table gives no rows. Nothing is collected but one check row a round.
+    Loops and repeated edges are ignored; an empty table gives no rows. Rounds end when every component is a star around its
+    smallest node. Nothing is collected but one check row a round.
     """
-    edges = table(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+    edges = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen or now[0] == 0:
+        n, open_nodes = _counted(edges)
+        if not open_nodes:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-        most = hot_bound(now[0])
+        most = hot_bound(n)
         stars = table(_large(edges, most), "stars")
         new = table(_small(stars, most), "edges")
         drop(edges, stars)

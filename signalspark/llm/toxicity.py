@@ -45,6 +45,8 @@ ONE = rb"(?:[^\s\x80-\xff]|[\xc0-\xff][\x80-\xbf]*)"
 RUN = re.compile(rb"(?<!\S)%b(?:[ \t]+%b){2,}(?!\S)" % (ONE, ONE))
 #: Expected number of rows of each label in the training sample.
 SAMPLE = {0: 3000, 1: 2000}
+#: Numbers of a model besides its table.
+CURVE = ("bias", "slope", "offset")
 
 
 def parts(word: bytes) -> list[bytes]:
@@ -221,7 +223,7 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
     """
     names: dict[bytes, bytes] = {}  # one object for each word, however many texts have it
     docs = [(tuple(names.setdefault(w, w) for w in instances(text)), label) for text, label in rows]
-    del names
+    del names, rows
     some = distinct_rows(docs)
     bad = [words for words, label in some if label and words]
     if not bad:
@@ -274,6 +276,22 @@ def fit(rows: list[tuple[bytes, int]], landmarks: int = 256, rounds: int = 4, mi
     return {"table": table, "bias": bias, "slope": float(max(curve[0], 0.0)), "offset": float(curve[1])}
 
 
+def fitted(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> dict:
+    """The model of the labelled rows' sample, fitted by a task: the driver holds neither texts nor words, but the model alone."""
+
+    def run(batches):
+        rows = sorted((text, int(label > 0)) for batch in batches for text, label in zip(as_bytes(batch.column("text")), batch.column("label").to_pylist()))
+        if rows:
+            m = fit(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([m["table"].tobytes()], pa.binary()), *(pa.array([m[c]], pa.float64()) for c in CURVE)], ["table", *CURVE])
+
+    texts = label_sample(docs, labels, "toxic", sample).select("text", "label").repartition(1)
+    got = texts.mapInArrow(run, "table binary, " + ", ".join(f"{c} double" for c in CURVE)).collect()
+    if not got:
+        return fit([])
+    return {"table": np.frombuffer(bytes(got[0]["table"])), **{c: got[0][c] for c in CURVE}}
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: dict[int, int] = SAMPLE, keep: bool = False) -> DataFrame:
     """One row for each document row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
@@ -282,8 +300,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     Repeated rows give repeated rows, an empty table gives no rows. Other
     columns are ignored, or come along in the struct ``row`` with ``keep``.
     """
-    rows = [(r["text"].encode(), int(r["label"] > 0)) for r in label_sample(docs, labels, "toxic", sample).collect()]
-    model = docs.sparkSession.sparkContext.broadcast(fit(sorted(rows)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def score(batches):
         m = model.value
