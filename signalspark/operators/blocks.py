@@ -7,6 +7,7 @@ a comparison of all pairs, quadratic by nature; it takes a nanosecond or two a p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import cut
+from .ranges import cut, shared_folder
 
 #: Rows of a block at most, rows and number of blocks that are enough to share the work of fewer, cells of a table of common bits.
 BLOCK, FEW, SHARES, CELLS, STRETCH = 1 << 15, 1 << 10, 8, 1 << 17, 1 << 23
@@ -282,3 +283,236 @@ def nearest(rows: DataFrame, key: str, sets: str, fold: str, blocks: int) -> Dat
 
     out = met(own, blocks, work, f"key {kind}, found double, opened int")
     return out.groupBy("key").agg(F.max("found").alias("found"), F.max("opened").alias("opened"))
+
+
+#: Links that are packed together, links that one task may finish, and rows of nodes of which a node's number has one.
+PACKED, LAST, NUMBERS = 1 << 20, 1_000_000, (1 << 32) - 1
+LINKS = "i int, j int, links bigint, payload binary"
+STATE = ("weight", "rank", "one", "lead", "head")
+
+
+def _links(i: int, j: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """One packed row of links from rows ``u`` of block i to rows ``v`` of block j."""
+    u, v = np.divmod(np.sort(u.astype(np.int64) << 32 | v), 1 << 32)
+    rows, counts = np.unique(u, return_counts=True)
+    steps = np.diff(v.astype(np.uint16), prepend=np.uint16(0))  # as numbers modulo 2**16, so they add up again
+    sink = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(sink, "zstd") as out:
+        out.write(np.array([len(rows)], np.int64).tobytes() + rows.astype(np.uint16).tobytes() + counts.astype(np.int32).tobytes() + steps.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([len(v)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["i", "j", "links", "payload"])
+
+
+def _linked(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of block i, their numbers of links, rows of block j)."""
+    raw = pa.CompressedInputStream(pa.BufferReader(payload), "zstd").read()
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    rows, counts = np.frombuffer(raw, np.uint16, n, 8), np.frombuffer(raw, np.int32, n, 8 + 2 * n)
+    return rows.astype(np.int64), counts, np.cumsum(np.frombuffer(raw, np.uint16, offset=8 + 6 * n), dtype=np.uint16).astype(np.int64)
+
+
+def _gathered(i: int, j: int, found) -> Iterator[pa.RecordBatch]:
+    """Packed rows of what ``found`` yields of (u, v)."""
+    us, vs, n = [], [], 0
+    for u, v in found:
+        us.append(u)
+        vs.append(v)
+        n += len(u)
+        if n >= PACKED:
+            yield _links(i, j, np.concatenate(us), np.concatenate(vs))
+            us, vs, n = [], [], 0
+    if n:
+        yield _links(i, j, np.concatenate(us), np.concatenate(vs))
+
+
+def _batches(batches) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(len(batch)):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
+
+
+def _spread(links: DataFrame, state: DataFrame, of: str, add: bool, size: int, blocks: int, update) -> DataFrame:
+    """``state`` after each node has got the sum, or the largest, of its neighbours' numbers ``of``; ``update`` takes a block's
+    arrays, what they got, and the first node's number. The state, eight bytes a node, is what is sent to all tasks.
+    It is read back as a file, as the size that Spark expects of a checkpointed join is a product, longer by each round."""
+    change = np.add if add else np.maximum
+
+    def send(batches):
+        held: dict[int, np.ndarray] = {}
+        for r in _batches(batches):
+            x, y = _numbers(r["x"]), _numbers(r["y"])
+            rows, counts, v = _linked(r["payload"])
+            to_i, to_j = (held.setdefault(r[b], np.zeros(size, np.int64)) for b in "ij")
+            to_i[rows] = change(to_i[rows], change.reduceat(y[v], np.cumsum(counts) - counts))
+            change.at(to_j, v, np.repeat(x[rows], counts))
+        for b, got in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([got.tobytes()], pa.binary())], names=["block", "got"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for r in _batches(batches):
+            held[r["block"]] = change(held[r["block"]], _numbers(r["got"])) if r["block"] in held else _numbers(r["got"])
+        for b, got in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([got.tobytes()], pa.binary())], names=["block", "got"])
+
+    def step(batches):
+        for r in _batches(batches):
+            got = _numbers(r["got"]) if r["got"] is not None else np.zeros(size, np.int64)
+            out, total = update({c: _numbers(r[c]) for c in STATE}, got, r["block"] * size)
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([total], pa.int64()), *(pa.array([out[c].astype(np.int64).tobytes()], pa.binary()) for c in STATE)], names=["block", "total", *STATE])
+
+    side = lambda b, name: F.broadcast(state.select(F.col("block").alias(b), F.col(of).alias(name)))
+    sent = links.join(side("i", "x"), "i").join(side("j", "y"), "j").select("i", "j", "x", "y", "payload").mapInArrow(send, "block int, got binary")
+    merged = sent.repartition(blocks, "block").mapInArrow(merge, "block int, got binary")
+    out = stored(state.drop("total").join(merged, "block", "left").mapInArrow(step, "block int, total bigint, " + ", ".join(f"{c} binary" for c in STATE)), "state")
+    dropped(state)
+    return out
+
+
+def _ranked(s, got, first):
+    """Nodes by how many they would take, lowest number first among equals."""
+    alive = s["weight"] > 0
+    degree = np.where(alive, s["weight"] - 1 + got, 0)
+    rank = np.where(degree > 0, degree << 32 | NUMBERS - first - np.arange(len(degree)), 0)
+    return s | {"rank": rank}, int(got[alive].sum())
+
+
+def _one(s, got, first):
+    return s | {"one": np.where(s["weight"] > 0, np.maximum(s["rank"], got), 0)}, 0
+
+
+def _lead(s, got, first):
+    return s | {"lead": np.where((s["rank"] > 0) & (np.maximum(s["one"], got) == s["rank"]), s["rank"], 0)}, 0
+
+
+def _taken(s, got, first):
+    head = np.where(s["weight"] > 0, np.maximum(s["lead"], got), 0)
+    return s | {"head": np.maximum(s["head"], head), "weight": np.where(head > 0, 0, s["weight"])}, 0
+
+
+def _alive(links: DataFrame, state: DataFrame, work, kind: str) -> DataFrame:
+    """What ``work(i, j, u, v, weights, weights)`` yields for each row of links between nodes that are left."""
+
+    def run(batches):
+        for r in _batches(batches):
+            x, y = _numbers(r["x"]), _numbers(r["y"])
+            rows, counts, v = _linked(r["payload"])
+            u = np.repeat(rows, counts)
+            keep = (x[u] > 0) & (y[v] > 0)
+            yield from work(r["i"], r["j"], u[keep], v[keep], x, y)
+
+    side = lambda b, name: F.broadcast(state.select(F.col("block").alias(b), F.col("weight").alias(name)))
+    return links.join(side("i", "x"), "i").join(side("j", "y"), "j").select("i", "j", "x", "y", "payload").mapInArrow(run, kind)
+
+
+def _finished(batches):
+    """The sequential order over a bounded rest of links (u, v, weights): (node, head, taken by it)."""
+    import heapq
+
+    near: dict[int, set[int]] = {}
+    weight: dict[int, int] = {}
+    for batch in batches:
+        for u, v, p, q in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "p", "q"))):
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+            weight[u], weight[v] = p, q
+    degree = {k: weight[k] - 1 + sum(weight[x] for x in own) for k, own in near.items()}
+    heap = [(-n, k) for k, n in degree.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        n, k = heapq.heappop(heap)
+        if k not in degree or -n != degree[k] or not n:
+            continue  # taken, or there again with what it has now
+        group = [k, *(x for x in near[k] if x in degree)]
+        out += [(x, k, -n) for x in group]
+        for x in group:
+            del degree[x]
+        fallen = set()
+        for x in group:
+            for y in near[x]:
+                if y in degree:
+                    degree[y] -= weight[x]
+                    fallen.add(y)
+        for y in fallen:
+            heapq.heappush(heap, (-degree[y], y))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["node", "head", "n"])
+
+
+def clusters(classes: DataFrame, sets: str, least: float, narrow: bool, count: int, last: int = LAST) -> DataFrame:
+    """(node, head, n) of the nodes that some node takes, itself included: of ``classes`` (node, weight, sets), numbered from 0,
+    the node with most weight beside it (lowest number on ties) takes what is like it; n is what it took besides one.
+
+    Links are packed once, a byte or two for each, and rounds over them pass numbers of nodes only. Every node that comes before
+    all others within two steps takes its neighbours at once, which gives the sequential order. Links between nodes that are
+    left are packed anew when they are fewer than half; the last million is one task's.
+    """
+    blocks = blocks_of(count)
+    size = -(-count // blocks)
+    block = F.floor(F.col("node") / size).cast("int")
+    own = packed(classes.select("node", F.col(sets).alias("set")), block, blocks)
+
+    def compare(i, left, j, right):
+        order, beside = (np.argsort(_column(t, "node").to_numpy()) for t in (left, right))
+        x, y = (sides(_column(t, "set").take(pa.array(at)), narrow) for t, at in ((left, order), (right, beside)))
+        yield from _gathered(i, j, ((u, v) if i != j else (u[u < v], v[u < v]) for u, v, _ in x.similar(y, least)))
+
+    def start(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            node, weight = (batch.column(c).to_numpy() for c in ("node", "weight"))
+            for b in np.unique(node // size).tolist():
+                at = node // size == b
+                held.setdefault(b, np.zeros(size, np.int64))[node[at] % size] = weight[at]
+        for b, weight in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int64()), *(pa.array([(weight if c == "weight" else np.zeros_like(weight)).tobytes()], pa.binary()) for c in STATE)], names=["block", "total", *STATE])
+
+    repack = lambda i, j, u, v, x, y: _gathered(i, j, [(u, v)])
+    links = stored(met(own, blocks, compare, LINKS), "links")
+    held = links.agg(F.sum("links")).first()[0] or 0
+    state = stored(classes.select("node", "weight").repartition(blocks, block).mapInArrow(start, "block int, total bigint, " + ", ".join(f"{c} binary" for c in STATE)), "state")
+    while held > last:
+        state = _spread(links, state, "weight", True, size, blocks, _ranked)
+        left = state.agg(F.sum("total")).first()[0] // 2  # links left, each counted by the weights it joins
+        if left < held // 2:
+            before, links = links, stored(_alive(links, state, repack, LINKS), "links")
+            dropped(before)
+            held = links.agg(F.sum("links")).first()[0] or 0
+        if held <= last:
+            break
+        for of, update in (("rank", _one), ("one", _lead), ("lead", _taken)):
+            state = _spread(links, state, of, False, size, blocks, update)
+
+    def named(i, j, u, v, x, y):
+        yield pa.RecordBatch.from_arrays([pa.array(u + i * size), pa.array(v + j * size), pa.array(x[u]), pa.array(y[v])], names=["u", "v", "p", "q"])
+
+    def told(batches):
+        for r in _batches(batches):
+            weight, head = _numbers(r["weight"]), _numbers(r["head"])
+            at = np.flatnonzero((weight > 0) | (head > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at + r["block"] * size), pa.array(weight[at]), pa.array(NUMBERS - (head[at] & NUMBERS)), pa.array(head[at] >> 32)], names=["node", "weight", "head", "n"])
+
+    rest = stored(_alive(links, state, named, "u bigint, v bigint, p bigint, q bigint").repartition(1).mapInArrow(_finished, "node bigint, head bigint, n bigint"), "taken")
+    known = stored(state.mapInArrow(told, "node bigint, weight bigint, head bigint, n bigint"), "taken")
+    dropped(links)
+    dropped(state)
+    alone = known.where("n = 0 and weight > 1").join(rest, "node", "left_anti").select("node", F.col("node").alias("head"), (F.col("weight") - 1).alias("n"))
+    return known.where("n > 0").select("node", "head", "n").union(rest).union(alone)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, to be read often and dropped."""
+    path = f"{shared_folder(df.sparkSession, 'signalspark-shared')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

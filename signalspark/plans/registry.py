@@ -523,7 +523,7 @@ def tanimoto_urls(spark, sf_dir):
 def butina_urls(spark, sf_dir):
     """Clusters of sparse sets of 4,096 bits."""
     rows = _url_bits(spark, sf_dir)
-    return features.butina(similarity.tanimoto_sets(rows, "page_id", "positions", 0.6), rows, "page_id")
+    return similarity.clusters(rows, "page_id", "positions", 0.6)
 
 
 @query()
