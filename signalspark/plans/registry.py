@@ -504,7 +504,7 @@ def fold_min_distance(spark, sf_dir):
 @query()
 def butina_clusters(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    return features.butina(similarity.tanimoto_pairs(rows, "vec_id", "bits", 0.6), rows, "vec_id")
+    return similarity.clusters(rows, "vec_id", "bits", 0.6, packed_words=True)
 
 
 def _url_bits(spark, sf_dir):
