@@ -29,7 +29,10 @@ STRETCH, PART, WORDS = 1 << 18, 1 << 20, 200_000
 #: Rows of a batch that are taken out of it together.
 SLICE = 64
 #: Rows of a sketch, bytes of text for each cell of a row, least and most cells of a row, and cells that are merged together.
-ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 64, (1 << 12, 1 << 25), 1 << 18
+ROWS, BYTES_EACH, CELLS, SEGMENT = 2, 64, (1 << 12, 1 << 28), 1 << 18
+#: Cells of a row up to which a task holds a sketch; beyond, it sends what it counted after each RUN of phrases, by cell. Cells that
+#: are merged together then, and those of which the place is a number of 16 bits.
+DENSE, RUN, WIDE, NEAR = 1 << 25, 1 << 22, 1 << 20, 1 << 16
 #: Tasks of either pass at least, and bytes of text of one at most; between them there are two for each core, as what they send
 #: grows with their number.
 LEAST_TASKS, MOST_BYTES = 12, 2 << 30
@@ -124,11 +127,41 @@ def bits_of(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def width_of(size: int) -> int:
+    """Cells of a row for ``size`` bytes of text, a power of two."""
+    return 1 << (min(max(size // BYTES_EACH, CELLS[0]), CELLS[1]) - 1).bit_length()
+
+
+def counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different cells in rising order, and how often each is there."""
+    cells.sort()
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+    return cells[first], np.diff(np.append(first, len(cells)))
+
+
+def run_of(at: np.ndarray, counts: np.ndarray, part: int) -> bytes:
+    """Cells ``at`` (rising, below ``part``) with their counts: how many lie in each NEAR, the steps between them, the counts."""
+    many = np.bincount(at // NEAR, minlength=-(-part // NEAR)).astype(np.uint32)
+    steps = np.diff(at.astype(np.uint16), prepend=np.uint16(0))  # modulo 2**16
+    return pa.Codec("zstd", 1).compress(np.uint32(len(at)).tobytes() + many.tobytes() + steps.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes(), asbytes=True)
+
+
+def added(cells: np.ndarray, packed: bytes) -> None:
+    """Add what ``run_of`` packed."""
+    raw = pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read()
+    n, groups = int(np.frombuffer(raw, np.uint32, 1)[0]), -(-len(cells) // NEAR)
+    low = np.cumsum(np.frombuffer(raw, np.uint16, n, 4 + 4 * groups), dtype=np.uint16)
+    at = np.repeat(np.arange(groups) * NEAR, np.frombuffer(raw, np.uint32, groups, 4)) + low
+    raised(cells, at, np.frombuffer(raw, np.uint8, n, 4 + 4 * groups + 2 * n))
+
+
 def sketched(texts: DataFrame, width: int, least: int) -> np.ndarray:
     """What the merged count-min sketch of all runs of up to LONGEST words says: ROWS x width bits, one for each cell that reached
     ``least``. Each task sends the segments of its own sketch, compressed; a segment's parts are added one after another, so a
-    task holds its merged segments only."""
-    part = min(width, SEGMENT)
+    task holds its merged segments only. Of a sketch of more than DENSE cells a row no task holds its own, either: it sends the
+    cells of one run of phrases after another, which are added likewise."""
+    dense = width <= DENSE
+    part = min(width, SEGMENT if dense else WIDE)
     schema = pa.schema([("segment", pa.int32()), ("cells", pa.binary())])
     parts = shuffle_parts(texts.sparkSession)
 
@@ -140,27 +173,49 @@ def sketched(texts: DataFrame, width: int, least: int) -> np.ndarray:
         sketch = np.zeros((ROWS, width), np.uint8)
         for s in stretches(batches):
             found = [keys[s.fresh & (s.since >= n)] for n, keys in enumerate(s.keys(), 1)]
-            for row, at in enumerate(cells_of(np.concatenate(found), width)):
-                at.sort()
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
-                raised(sketch[row], at[first], np.diff(np.append(first, len(at))))
+            for row, cells in enumerate(cells_of(np.concatenate(found), width)):
+                raised(sketch[row], *counted(cells))
         for k, cells in enumerate(sketch.reshape(-1, part)):
             if cells.any():
                 yield sent(k, cells)
 
+    def run(found: list[np.ndarray]):
+        keys = np.concatenate(found)
+        for row, cells in enumerate(cells_of(keys, width)):
+            cells, counts = counted(cells)
+            starts = np.searchsorted(cells, np.arange(0, width + 1, part))
+            filled = np.flatnonzero(np.diff(starts)).tolist()
+            runs = [run_of(cells[starts[k] : starts[k + 1]] - k * part, counts[starts[k] : starts[k + 1]], part) for k in filled]
+            yield pa.RecordBatch.from_arrays([pa.array([row * (width // part) + k for k in filled], pa.int32()), pa.array(runs, pa.binary())], schema=schema)
+
+    def count_runs(batches):
+        found, n = [], 0
+        for s in stretches(batches):
+            for k, keys in enumerate(s.keys(), 1):
+                found.append(keys[s.fresh & (s.since >= k)])
+                n += len(found[-1])
+            if n >= RUN:
+                yield from run(found)
+                found, n = [], 0
+        if n:
+            yield from run(found)
+
     def merge(batches):
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, cells in zip(batch.column("segment").to_pylist(), batch.column("cells")):
+                if not dense:
+                    added(own.setdefault(segment, np.zeros(part, np.uint8)), cells.as_buffer())
+                    continue
                 more = np.frombuffer(pa.Codec("zstd").decompress(cells.as_buffer(), part, asbytes=True), np.uint8)
                 own[segment] = np.minimum(own[segment].astype(np.uint16) + more, 255).astype(np.uint8) if segment in own else more
         for segment, cells in own.items():
             yield sent(segment, np.packbits(cells >= min(least, 255), bitorder="little"))
 
     kind = "segment int, cells binary"
-    merged = texts.mapInArrow(count, kind).repartition(parts, "segment").mapInArrow(merge, kind)
+    merged = texts.mapInArrow(count if dense else count_runs, kind).repartition(parts, "segment").mapInArrow(merge, kind)
     out = np.zeros((ROWS * width // part, part // 8), np.uint8)
-    for r in merged.collect():  # at most ROWS * CELLS bits, 8 MB, whatever the input
+    for r in merged.collect():  # at most ROWS * CELLS bits, 64 MB, whatever the input
         out[r["segment"]] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["cells"]), part // 8, asbytes=True), np.uint8)
     return out.reshape(ROWS, width // 8)
 
@@ -249,12 +304,13 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     A null lang counts as ``und``, together with texts of that lang; null and empty texts have no words; repeated rows count again;
     a language without such phrases and an empty table give no rows. Other columns are ignored. ``least`` may be at most 255, where
     cells of the sketch stop, to be told by the sketch; beyond, the exact count alone decides. A task's sketch has a byte for every
-    32 bytes of text, up to 64 MB; the merged one, a bit a cell, is sent to all workers. What passes it without being frequent is
-    only counted in vain: with more text than the sketch is made for, that is more and more.
+    32 bytes of text, up to 64 MB; beyond 2 GB of text it sends runs of cells instead of holding one. The merged one, a bit a cell, is
+    sent to all workers (64 MB at most). What passes it without being frequent is only counted in vain: with more than 16 GB of
+    text that is more and more.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = 1 << (min(max(size // BYTES_EACH, CELLS[0]), CELLS[1]) - 1).bit_length()
+    width = width_of(size)
     tasks = max(LEAST_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism, size // MOST_BYTES)
     texts = texts.coalesce(tasks)  # each task sends a sketch, and a row for each phrase
     phrases = table(frequent(texts, sketched(texts, width, least), least), "phrases")

@@ -198,3 +198,16 @@ def test_scores_beyond_64_bits(spark):
     rows = [(9_000_000_000_000_000_000, 9_000_000_000_000_000_000, 9_000_000_000_000_000_001), (30, 31, 7_919), (1, 1, 1), (4_611_686_018_427_387_904, 4_611_686_018_427_387_905, 5_000_000_000_000_000_000)]
     got = spark.createDataFrame(rows, "a bigint, l bigint, r bigint").select(collocations.score_of(F.col("a"), F.col("l"), F.col("r"))).collect()
     assert [g[0] for g in got] == [2_000_000 * a // (x + y) for a, x, y in rows]
+
+
+def test_sketch_grows_with_the_text(spark, monkeypatch):
+    """Up to 16 GB of text a cell stands for 64 bytes at most; runs of cells give the bits of held sketches."""
+    for size in (1 << 20, 1 << 31, 10 << 30, 1 << 34):
+        assert size / collocations.width_of(size) <= collocations.BYTES_EACH
+    df = spark.read.parquet(f"{SF}/documents.parquet").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition(3)
+    held = {width: collocations.sketched(df, width, 30) for width in (1 << 12, 1 << 18)}
+    monkeypatch.setattr(collocations, "DENSE", 0)
+    monkeypatch.setattr(collocations, "RUN", 5_000)
+    monkeypatch.setattr(collocations, "WIDE", 1 << 17)
+    for width, bits in held.items():
+        assert bits.any() and np.array_equal(collocations.sketched(df, width, 30), bits)
